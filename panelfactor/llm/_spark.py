@@ -83,3 +83,14 @@ class Bitmap:
         table = filled.toArrow()
         bits.view("<i8")[table.column("word").to_numpy()] = table.column("bit").to_numpy()
         return cls(bits, log2)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one of this machine only where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever file system it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelfactor.llm import line_dedup, mixing
 from panelfactor.llm.decontamination import op8_decontamination
 from panelfactor.llm.jaccard_join import op10_jaccard_join
+from panelfactor.llm.media_ogg import op3_media_ogg
+from panelfactor.llm.pii import op2_pii
+from panelfactor.llm.quality_classifier import op6_quality_classifier
+from panelfactor.llm.secret_scan import op4_secret_scan
 from panelfactor.llm.substring_dedup import op5_substring_dedup
 from panelfactor.llm.token_counts import op9_token_counts
 
@@ -16,7 +21,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_pii": op2_pii,
+        "op3_media_ogg": op3_media_ogg,
+        "op4_secret_scan": op4_secret_scan,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_mixing": mixing.op7_mixing,
         "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
         "op10_jaccard_join": op10_jaccard_join,
@@ -24,4 +35,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.SQL, "op7_mixing": mixing.SQL}
