@@ -76,9 +76,9 @@ def compute_factors(panel: DataFrame, factors: Iterable[str] | Mapping[str, str]
     for at in range(0, len(names), batch):
         b = builder_for(panel, **options)
         outputs = {}
-        for name in names[at : at + batch]:
+        for k, name in enumerate(names[at : at + batch], at):
             nodes, edges = parse_factor(named[name])
-            outputs[name] = compile_graph(nodes, edges, None, b).factor or b.element(NULL)
+            outputs[f"_factor_{k}"] = compile_graph(nodes, edges, None, b).factor or b.element(NULL)
         df = b.run(df, outputs, [*panel.columns, *done])
         done += list(outputs)
-    return df.select(*keep, *done)
+    return df.select(*keep, *(F.col(c).alias(name) for c, name in zip(done, names, strict=True)))
