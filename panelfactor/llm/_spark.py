@@ -47,6 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def masked(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns renamed to c0, c1, ... so that no name can clash, and the new names of `names`."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), [f"c{df.columns.index(n)}" for n in names]
+
+
 def null_id(name: str):
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 

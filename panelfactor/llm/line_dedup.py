@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelfactor.llm._spark import cut, documents
+from panelfactor.llm._spark import cut, documents, masked
 
 MIN_SITES = 10
 #: log2 of a sketch's buckets; its relative standard error is 1.04 / sqrt(2 ** LG_K)
@@ -51,15 +51,15 @@ def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text
 
 def remove(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """docs without boilerplate lines in their text, and with columns n_lines and n_removed (long)."""
-    found = cut(boilerplate(docs, site_col, text_col, min_sites))
-    gone = _lines(docs, id_col, text_col).join(found, ["k1", "k2"]).groupBy("id", "row").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"id": "_id", "row": "_row"})
-    names = docs.columns
-    joined = docs.withColumn("_key", F.xxhash64(text_col)).join(gone, (F.col("_key") == F.col("_row")) & docs[id_col].eqNullSafe(F.col("_id")), "left")
-    lines = F.split(docs[text_col], "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, pos: ~F.array_contains("_gone", pos)), "\n")
-    n_lines = F.when(docs[text_col].isNull(), 0).otherwise(F.length(docs[text_col]) - F.length(F.translate(docs[text_col], "\n", "")) + 1)
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(kept)
-    return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in names), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    plain, (own_id, site, own_text) = masked(docs, id_col, site_col, text_col)
+    found = cut(boilerplate(plain, site, own_text, min_sites))
+    gone = _lines(plain, own_id, own_text).join(found, ["k1", "k2"]).groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
+    joined = plain.withColumn("key", F.xxhash64(own_text)).join(gone, (F.col("key") == F.col("row")) & F.col(own_id).eqNullSafe(F.col("id")), "left")
+    kept = F.array_join(F.filter(F.split(own_text, "\n", -1), lambda line, pos: ~F.array_contains("gone", pos)), "\n")
+    n_lines = F.when(F.col(own_text).isNull(), 0).otherwise(F.length(own_text) - F.length(F.translate(own_text, "\n", "")) + 1)
+    text = F.when(F.col("gone").isNull(), F.col(own_text)).otherwise(kept)
+    out = joined.select(*(text.alias(c) if c == own_text else F.col(c) for c in plain.columns), n_lines.cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    return out.toDF(*docs.columns, "n_lines", "n_removed")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelfactor.llm._spark import cut, documents
+from panelfactor.llm._spark import cut, documents, masked
 
 ALPHA, RATE, ROUNDS, SEED = 0.5, 0.5, 12, "mix-1"
 #: rows of a table of cells that may be broadcast (about 100 bytes each)
@@ -85,25 +85,21 @@ def fit(cells: DataFrame, alpha: float = ALPHA, targets: dict[str, dict] | None
 
 def weigh(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, alpha: float = ALPHA, rate: float = RATE, targets: dict[str, dict] | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, _probability and _sampled."""
-    rows = docs.withColumns(
-        {
-            "_source": F.col(source_col).cast("string"),
-            "_lang": F.col(lang_col).cast("string"),
-            "_topic": F.col(topic_col).cast("string") if topic_col else topic_of(F.coalesce(text_col, F.lit(""))),
-            "_tokens": tokens_of(F.col(text_col)),
-        }
-    )
-    cells = rows.groupBy(*(F.col(f"_{m}").alias(m) for m in MARGINS)).agg(F.sum("_tokens").alias("x"))
-    cells = cut(cells)
+    plain, (own_id, text, source, lang) = masked(docs, id_col, text_col, source_col, lang_col)
+    topic = F.col(f"c{docs.columns.index(topic_col)}").cast("string") if topic_col else topic_of(F.coalesce(text, F.lit("")))
+    rows = plain.withColumns({"source": F.col(source).cast("string"), "lang": F.col(lang).cast("string"), "topic": topic, "tokens": tokens_of(F.col(text))})
+    cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("x")))
     fitted = cut(fit(cells, alpha, targets, rounds))
-    chance = fitted.select(*(F.col(m).alias(f"_c_{m}") for m in MARGINS), F.least(F.lit(1.0), F.lit(rate) * F.coalesce(F.try_divide(F.col("y"), F.col("x")), F.lit(0.0))).alias("_probability"))
+    chance = fitted.select(*(F.col(m).alias(f"of_{m}") for m in MARGINS), F.least(F.lit(1.0), F.lit(rate) * F.coalesce(F.try_divide(F.col("y"), F.col("x")), F.lit(0.0))).alias("probability"))
     if cells.count() <= CELLS:
         chance = F.broadcast(chance)
-    on = [F.col(f"_{m}").eqNullSafe(F.col(f"_c_{m}")) for m in MARGINS]
-    joined = rows.join(chance, on, "left").drop(*(f"_c_{m}" for m in MARGINS))
-    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    on = [F.col(m).eqNullSafe(F.col(f"of_{m}")) for m in MARGINS]
+    joined = rows.join(chance, on, "left")
+    key = F.coalesce(F.col(own_id).cast("string"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    return joined.withColumn("_sampled", draw < F.col("_probability"))
+    out = joined.withColumn("sampled", draw < F.col("probability"))
+    own = ("source", "lang", "topic", "tokens", "probability", "sampled")
+    return out.select(*plain.columns, *own).toDF(*docs.columns, *(f"_{c}" for c in own))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

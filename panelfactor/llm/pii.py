@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelfactor.llm import _words as W
-from panelfactor.llm._spark import Bitmap, arrow, cut, documents
+from panelfactor.llm._spark import Bitmap, arrow, cut, documents, masked
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MIN_DOCS, GENERALISE, REMOVE = 8, 3, 0.7, 0.9
@@ -270,9 +270,9 @@ def redact(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, i
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with their text redacted; all columns stay."""
-    found = find_spans(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "base", "terms").dropDuplicates(["_id", "_row"])
-    names = docs.columns
-    joined = docs.join(found, (F.xxhash64(docs[text_col]) == found["_row"]) & docs[id_col].cast("long").eqNullSafe(found["_id"]), "left")
+    plain, (own_id, own_text) = masked(docs, id_col, text_col)
+    found = find_spans(plain, own_id, own_text, **options).select("doc_id", "row", "base", "terms").dropDuplicates(["doc_id", "row"])
+    joined = plain.join(found, (F.xxhash64(own_text) == F.col("row")) & F.col(own_id).cast("long").eqNullSafe(F.col("doc_id")), "left")
 
     @F.pandas_udf("string")
     def apply(text, base, terms):
@@ -280,4 +280,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
         return pd.Series([t if t is None else redact(t, [(s["kind"], s["start"], s["end"]) for s in b], [(s["start"], s["end"], s["action"]) for s in m]) for t, b, m in zip(text, base, terms, strict=True)])
 
-    return joined.withColumn(text_col, apply(docs[text_col], "base", "terms")).select(*names)
+    return joined.withColumn(own_text, apply(own_text, "base", "terms")).select(*plain.columns).toDF(*docs.columns)
