@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelfactor.llm import line_dedup, mixing
+from panelfactor.llm import line_dedup, mixing, sql
 from panelfactor.llm.decontamination import op8_decontamination
 from panelfactor.llm.jaccard_join import op10_jaccard_join
 from panelfactor.llm.media_ogg import op3_media_ogg
@@ -35,4 +35,10 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op7_mixing": mixing.SQL}
+    return {
+        "op1_line_dedup": line_dedup.SQL,
+        "op5_substring_dedup": sql.SUBSTRING_DEDUP,
+        "op7_mixing": mixing.SQL,
+        "op8_decontamination": sql.DECONTAMINATION,
+        "op10_jaccard_join": sql.JACCARD_JOIN,
+    }
