@@ -11,7 +11,8 @@ in slices of the input; any order gives the same links, so rare shingles
 missing from that table cost nothing but time.
 
 * Index-level skipping: a list holds positions, and a pair that cannot reach
-  the threshold from its positions and sizes is skipped unread.
+  the threshold from its positions and sizes is skipped unread, and so is one
+  whose parity sketches (128 bits of a set) differ in too many bits.
 * Answer-level skipping: the set with the fewest rarer shingles leads its list
   and answers for it.  Every member is compared with a leader; members that
   link to it are answered with its component, and of a list only pairs that
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelfactor.llm import _words as W
-from panelfactor.llm._spark import Bitmap, arrow, cut, documents, null_id
+from panelfactor.llm._spark import Bitmap, arrow, cut, documents, masked, null_id
 
 #: shingles in the table of common ones; the rest rank as rare, by hash
 COMMON = 200_000
@@ -51,15 +52,23 @@ def _sets(part: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
         for v in w.hash[w.first[d] : w.first[d + 1]]:
             x = W.mix(x * np.uint64(3) + v)
         h, doc = np.append(h, x), np.append(doc, d)
+    if len(doc) > 1 and (doc[1:] < doc[:-1]).any():
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
     h = W.mix(h)
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
+    _sort_each(h, np.searchsorted(doc, np.arange(part.num_rows + 1)))
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[new], doc[new]
     return h, np.searchsorted(doc, np.arange(part.num_rows + 1))
 
 
+def _sort_each(h: np.ndarray, off: np.ndarray) -> None:
+    """Sort every document's stretch of h in place: much cheaper than one sort by two keys."""
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        h[a:b].sort()
+
+
 def _prints(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A 64-bit print of each set (0 for an empty one): a sum, finalised with the size."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)])
@@ -67,6 +76,24 @@ def _prints(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.where(size > 0, W.mix(total[off[1:]] - total[off[:-1]] + size.astype(np.uint64)), 0)
 
 
+#: words of a set's parity sketch
+WORDS = 2
+SKETCH = [f"g{k}" for k in range(WORDS)]
+
+
+def _parities(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each set the parity of its shingles in each of 64 * WORDS buckets, as rows of WORDS numbers.
+
+    A shingle that only one of two sets has flips one bit, so the sketches of
+    two sets differ in no more bits than the sets have different shingles.
+    """
+    n, bits = len(off) - 1, 64 * WORDS
+    bucket = (h >> np.uint64(20)).astype(np.int64) % bits
+    doc = np.repeat(np.arange(n), np.diff(off))
+    odd = (np.bincount(doc * bits + bucket, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view("<i8").reshape(n, WORDS)
+
+
 def _parts(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20):
     for batch in batches:
         yield from W.slices(batch, "text", limit)
@@ -76,7 +103,8 @@ def _classes(n: int):
     def work(batches):
         for part in _parts(batches):
             h, off = _sets(part, n)
-            yield pa.record_batch([part.column("id"), part.column("doc_id"), pa.array(np.diff(off)), pa.array(_prints(h, off).view(np.int64))], names=["id", "doc_id", "n_shingles", "fp"])
+            g = _parities(h, off)
+            yield pa.record_batch([part.column("id"), part.column("doc_id"), pa.array(np.diff(off)), pa.array(_prints(h, off).view(np.int64)), *(pa.array(np.ascontiguousarray(g[:, k])) for k in range(WORDS))], names=["id", "doc_id", "n_shingles", "fp", *SKETCH])
 
     return work
 
@@ -97,7 +125,9 @@ def _counts(n: int):
     return work
 
 
-def _prefixes(n: int, percent: int, shared):
+def _prefixes(n: int, percent: int, shared, met=None):
+    """Prefix entries of every set; with `met`, a bit array, of the tokens in it only."""
+
     def work(batches):
         common, rank = shared.value
         for part in _parts(batches):
@@ -113,20 +143,23 @@ def _prefixes(n: int, percent: int, shared):
             h, doc = h[inside], doc[inside]
             at = np.searchsorted(common, h)
             at[at == len(common)] = 0
-            weight = np.where(common[at] == h, rank[at], 0) if len(common) else np.zeros(len(h), np.int32)
-            order = np.lexsort((h, weight, doc))
-            h, doc = h[order], doc[order]
+            weight = np.where(common[at] == h, rank[at], 0) if len(common) else np.zeros(len(h), np.int64)
+            # a token is its weight and 57 bits of its hash: numbers in the order of the lists
+            h = (weight.astype(np.uint64) << np.uint64(57)) | (h >> np.uint64(7))
             kept_size = np.where(keep, size, 0)
+            _sort_each(h, np.concatenate([[0], np.cumsum(kept_size)]))
             pos = np.arange(len(h)) - np.repeat(np.cumsum(kept_size) - kept_size, kept_size)
             head = pos < length[doc]
+            if met is not None:
+                head &= met.value.has(h << np.uint64(7))
             h, doc, pos = h[head], doc[head], pos[head]
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(fp[doc].view(np.int64)), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "fp", "size", "pos"])
 
     return work
 
 
-def _members(n: int, shared):
-    """Whole sets, of the prints in a bit array only."""
+def _members(n: int, shared, narrow: bool):
+    """Whole sets, of the prints in a bit array only; narrow: the upper half of each hash."""
 
     def work(batches):
         wanted = shared.value
@@ -139,7 +172,8 @@ def _members(n: int, shared):
             keep &= (size > 0) & wanted.has(fp)
             length = size[keep]
             tokens = h[np.repeat(keep, size)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(tokens.view(np.int64)))
+            values = (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32) if narrow else tokens.view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(values))
             yield pa.record_batch([pa.array(fp[keep].view(np.int64)), lists], names=["fp", "tokens"])
 
     return work
@@ -167,23 +201,77 @@ def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "root"
         state = state.select("x", "l")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of prints whose sets reach the threshold, by exact intersection."""
-    pairs = cut(pairs)
+#: a pair is settled by halves of hashes if that many mistaken matches would not change its outcome
+SLACK = 4
+
+
+def _overlaps(pairs: DataFrame, texts: DataFrame, n: int, narrow: bool) -> DataFrame:
+    """pairs (a, b) with both sets' sizes and the size i of their intersection."""
     wanted = Bitmap.of(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))), "v")
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
-    sets = arrow(texts.select("text"), _members(n, shared), "fp long, tokens array<long>")
+    sets = arrow(texts.select("text"), _members(n, shared, narrow), f"fp long, tokens array<{'int' if narrow else 'long'}>")
     sets = sets.groupBy("fp").agg(F.first("tokens").alias("tokens"))
     both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = both.withColumn("i", F.size(F.array_intersect("ta", "tb")))
-    return both.where(100 * F.col("i") >= percent * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b")
+    return both.select("a", "b", F.size("ta").alias("sa"), F.size("tb").alias("sb"), F.size(F.array_intersect("ta", "tb")).alias("i"))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of prints, a materialised table, whose sets reach the threshold.
+
+    Halves of the hashes settle all pairs but those within SLACK shingles of
+    the threshold; these are compared by whole hashes.
+    """
+
+    def reaches(i):
+        return 100 * i >= percent * (F.col("sa") + F.col("sb") - i)
+
+    rough = cut(_overlaps(pairs, texts, n, True).where(reaches(F.col("i") + SLACK)))
+    close = ~reaches(F.col("i") - SLACK)
+    sure = rough.where(~close).select("a", "b")
+    if rough.where(close).isEmpty():
+        return sure
+    return sure.union(_overlaps(rough.where(close).select("a", "b"), texts, n, False).where(reaches(F.col("i"))).select("a", "b"))
+
+
+def _key(pos: str, fp: str):
+    """An order by position, then by 40 bits of the print."""
+    return F.shiftleft(F.col(pos).cast("long"), 40) + F.shiftrightunsigned(F.col(fp), 24)
 
 
 def _can_link(percent: int):
-    """Length and positional bounds for sets of sizes s1 and s2 that share a token at p1 and p2."""
-    least, most = F.least("s1", "s2").cast("long"), F.greatest("s1", "s2").cast("long")
-    reach = 1 + F.least("p1", "p2") + F.least(F.col("s1") - F.col("p1") - 1, F.col("s2") - F.col("p2") - 1)
-    return (100 * least >= percent * most) & ((100 + percent) * reach >= percent * (least + most))
+    """Length and positional bounds for sets of sizes s1 and s2 that share a token at p1 and p2.
+
+    The first token that two linked sets share has all their common ones at or
+    after it, on either side, so every linked pair passes at that token.
+    """
+    s1, s2 = F.col("s1").cast("long"), F.col("s2").cast("long")
+    left1, left2 = s1 - F.col("p1"), s2 - F.col("p2")
+    return (100 * F.least(s1, s2) >= percent * F.greatest(s1, s2)) & ((100 + percent) * F.least(left1, left2) >= percent * (s1 + s2))
+
+
+def _reach(percent: int):
+    """A bound that holds at every token that a linked pair shares, for sizes and places as above."""
+    s1, s2 = F.col("s1").cast("long"), F.col("s2").cast("long")
+    most = 1 + F.least("p1", "p2") + F.least(s1 - F.col("p1"), s2 - F.col("p2")) - 1
+    return (100 * F.least(s1, s2) >= percent * F.greatest(s1, s2)) & ((100 + percent) * most >= percent * (s1 + s2))
+
+
+def _enough_shared(percent: int):
+    """Bound from all k tokens that two prefixes share, the last at places p1 and p2.
+
+    Common shingles after that one lie behind the end of the prefix that ends
+    first, so one side has only size - prefix length left for them.
+    """
+    left = [F.col(f"s{k}") - F.col(f"p{k}") - 1 for k in (1, 2)]
+    behind = [F.ceil(F.col(f"s{k}") * percent / 100) - 1 for k in (1, 2)]
+    most = F.col("k") + F.greatest(F.least(behind[0], left[1]), F.least(left[0], behind[1]))
+    return (100 + percent) * most >= percent * (F.col("s1") + F.col("s2"))
+
+
+def _few_differences(percent: int):
+    """Bound by parity sketches g* and h*: linked sets differ in few enough shingles."""
+    bits = sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"h{g[1:]}"))) for g in SKETCH), F.lit(0))
+    return (100 + percent) * bits <= (100 - percent) * (F.col("s1") + F.col("s2"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -191,40 +279,53 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     spark = docs.sparkSession
     rows = docs.select(null_id(id_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = rows.select("text")
-    classes = cut(arrow(rows, _classes(n), "id long, doc_id long, n_shingles long, fp long"))
+    classes = cut(arrow(rows, _classes(n), "id long, doc_id long, n_shingles long, fp long, " + ", ".join(f"{g} long" for g in SKETCH)))
 
     table = arrow(texts, _counts(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h = table.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    rank = np.ceil(np.log2(table.column("n").to_numpy() + 1.0) * 4)
+    rank = np.minimum(np.ceil(np.log2(table.column("n").to_numpy() + 1.0) * 4), 127)  # seven bits
     shared = spark.sparkContext.broadcast((h[order], rank.astype(np.int32)[order]))
 
-    index = arrow(texts, _prefixes(n, percent, shared), "token long, fp long, size int, pos int")
-    place = F.struct("pos", "size", "fp")
-    lists = index.groupBy("token").agg(F.min(place).alias("lead"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("token", "lead")
-    entries = cut(index.join(lists, "token").distinct())
+    # a list's leader is its member with the fewest rarer shingles; ties go by print
+    fields = "token long, fp long, size int, pos int"
+    index = arrow(texts, _prefixes(n, percent, shared), fields).withColumn("key", _key("pos", "fp"))
+    lists = index.groupBy("token").agg(F.min_by("fp", "key").alias("b"), F.min_by("size", "key").alias("s2"), F.min("pos").alias("p2"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    lists = cut(lists.where("low <> high").select("token", "b", "s2", "p2"))
+    met = spark.sparkContext.broadcast(Bitmap.of(lists.select(F.shiftleft("token", 7).alias("hash")), "hash"))
+    entries = cut(arrow(texts, _prefixes(n, percent, shared, met), fields).select("token", "fp", "size", "pos").join(lists.select("token"), "token", "left_semi").distinct())
 
-    pair = entries.select("fp", F.col("size").alias("s1"), F.col("pos").alias("p1"), F.col("lead.fp").alias("b"), F.col("lead.size").alias("s2"), F.col("lead.pos").alias("p2")).where("fp <> b").where(_can_link(percent))
-    best = pair.groupBy("fp").agg(F.min(F.struct("p2", "s2", "b")).alias("lead")).select(F.col("fp").alias("a"), F.col("lead.b").alias("b"))
+    pair = entries.withColumnsRenamed({"size": "s1", "pos": "p1"}).join(lists, "token").where("fp <> b").where(_can_link(percent))
+    best = cut(pair.withColumn("key", _key("p2", "b")).groupBy("fp").agg(F.min_by("b", "key").alias("b")).select(F.col("fp").alias("a"), "b"))
     first = cut(_linked(best, texts, n, percent))
     found = components(first)
 
     # lists that still hold several components: compare across them only
     named = entries.select("token", "fp", "size", "pos").join(found, F.col("fp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
     mixed = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    left = cut(named.join(mixed, "token", "left_semi"))
+    sketches = classes.groupBy("fp").agg(*(F.first(g).alias(g) for g in SKETCH))
+    left = cut(named.join(mixed, "token", "left_semi").join(sketches, "fp"))
     # the component with most entries of a list need not be the left side
     sizes = left.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
     side = left.join(sizes, "token").where("comp <> main")
-    one = side.select("token", F.col("fp").alias("a"), F.col("size").alias("s1"), F.col("pos").alias("p1"), F.col("comp").alias("c1"), "main")
-    two = left.select("token", F.col("fp").alias("b"), F.col("size").alias("s2"), F.col("pos").alias("p2"), F.col("comp").alias("c2"))
-    more = one.join(two, "token").where((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") < F.col("b")))).where(_can_link(percent))
+    one = side.select("token", F.col("fp").alias("a"), F.col("size").alias("s1"), F.col("pos").alias("p1"), F.col("comp").alias("c1"), "main", *SKETCH)
+    two = left.select("token", F.col("fp").alias("b"), F.col("size").alias("s2"), F.col("pos").alias("p2"), F.col("comp").alias("c2"), *(F.col(g).alias(f"h{g[1:]}") for g in SKETCH))
+    more = one.join(two, "token").where((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") < F.col("b")))).where(_reach(percent) & _few_differences(percent))
+    # a row for every shared token of a pair, either side first: count them by pair
+    swap = F.col("a") > F.col("b")
+    more = more.select(
+        F.least("a", "b").alias("a"),
+        F.greatest("a", "b").alias("b"),
+        *(F.when(swap, F.col(f"{c}{3 - k}")).otherwise(F.col(f"{c}{k}")).alias(f"{c}{k}") for c in "sp" for k in (1, 2)),
+        _can_link(percent).alias("first"),
+    )
+    more = more.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("first").alias("first"), *(F.max(c).alias(c) for c in ("s1", "s2", "p1", "p2")))
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = cut(more.where(F.col("first") & _enough_shared(percent)).select("a", "b").join(tried, ["a", "b"], "left_anti"))
     links = first.union(_linked(more, texts, n, percent))
     final = components(links)
 
-    named = classes.join(final, F.col("fp") == F.col("node"), "left").withColumn("class", F.coalesce("root", "fp")).drop("node", "root")
+    named = classes.drop(*SKETCH).join(final, F.col("fp") == F.col("node"), "left").withColumn("class", F.coalesce("root", "fp")).drop("node", "root")
     least = named.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least"))
     out = named.join(least, "class", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")))
     return out.select("doc_id", "n_shingles", F.when(F.col("component") != F.lit((1 << 63) - 1), F.col("component")).alias("component_id"))
@@ -236,5 +337,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id is the least of its component (rows repeating that id stay too)."""
-    gone = join(docs, id_col, text_col, n, percent).where("component_id < doc_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["doc_id"]), "left_anti")
+    plain, (own_id, own_text) = masked(docs, id_col, text_col)
+    gone = join(plain, own_id, own_text, n, percent).where("component_id < doc_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
+    return plain.join(gone, F.col(own_id).cast("long").eqNullSafe(F.col("doc_id")), "left_anti").toDF(*docs.columns)
