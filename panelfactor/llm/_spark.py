@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ROWS_KEY, str(ARROW_ROWS))
 
 
+def findable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; elsewhere such a path does no harm."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
+    findable(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 

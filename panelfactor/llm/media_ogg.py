@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelfactor.llm import _words as W
-from panelfactor.llm._spark import arrow, documents
+from panelfactor.llm._spark import arrow, documents, findable
 
 RATE, BLOCK = 8000, 4000
 #: lacing values on a page at most; the format allows 255
@@ -198,6 +198,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(df: DataFrame, column: str, out: str = "media") -> DataFrame:
     """df with the binary (or string) column stored as Ogg in column `out`; null stays null."""
+    findable(df.sparkSession)
 
     @F.pandas_udf("binary")
     def apply(x):
@@ -211,6 +212,7 @@ def packets(df: DataFrame, column: str = "media") -> DataFrame:
 
     Works for any Ogg file; time_ms is null where the granule position is unknown.
     """
+    findable(df.sparkSession)
 
     @F.pandas_udf("array<struct<serial: long, packet: int, granule: long, time_ms: long, bytes: binary, pages: int, damaged: int>>")
     def apply(x):

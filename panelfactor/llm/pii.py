@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelfactor.llm import _words as W
-from panelfactor.llm._spark import Bitmap, arrow, cut, documents, masked
+from panelfactor.llm._spark import Bitmap, arrow, cut, documents, findable, masked
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, MIN_DOCS, GENERALISE, REMOVE = 8, 3, 0.7, 0.9
@@ -270,6 +270,7 @@ def redact(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, i
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with their text redacted; all columns stay."""
+    findable(docs.sparkSession)
     plain, (own_id, own_text) = masked(docs, id_col, text_col)
     found = find_spans(plain, own_id, own_text, **options).select("doc_id", "row", "base", "terms").dropDuplicates(["doc_id", "row"])
     joined = plain.join(found, (F.xxhash64(own_text) == F.col("row")) & F.col(own_id).cast("long").eqNullSafe(F.col("doc_id")), "left")
