@@ -6,7 +6,7 @@
    more) the document with the least id stays;
 4. benchmark: documents with a window of a benchmark item go;
 5. mixing: documents are sampled by raked weights; the result adds topic,
-   tokens and probability.
+   tokens, probability and copies, the times that a row counts in the mix.
 
 Each stage works on all that the one before kept.  Extra columns pass through.
 """
@@ -42,7 +42,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = mixing.weigh(docs).where("_sampled")
-    return out.select(*(F.col(c) for c in docs.columns), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_probability", 6).alias("probability"))
+    return out.select(*(F.col(c) for c in docs.columns), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_probability", 6).alias("probability"), F.col("_copies").alias("copies"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix)]

@@ -3,7 +3,13 @@
 Documents fall into cells (source, lang, topic).  The cells' token counts are
 raked: each round scales them so that the sums by source, by language and by
 topic meet their targets in turn.  A cell's fitted over its own tokens is its
-weight, and a document is sampled with probability min(1, rate * weight).
+weight, and rate * weight is how often a document of the cell is expected.
+
+A document is in the sample with probability min(1, rate * weight), and as
+often as `copies` says: the whole part of rate * weight, and once more with
+the rest as probability.  Rows that count `copies` times have the fitted
+shares in expectation, whatever the rate; rows that count once do not where
+rate * weight exceeds 1.
 
 By default a target is proportional to the margin's own tokens to the power
 `alpha` (tempered mixing); explicit targets can be given for any margin.
@@ -84,21 +90,24 @@ def fit(cells: DataFrame, alpha: float = ALPHA, targets: dict[str, dict] | None
 
 
 def weigh(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, alpha: float = ALPHA, rate: float = RATE, targets: dict[str, dict] | None = None, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, _probability and _sampled."""
+    """docs with _source, _lang, _topic, _tokens, _probability, _sampled, _expected and _copies."""
     plain, (own_id, text, source, lang) = masked(docs, id_col, text_col, source_col, lang_col)
     topic = F.col(f"c{docs.columns.index(topic_col)}").cast("string") if topic_col else topic_of(F.coalesce(text, F.lit("")))
     rows = plain.withColumns({"source": F.col(source).cast("string"), "lang": F.col(lang).cast("string"), "topic": topic, "tokens": tokens_of(F.col(text))})
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("x")))
     fitted = cut(fit(cells, alpha, targets, rounds))
-    chance = fitted.select(*(F.col(m).alias(f"of_{m}") for m in MARGINS), F.least(F.lit(1.0), F.lit(rate) * F.coalesce(F.try_divide(F.col("y"), F.col("x")), F.lit(0.0))).alias("probability"))
+    chance = fitted.select(*(F.col(m).alias(f"of_{m}") for m in MARGINS), (F.lit(rate) * F.coalesce(F.try_divide(F.col("y"), F.col("x")), F.lit(0.0))).alias("expected"))
+    chance = chance.withColumn("probability", F.least(F.lit(1.0), "expected"))
     if cells.count() <= CELLS:
         chance = F.broadcast(chance)
     on = [F.col(m).eqNullSafe(F.col(f"of_{m}")) for m in MARGINS]
     joined = rows.join(chance, on, "left")
     key = F.coalesce(F.col(own_id).cast("string"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    out = joined.withColumn("sampled", draw < F.col("probability"))
-    own = ("source", "lang", "topic", "tokens", "probability", "sampled")
+    whole = F.floor("expected")
+    copies = whole + F.when(draw < F.col("expected") - whole, 1).otherwise(0)
+    out = joined.withColumns({"sampled": draw < F.col("probability"), "copies": copies.cast("long")})
+    own = ("source", "lang", "topic", "tokens", "probability", "sampled", "expected", "copies")
     return out.select(*plain.columns, *own).toDF(*docs.columns, *(f"_{c}" for c in own))
 
 
@@ -108,8 +117,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of docs, with docs' columns."""
-    return weigh(docs, **options).where("_sampled").select(*(F.col(c) for c in docs.columns))
+    """The sampled rows of docs, each as often as its copies, with docs' columns."""
+    out = weigh(docs, **options).where("_copies > 0")
+    plain = out.toDF(*(f"c{k}" for k in range(len(out.columns))))
+    again = plain.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col(plain.columns[-1]))))
+    return again.select(*plain.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 def sql(table: str = "documents", rounds: int = ROUNDS, alpha: float = ALPHA, rate: float = RATE, seed: str = SEED) -> tuple[str, str]:

@@ -99,6 +99,25 @@ def test_mixing(docs, corpus):
     assert sorted(r.id for r in again) == sorted(r.id for r in out if r._sampled)
 
 
+def test_mixing_reaches_the_targets(spark):
+    """A hot source and rare topics: weights far above 1 / rate."""
+    rng = random.Random(12)
+    kinds = [("plain words only", 0.9), ("mail@site", 0.03), ("License text", 0.03), ("a | b", 0.02), ("def f", 0.02)]
+    rows = [(k, rng.choices([t for t, _ in kinds], [w for _, w in kinds])[0] + " word" * rng.randint(1, 40), "src0" if k % 3 == 0 else f"src{k % 17}", rng.choice(["en", "en", "en", "de"])) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    out = mixing.weigh(df).toPandas()
+    assert out._expected.max() > 2 and ((out._copies > 0) == out._sampled).all()
+    drawn = mixing.weigh(mixing.sample(df)).toPandas()
+    assert len(drawn) == out._copies.sum()
+    for m in mixing.MARGINS:
+        own = out.groupby(f"_{m}")._tokens.sum().astype(float)
+        target = own**mixing.ALPHA / (own**mixing.ALPHA).sum()
+        expected = (out._tokens * out._expected).groupby(out[f"_{m}"]).sum()
+        assert expected.sum() == pytest.approx(mixing.RATE * own.sum())
+        assert (expected / expected.sum() - target).abs().max() < 1e-6
+        assert (drawn.groupby(f"_{m}")._tokens.sum() / drawn._tokens.sum() - target).abs().max() < 0.02
+
+
 def test_mixing_without_broadcast_and_with_given_targets(docs, monkeypatch):
     plain = sorted((r.id, round(r._probability, 9)) for r in mixing.weigh(docs).collect())
     monkeypatch.setattr(mixing, "CELLS", 0)
