@@ -2,19 +2,20 @@
 
 Base spans are addresses and numbers by pattern (email, ip, card, phone).
 Their values are the protected entities.  The corpus then tells which words
-give an entity away: for an entity e and a word t of its context (WINDOW words
-on either side), with document counts over the whole corpus,
+give an entity away: for an entity e and a word t that occur in the same
+document, anywhere in it, with document counts over the whole corpus,
 
     disclosure(e, t) = PMI(e, t) / IC(e) = log2(N n_et / (n_e n_t)) / log2(N / n_e)
 
 is 1 where t occurs with e only and at most 0 where they are independent.
 Where at least MIN_DOCS documents support it, a word from REMOVE up is removed
-and from GENERALISE up generalised to its kind, next to that entity.
+and from GENERALISE up generalised to its kind, wherever it occurs, also in
+documents that do not name the entity.  Words inside base spans go with them.
 
-Contexts make the pairs linear in the text (no entity-by-word product within
-a document).  Counts are combined in each task before they move; texts never
-move.  Words are counted only if some context holds them, by a bit array of
-fixed size that misses none.
+Pairs are only counted if they can reach the threshold, which is known before:
+n_et is at most n_e and n_t, so n_e >= MIN_DOCS, n_t >= MIN_DOCS and n_t <= N (n_e / N) ^ threshold.  Tables of
+fixed size (Levels) hold a bound of n_e or n_t for each slot of hashes and lose
+no pair.  Counts are combined in each task before they move; texts never move.
 
 Defined cases: a null text is empty; rows stay as they are, with any id, null
 and repeated ones too; one document's repeated words count once; entities of
@@ -37,7 +38,9 @@ from panelfactor.llm import _words as W
 from panelfactor.llm._spark import Bitmap, arrow, cut, documents, findable, masked
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, MIN_DOCS, GENERALISE, REMOVE = 8, 3, 0.7, 0.9
+MIN_DOCS, GENERALISE, REMOVE = 3, 0.7, 0.9
+#: pairs of a slice that are held at once before they are counted
+PAIRS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -111,89 +114,140 @@ def entity(kind: int, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True) or 1
 
 
-class Contexts:
-    """Base spans of a slice and the words around each, in arrays."""
+class Levels:
+    """For each slot of 64-bit hashes the least or greatest of its members' rounded log2 of a count, in 8 MB; safe to broadcast.
 
-    def __init__(self, part: pa.RecordBatch, window: int):
+    A slot's value bounds the count of each of its members from below (least)
+    or above (greatest); hashes of an empty slot are no members.
+    """
+
+    BITS, NONE = 23, 255
+
+    def __init__(self, level: np.ndarray):
+        self.level = level
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return self.level[(hashes.view(np.uint64) >> np.uint64(64 - self.BITS)).astype(np.int64)]
+
+    @classmethod
+    def build(cls, df: DataFrame, column: str, count: str, least: bool) -> Levels:
+        level = F.floor(F.log2(count)) if least else F.ceil(F.log2(count))
+        slot = F.shiftrightunsigned(F.col(column), 64 - cls.BITS).cast("int").alias("slot")
+        table = df.select(slot, level.cast("short").alias("level")).groupBy("slot").agg((F.min if least else F.max)("level").alias("level")).toArrow()
+        out = np.full(1 << cls.BITS, cls.NONE, np.uint8)
+        out[table.column("slot").to_numpy()] = table.column("level").to_numpy()
+        return cls(out)
+
+
+class Slice:
+    """Base spans of a slice, its words outside of them, and the distinct entities of each document."""
+
+    def __init__(self, part: pa.RecordBatch):
         texts = [t or "" for t in part.column("text").to_pylist()]
-        self.found = [base_spans(t) for t in texts]
+        flat = [(d, entity(k, t[a:b]), a, b) for d, t in enumerate(texts) for k, a, b in base_spans(t)]
+        table = np.array(flat, np.int64).reshape(-1, 4)
+        self.doc, self.entity = _distinct(table[:, 0], table[:, 1])
         self.words = w = W.words(part.column("text"), W.ALNUM, lower=True)
         point = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])  # code points before each byte
         self.base = point[w.doc_bytes]
-        ws, we = point[w.start], point[w.end]
-        flat = [(d, k, a, b, entity(k, texts[d][a:b])) for d, own in enumerate(self.found) for k, a, b in own]
-        self.doc = np.array([x[0] for x in flat], np.int64)
-        self.entity = np.array([x[4] for x in flat], np.int64)
-        a = np.array([x[2] for x in flat], np.int64) + self.base[self.doc] if flat else np.zeros(0, np.int64)
-        b = np.array([x[3] for x in flat], np.int64) + self.base[self.doc] if flat else np.zeros(0, np.int64)
-        left, right = np.searchsorted(we, a, "right"), np.searchsorted(ws, b, "left")
-        taken = np.zeros(len(ws) + 1, np.int32)  # words that a base span touches
-        np.add.at(taken, left, 1)
-        np.add.at(taken, right, -1)
-        taken = np.cumsum(taken[:-1]) > 0
-        step = np.arange(window)
-        near = np.concatenate([left[:, None] - 1 - step, right[:, None] + step], axis=1)
-        inside = (near >= w.first[self.doc][:, None]) & (near < w.first[self.doc + 1][:, None]) if flat else np.zeros((0, 2 * window), bool)
-        span, slot = np.nonzero(inside)
-        word = near[span, slot]
-        free = ~taken[word] if len(word) else np.zeros(0, bool)
-        self.span, self.word = span[free], word[free]
-        self.term = w.hash[self.word].view(np.int64)
-        self.start, self.end = ws, we
-
-
-def _pairs(window: int):
-    """(entity, term, documents) within each slice; term null counts the entity itself."""
+        self.start, self.end = point[w.start], point[w.end]
+        a, b = table[:, 2] + self.base[table[:, 0]], table[:, 3] + self.base[table[:, 0]]
+        taken = np.zeros(len(self.start) + 1, np.int32)  # words that a base span touches
+        np.add.at(taken, np.searchsorted(self.end, a, "right"), 1)
+        np.add.at(taken, np.searchsorted(self.start, b, "left"), -1)
+        self.free = np.cumsum(taken[:-1]) <= 0
+        self.of = np.repeat(np.arange(part.num_rows), w.counts())
+
+    def terms(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and their distinct terms, of the words in a mask only."""
+        return _distinct(self.of[keep], self.words.hash[keep].view(np.int64))
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of two arrays, in order."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entity, documents) within each slice."""
+    for batch in batches:
+        for part in W.slices(batch, "text"):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            e, n = np.unique(np.array([x for t in texts for x in {entity(k, t[a:b]) for k, a, b in base_spans(t)}], np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(e), pa.array(n)], names=["entity", "n"])
+
+
+def _pairs(entities, terms, total: int, threshold: float):
+    """(entity, term, documents) within each slice, of the pairs that can reach the threshold."""
+
+    def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        e, t = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.lexsort((t, e))
+        e, t = e[order], t[order]
+        at = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (t[1:] != t[:-1])]))
+        return pa.record_batch([pa.array(e[at]), pa.array(t[at]), pa.array(np.diff(np.append(at, len(e))))], names=["entity", "term", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                c = Contexts(part, window)
-                own = np.unique(np.stack([c.doc, c.entity]), axis=1)
-                e, n = np.unique(own[1], return_counts=True)
-                yield pa.record_batch([pa.array(e), pa.nulls(len(e), pa.int64()), pa.array(n)], names=["entity", "term", "n"])
-                both = np.unique(np.stack([c.doc[c.span], c.entity[c.span], c.term]), axis=1)[1:]
-                both, n = np.unique(both, axis=1, return_counts=True)
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1]), pa.array(n)], names=["entity", "term", "n"])
+                c = Slice(part)
+                level = entities.value.of(c.entity)
+                doc, e, level = (x[level != Levels.NONE] for x in (c.doc, c.entity, level))
+                has = np.zeros(part.num_rows, bool)
+                has[doc] = True
+                of, term = c.terms(c.free & has[c.of])
+                low = terms.value.of(term)
+                of, term, low = (x[low != Levels.NONE] for x in (of, term, low))
+                # log2 of the greatest n_t that e can have; a little more, for rounding
+                cap = math.log2(total) * (1 - threshold) + threshold * np.minimum(level, math.log2(total)) + 1e-6
+                held, size = [], 0
+                for d in np.flatnonzero(has):
+                    es, ts = slice(*np.searchsorted(doc, (d, d + 1))), slice(*np.searchsorted(of, (d, d + 1)))
+                    step = max(1, PAIRS // max(ts.stop - ts.start, 1))
+                    for k in range(es.start, es.stop, step):
+                        some = slice(k, min(k + step, es.stop))
+                        x, y = np.nonzero(low[ts][None, :] <= cap[some][:, None])
+                        if len(x):
+                            held.append((e[some][x], term[ts][y]))
+                            size += len(x)
+                        if size >= PAIRS:
+                            yield counted(held)
+                            held, size = [], 0
+                if held:
+                    yield counted(held)
 
     return work
 
 
-def _word_counts(shared):
-    """(term, documents) within each slice, of the terms in a bit array."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, documents) within each slice."""
+    for batch in batches:
+        for part in W.slices(batch, "text", 16 << 20):
+            w = W.words(part.column("text"), W.ALNUM, lower=True)
+            _, h = _distinct(np.repeat(np.arange(part.num_rows), w.counts()), w.hash.view(np.int64))
+            term, n = np.unique(h, return_counts=True)
+            yield pa.record_batch([pa.array(term), pa.array(n)], names=["term", "n"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
-        for batch in batches:
-            for part in W.slices(batch, "text", 16 << 20):
-                w = W.words(part.column("text"), W.ALNUM, lower=True)
-                doc = np.repeat(np.arange(part.num_rows), w.counts())
-                keep = wanted.has(w.hash)
-                h, doc = w.hash[keep], doc[keep]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                term, n = np.unique(h[new], return_counts=True)
-                yield pa.record_batch([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
 
-    return work
-
-
-def disclosing(texts: DataFrame, window: int = WINDOW, min_docs: int = MIN_DOCS, threshold: float = GENERALISE) -> DataFrame:
+def disclosing(texts: DataFrame, min_docs: int = MIN_DOCS, threshold: float = GENERALISE) -> DataFrame:
     """Rows (entity, term, disclosure) from `threshold` up, over all of texts (a DataFrame of `text`)."""
-    pairs = cut(arrow(texts, _pairs(window), "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")))
-    shared = texts.sparkSession.sparkContext.broadcast(Bitmap.of(pairs.where("term is not null and n >= %d" % min_docs).select("term").distinct(), "term"))
-    words = arrow(texts, _word_counts(shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    total = texts.count()
-    of_entity = pairs.where(f"term is null and n >= {min_docs} and n < {total}").select("entity", F.col("n").alias("n_e"))
-    both = pairs.where(f"term is not null and n >= {min_docs}").join(of_entity, "entity").join(words, "term")
+    context, total = texts.sparkSession.sparkContext, texts.count()
+    of_entity = cut(arrow(texts, _entities, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n_e")).where(f"n_e >= {min_docs} and n_e < {total}"))
+    entities = context.broadcast(Levels.build(of_entity, "entity", "n_e", least=False))
+    words = cut(arrow(texts, _word_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t")).where(f"n_t >= {min_docs}"))
+    terms = context.broadcast(Levels.build(words, "term", "n_t", least=True))
+    pairs = arrow(texts, _pairs(entities, terms, max(total, 1), threshold), "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")).where(f"n >= {min_docs}")
+    both = pairs.join(of_entity, "entity").join(words, "term")
     size = math.log2(max(total, 1))
     ratio = (size + F.log2("n") - F.log2("n_e") - F.log2("n_t")) / (size - F.log2("n_e"))
     return both.select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def _spans(window: int):
+def _spans():
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
@@ -209,30 +263,34 @@ def _spans(window: int):
     return work
 
 
-def _occurrences(window: int):
+def _occurrences(shared):
+    """Every place, outside base spans, of the terms in a bit array."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                c = Contexts(part, window)
-                doc = c.doc[c.span]
+                c = Slice(part)
+                word = np.flatnonzero(c.free & shared.value.has(c.words.hash))
+                doc = c.of[word]
                 yield pa.record_batch(
-                    [part.column("doc_id").take(pa.array(doc)), part.column("row").take(pa.array(doc)), pa.array(c.entity[c.span]), pa.array(c.term), pa.array(c.start[c.word] - c.base[doc]), pa.array(c.end[c.word] - c.base[doc])],
-                    names=["doc_id", "row", "entity", "term", "start", "end"],
+                    [part.column("doc_id").take(pa.array(doc)), part.column("row").take(pa.array(doc)), pa.array(c.words.hash[word].view(np.int64)), pa.array(c.start[word] - c.base[doc]), pa.array(c.end[word] - c.base[doc])],
+                    names=["doc_id", "row", "term", "start", "end"],
                 )
 
     return work
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_docs: int = MIN_DOCS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of docs: doc_id, row (hash of the text), n_email ... n_phone, base and terms (arrays of kind, start, end, ...).
 
     The kind of a term span is `term`; its action is `remove` or `generalise`.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    base = arrow(rows, _spans(window), f"doc_id long, row long, {counts}, base array<struct<kind: string, start: long, end: long>>")
-    pairs = disclosing(rows.select("text"), window, min_docs, generalise)
-    places = arrow(rows, _occurrences(window), "doc_id long, row long, entity long, term long, start long, end long").join(pairs, ["entity", "term"])
+    base = arrow(rows, _spans(), f"doc_id long, row long, {counts}, base array<struct<kind: string, start: long, end: long>>")
+    found = cut(disclosing(rows.select("text"), min_docs, generalise).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    shared = docs.sparkSession.sparkContext.broadcast(Bitmap.of(found, "term"))
+    places = arrow(rows, _occurrences(shared), "doc_id long, row long, term long, start long, end long").join(found, "term")
     terms = places.groupBy("doc_id", "row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     span = F.struct("start", "end", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"), "disclosure")
     terms = terms.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(span)).alias("terms")).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
