@@ -104,7 +104,7 @@ def _classes(n: int):
         for part in _parts(batches):
             h, off = _sets(part, n)
             g = _parities(h, off)
-            yield pa.record_batch([part.column("id"), part.column("doc_id"), pa.array(np.diff(off)), pa.array(_prints(h, off).view(np.int64)), *(pa.array(np.ascontiguousarray(g[:, k])) for k in range(WORDS))], names=["id", "doc_id", "n_shingles", "fp", *SKETCH])
+            yield pa.record_batch([part.column("id"), part.column("doc_id"), part.column("row"), pa.array(np.diff(off)), pa.array(_prints(h, off).view(np.int64)), *(pa.array(np.ascontiguousarray(g[:, k])) for k in range(WORDS))], names=["id", "doc_id", "row", "n_shingles", "fp", *SKETCH])
 
     return work
 
@@ -276,10 +276,15 @@ def _few_differences(percent: int):
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
+    return _classed(docs, id_col, text_col, n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """What join gives, with row (a hash of the text) and class (a print that names the component)."""
     spark = docs.sparkSession
-    rows = docs.select(null_id(id_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(null_id(id_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     texts = rows.select("text")
-    classes = cut(arrow(rows, _classes(n), "id long, doc_id long, n_shingles long, fp long, " + ", ".join(f"{g} long" for g in SKETCH)))
+    classes = cut(arrow(rows, _classes(n), "id long, doc_id long, row long, n_shingles long, fp long, " + ", ".join(f"{g} long" for g in SKETCH)))
 
     table = arrow(texts, _counts(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h = table.column("h").to_numpy().view(np.uint64)
@@ -328,7 +333,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     named = classes.drop(*SKETCH).join(final, F.col("fp") == F.col("node"), "left").withColumn("class", F.coalesce("root", "fp")).drop("node", "root")
     least = named.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least"))
     out = named.join(least, "class", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")))
-    return out.select("doc_id", "n_shingles", F.when(F.col("component") != F.lit((1 << 63) - 1), F.col("component")).alias("component_id"))
+    return out.select("doc_id", "row", "class", "n_shingles", F.when(F.col("component") != F.lit((1 << 63) - 1), F.col("component")).alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,7 +341,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the least of its component (rows repeating that id stay too)."""
+    """One of each component: the rows of docs whose id is its least one.
+
+    A row is judged by its own id and text, so rows that share an id (or lack
+    one) do not share a fate; rows of a component that repeat its least id all
+    stay.  Of a component without any id one row stays: that with the least
+    hash of its text, and of rows with that same text any one.  Rows without
+    words are in no component and stay.
+    """
     plain, (own_id, own_text) = masked(docs, id_col, text_col)
-    gone = join(plain, own_id, own_text, n, percent).where("component_id < doc_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    return plain.join(gone, F.col(own_id).cast("long").eqNullSafe(F.col("doc_id")), "left_anti").toDF(*docs.columns)
+    found = cut(_classed(plain, own_id, own_text, n, percent).where("n_shingles > 0").drop("n_shingles"))
+    gone = found.where("component_id < doc_id or (doc_id is null and component_id is not null)").select("doc_id", "row")
+    nameless = found.where("component_id is null")
+    least = nameless.groupBy("class").agg(F.min("row").alias("least"))
+    gone = gone.union(nameless.join(least, "class").where("row <> least").select("doc_id", "row")).distinct()
+    kept = plain.withColumn("row", F.xxhash64(own_text)).join(gone.withColumnRenamed("row", "gone"), (F.col("row") == F.col("gone")) & F.col(own_id).cast("long").eqNullSafe(F.col("doc_id")), "left_anti")
+    nameless = F.col(own_id).cast("long").isNull() & F.coalesce(F.col(own_text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return kept.where(~nameless).union(kept.where(nameless).dropDuplicates(["row"])).drop("row").toDF(*docs.columns)

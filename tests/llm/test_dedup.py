@@ -59,6 +59,15 @@ def test_one_of_each_group_stays(docs, corpus):
     assert sorted(r.id for r in kept.collect()) == want
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_are_judged_alone(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(f"{p}{rng.randrange(10**6)}" for _ in range(40)) for p in "abcde")
+    rows = [(1, a, 0), (None, a.upper(), 1), (None, b, 2), (None, c, 3), (None, c.upper(), 4), (None, c, 5), (2, a, 6), (2, d, 7), (None, None, 8), (None, " ", 9), (None, None, 10), (5, e, 11), (5, e, 12)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, k long").repartition(3))
+    ks = {r.k for r in kept.collect()}
+    assert ks - {3, 4, 5} == {0, 2, 7, 8, 9, 10, 11, 12} and len(ks & {3, 4, 5}) == 1
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 110), (110, 200)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(60)]
