@@ -159,7 +159,7 @@ def _prefixes(n: int, percent: int, shared, met=None):
 
 
 def _members(n: int, shared, narrow: bool):
-    """Whole sets, of the prints in a bit array only; narrow: the upper half of each hash."""
+    """Whole sets and their sizes, of the prints in a bit array only; narrow: the upper half of each hash, and no tokens of sets above SAFE."""
 
     def work(batches):
         wanted = shared.value
@@ -170,11 +170,13 @@ def _members(n: int, shared, narrow: bool):
             keep = np.zeros(part.num_rows, bool)
             keep[one] = True
             keep &= (size > 0) & wanted.has(fp)
-            length = size[keep]
-            tokens = h[np.repeat(keep, size)]
+            own = size[keep]
+            sent = keep & (size <= SAFE) if narrow else keep
+            length = np.where(sent, size, 0)[keep]
+            tokens = h[np.repeat(sent, size)]
             values = (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32) if narrow else tokens.view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(values))
-            yield pa.record_batch([pa.array(fp[keep].view(np.int64)), lists], names=["fp", "tokens"])
+            yield pa.record_batch([pa.array(fp[keep].view(np.int64)), pa.array(own.astype(np.int32)), lists], names=["fp", "size", "tokens"])
 
     return work
 
@@ -203,30 +205,35 @@ def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "root"
 
 #: a pair is settled by halves of hashes if that many mistaken matches would not change its outcome
 SLACK = 4
+#: only sets of up to so many shingles are compared by halves: mistakes grow with the square of the size, and here more
+#: than SLACK have a chance of about 1e-10 for a pair (0.02 are expected)
+SAFE = 10_000
 
 
 def _overlaps(pairs: DataFrame, texts: DataFrame, n: int, narrow: bool) -> DataFrame:
     """pairs (a, b) with both sets' sizes and the size i of their intersection."""
     wanted = Bitmap.of(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))), "v")
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
-    sets = arrow(texts.select("text"), _members(n, shared, narrow), f"fp long, tokens array<{'int' if narrow else 'long'}>")
-    sets = sets.groupBy("fp").agg(F.first("tokens").alias("tokens"))
-    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("ta")), "a")
-    return both.select("a", "b", F.size("ta").alias("sa"), F.size("tb").alias("sb"), F.size(F.array_intersect("ta", "tb")).alias("i"))
+    sets = arrow(texts.select("text"), _members(n, shared, narrow), f"fp long, size int, tokens array<{'int' if narrow else 'long'}>")
+    sets = sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("ta")), "a")
+    return both.select("a", "b", "sa", "sb", F.size(F.array_intersect("ta", "tb")).alias("i"))
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of prints, a materialised table, whose sets reach the threshold.
 
-    Halves of the hashes settle all pairs but those within SLACK shingles of
-    the threshold; these are compared by whole hashes.
+    Halves of the hashes settle all pairs of sets of up to SAFE shingles but
+    those within SLACK shingles of the threshold; these, and pairs with a
+    larger set, are compared by whole hashes.
     """
 
     def reaches(i):
-        return 100 * i >= percent * (F.col("sa") + F.col("sb") - i)
+        return 100 * i.cast("long") >= percent * (F.col("sa") + F.col("sb") - i)
 
-    rough = cut(_overlaps(pairs, texts, n, True).where(reaches(F.col("i") + SLACK)))
-    close = ~reaches(F.col("i") - SLACK)
+    large = F.greatest("sa", "sb") > SAFE
+    rough = cut(_overlaps(pairs, texts, n, True).where(large | reaches(F.col("i") + SLACK)))
+    close = large | ~reaches(F.col("i") - SLACK)
     sure = rough.where(~close).select("a", "b")
     if rough.where(close).isEmpty():
         return sure

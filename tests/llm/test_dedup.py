@@ -68,6 +68,16 @@ def test_rows_without_an_id_or_with_a_repeated_one_are_judged_alone(spark):
     assert ks - {3, 4, 5} == {0, 2, 7, 8, 9, 10, 11, 12} and len(ks & {3, 4, 5}) == 1
 
 
+def test_long_sets_at_the_threshold(spark):
+    """450,000 shared of 475,000 words each: a similarity of 0.9 exactly, which halves of hashes miss by some 20."""
+    shared = " ".join(f"w{k}" for k in range(450_000))
+    rows = [(j, f"{shared} " + " ".join(f"{j}v{k}" for k in range(25_000 + (j == 3)))) for j in (1, 2, 3)]
+    df = spark.createDataFrame(rows[:2], "doc_id long, text string").repartition(2)
+    assert [r.component_id for r in jaccard_join.join(df, n=1, percent=90).collect()] == [1, 1]
+    df = spark.createDataFrame(rows[1:], "doc_id long, text string").repartition(2)
+    assert sorted(r.component_id for r in jaccard_join.join(df, n=1, percent=90).collect()) == [2, 3]
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 110), (110, 200)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(60)]
