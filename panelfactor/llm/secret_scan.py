@@ -3,18 +3,20 @@
 Base spans come from patterns (assign, access, hex).  The method adds spans of
 kind `entropy`: candidate strings, runs of MIN_LENGTH or more of letters, digits
 and + / _ = -, in which some window of WINDOW characters has a Shannon entropy
-of at least its class's threshold.  Classes are `hex` (hexadecimal digits only)
-and `mixed` (anything else).
+of at least its class's threshold.  Classes are `hex` (hexadecimal digits only),
+`letters` (letters and joiners only) and `mixed` (anything else).
 
 The entropy of each window follows from the last one's by incremental counts:
 a fold over the characters holds the count of each symbol of the class's
 alphabet and the sum of count * log2(count), from which the leaving character's
 share is taken and to which the entering one's is added.
 
-Candidates of the allow-list are suppressed: words (letters only, or lower-case
-letters, digits and joiners that read as words), plain numbers, UUIDs, strings
-with a run of the alphabet or the digits in order, placeholders, and what base
-kinds already report.
+Candidates of the allow-list are suppressed: words (lower-case, upper-case or
+capitalised ones of three letters or more, joined or run together, or
+lower-case letters, digits and joiners that read as words), plain numbers,
+UUIDs, and what base kinds already report.  A placeholder, or a run of the
+alphabet or the digits in order, suppresses the windows that touch it only:
+what stands between placeholders is judged as a candidate of its own.
 
 Offsets are in code points.  The gaps between matches and the matches' lengths
 are summed in blocks of BLOCK, so a text with very many matches stays cheap.
@@ -37,18 +39,21 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 MIN_LENGTH, WINDOW, BLOCK = 20, 20, 64
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+"
-ALPHABETS = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
+ALPHABETS = {"hex": "0123456789abcdef", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"}
 #: bits for each character from which a window is suspect
-THRESHOLDS = {"hex": 3.0, "mixed": 3.8}
+THRESHOLDS = {"hex": 3.0, "letters": 3.8, "mixed": 3.8}
 ALLOW = (
-    r"^[A-Za-z_=/+-]+$",
+    r"^[a-z_=/+-]+$",
+    r"^[A-Z_=/+-]+$",
+    # capitalised words: no run of one or two letters but of such as `By` before another word
+    r"^(?!.*(?<![A-Za-z])[a-z]{1,2}(?![a-z]))(?!.*(?<=[A-Z])[a-z](?![a-z])(?![A-Z][a-z]{2}))(?!.*(?<![A-Z])[A-Z]{2}(?![A-Z]))[A-Za-z_=/+-]+$",
     r"^[0-9+/_=-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)(abcdefgh|0123456789|123456789|example|placeholder|changeme|xxxxxxxx)",
     r"^([a-z]+|[0-9]{1,4})([-_/=+]([a-z]+|[0-9]{1,4}))*$",
     r"^[0-9a-f]{24,}$",
     r"^AKIA[A-Z0-9]{16,}$",
 )
+PLACEHOLDER = r"(?i)(?:abcdefgh|0123456789|123456789|example|placeholder|changeme|xxxxxxxx)"
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -116,11 +121,22 @@ def peak_entropy(value: Column, kind: str, window: int = WINDOW) -> Column:
 
 
 def suspicious(value: Column, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> Column:
+    """Whether the candidate, or what it has between placeholders, is suspect."""
+
+    def one(part: Column) -> Column:
+        allowed = F.length(part) < window
+        for p in ALLOW:
+            allowed = allowed | part.rlike(p)
+
+        def high(kind: str) -> Column:
+            return peak_entropy(part, kind, window) >= thresholds[kind]
+
+        return F.when(allowed, False).when(part.rlike("^[0-9a-fA-F]+$"), high("hex")).when(part.rlike("^[A-Za-z+/_=-]+$"), high("letters")).otherwise(high("mixed"))
+
     allowed = F.lit(False)
     for p in ALLOW:
         allowed = allowed | value.rlike(p)
-    is_hex = value.rlike("^[0-9a-fA-F]+$")
-    return F.when(allowed, False).when(is_hex, peak_entropy(value, "hex", window) >= thresholds["hex"]).otherwise(peak_entropy(value, "mixed", window) >= thresholds["mixed"])
+    return F.when(allowed, False).otherwise(F.exists(F.split(value, PLACEHOLDER, -1), one))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
