@@ -111,23 +111,61 @@ def pii(text):
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 
-def secrets(text, allow, thresholds, window=20):
+#: candidates that are no secrets
+HARMLESS = (
+    r"[a-z_=/+-]+",
+    r"[A-Z_=/+-]+",
+    r"[0-9+/_=-]+",
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    r"[0-9a-f]{24,}",
+    r"AKIA[A-Z0-9]{16,}",
+)
+
+
+def harmless(v):
+    if any(re.fullmatch(p, v) for p in HARMLESS):
+        return True
+    segments = re.split("[-_/=+]", v)
+    if all(re.fullmatch("[a-z]+|[0-9]{1,4}", x) for x in segments):
+        return True
+    if not re.fullmatch("[A-Za-z_=/+-]+", v):
+        return False
+    for x in segments:  # words that begin with a capital, or runs of capitals
+        for m in re.finditer("[a-z]+|[A-Z]+", x):
+            after = x[m.end() : m.end() + 3]
+            if m[0].islower() and m.start() == 0 and len(m[0]) <= 2:
+                return False
+            if m[0].islower() and m.start() > 0 and len(m[0]) == 1 and not re.match("[A-Z][a-z]{2}", after):
+                return False
+            if m[0].isupper() and len(m[0]) == 2:
+                return False
+    return True
+
+
+def entropy(part):
+    return -sum(part.count(c) / len(part) * math.log2(part.count(c) / len(part)) for c in set(part))
+
+
+def suspect(v, window=20):
+    if harmless(v):
+        return False
+    for x in re.split("(?i)abcdefgh|0123456789|123456789|example|placeholder|changeme|xxxxxxxx", v):
+        if len(x) < window or harmless(x):
+            continue
+        low = 3.8
+        if re.fullmatch("[0-9a-fA-F]+", x):
+            x, low = x.lower(), 3.0
+        if any(entropy(x[k : k + window]) >= low - 1e-9 for k in range(len(x) - window + 1)):
+            return True
+    return False
+
+
+def secrets(text):
     text = text or ""
     base = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     base += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
-    more = []
-    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
-        v = m[0]
-        if len(v) >= 20 and not any(re.search(p, v) for p in allow):
-            kind = "hex" if re.fullmatch("[0-9a-fA-F]+", v) else "mixed"
-            x = v.lower() if kind == "hex" else v
-            best = 0.0
-            for k in range(len(x) - window + 1):
-                part = x[k : k + window]
-                best = max(best, -sum(part.count(c) / window * math.log2(part.count(c) / window) for c in set(part)))
-            if best >= thresholds[kind] - 1e-9:
-                more.append((m.start(), 3, m.end(), "entropy"))
+    more = [(m.start(), 3, m.end(), "entropy") for m in re.finditer("[A-Za-z0-9+/_=-]+", text) if len(m[0]) >= 20 and suspect(m[0])]
     counts = [sum(s[1] == k for s in base) for k in range(3)]
 
     def text_of(spans):

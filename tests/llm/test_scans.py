@@ -4,6 +4,7 @@ import hashlib
 import random
 import string
 import struct
+import time
 import zlib
 
 import public_tokenizers
@@ -180,7 +181,7 @@ def _text(spans):
 
 
 def test_secrets(spark, docs, corpus):
-    want = [(r[0], *brute.secrets(r[1], secret_scan.ALLOW, secret_scan.THRESHOLDS)) for r in corpus]
+    want = [(r[0], *brute.secrets(r[1])) for r in corpus]
     same(secrets_of(secret_scan.scan(docs)), want)
 
 
@@ -198,7 +199,7 @@ def test_secrets_of_random_texts(spark):
     rows.append((900, "token=abcdef " * 700))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = secret_scan.scan(df)
-    want = [(i, *brute.secrets(t, secret_scan.ALLOW, secret_scan.THRESHOLDS)) for i, t in rows]
+    want = [(i, *brute.secrets(t)) for i, t in rows]
     same(secrets_of(got), want)
     assert any("entropy" in w[5] for w in want)
     plan = got._jdf.queryExecution().executedPlan().toString()
@@ -214,6 +215,26 @@ def test_letter_keys_and_keys_beside_placeholders(spark):
     assert got == set(range(len(found)))
 
 
+def test_long_secrets_cost_their_length(spark):
+    """A megabyte each of what once recursed or cost its square: joined segments, base64, assignments."""
+    rng = random.Random(5)
+    chars = string.ascii_letters + string.digits + "+/"
+    rows = [
+        (0, "a-1" + "-a" * 500_000),
+        (1, "".join(rng.choice(chars) for _ in range(1_000_000))),
+        (2, " ".join(f"token = {''.join(rng.choice(chars) for _ in range(40))}" for _ in range(20_000))),
+        (3, "".join(rng.choice(string.ascii_letters) for _ in range(300_000))),
+        (4, "0123456789abcdef" * 60_000),
+        (5, "Ab" * 500_000),
+        (6, "key=" * 250_000),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    began = time.monotonic()
+    got = secrets_of(secret_scan.scan(df))
+    assert time.monotonic() - began < 60
+    same(got, [(i, *brute.secrets(t)) for i, t in rows])
+
+
 # 9
 
 
