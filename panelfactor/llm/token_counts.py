@@ -13,13 +13,23 @@ side, the maps are composed by a prefix scan, and with the start state of each
 chunk known a second run gives all outputs.  One very long text thus costs no
 more than many short ones.
 
-The second transducer has one transition for each piece, from its start state
-back to it, annotated with the number of tokens that the piece emits.  It is
-compiled as pieces occur, by the merges of the tokenizer file, and holds at
-most PIECES transitions at a time.
+The second transducer reads the bytes of a piece.  Its transitions carry how
+the number of tokens changes: bytes that complete a longer token take back what
+was emitted for its parts, so the sum along a path is the number of tokens of
+the piece.  It rests on a property of byte-pair merges: a sequence of tokens is
+the encoding of its text if each two neighbours encode to themselves.  So every
+prefix has one last token, the longest that ends there and fits the last token
+of what precedes it.  A state holds what later bytes can depend on: the suffix
+that may still grow into a token, and at each of its places from which one may
+grow the last token before and the difference in count.  States that agree in
+this are one, so the machine is finite also over endless input; transitions are
+determined from the merges when first taken, and when STATES states are
+reached compilation starts again.  Equal pieces of a slice are read once, and
+the sums of up to PATHS whole paths are kept.
 
 A special token in a text is one token and ends the pieces around it, the
-library's default.  A null text is empty and has no tokens.
+library's default.  A null text is empty and has no tokens.  Rows stay as they
+are, with any id, null and repeated ones too.
 """
 
 from __future__ import annotations
@@ -40,8 +50,10 @@ from panelfactor.llm import _words as W
 from panelfactor.llm._spark import arrow, documents
 
 CHUNK = 256
-#: pieces kept compiled, and the length from which one is not kept
-PIECES, LONG = 400_000, 64
+#: states of the second transducer that are held at most (about 1 kB each)
+STATES = 250_000
+#: whole paths that are kept at most, and the bytes of their pieces
+PATHS, KEPT = 500_000, 64
 
 # character classes
 STMD, R_V, ELL, E, LETTER, NUMBER, SPACE, BLANK, QUOTE, OTHER, END = range(11)
@@ -146,53 +158,167 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Pieces(dict):
-    """Transitions of the second transducer: piece -> tokens that it emits."""
-
-    def __init__(self, model):
-        self.model = model
-
-    def __missing__(self, piece: str) -> int:
-        letters = byte_letters()
-        n = len(self.model.tokenize("".join([letters[b] for b in piece.encode()])))
-        if len(piece) < LONG:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = n
-        return n
+class Merges:
+    """Byte-pair merges by rank, and what follows from them for tokens."""
+
+    def __init__(self, merges: list[tuple[bytes, bytes]]):
+        self.rank = {pair: k for k, pair in enumerate(merges)}
+        self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in merges}
+        self.heads = {t[:n] for t in self.tokens for n in range(1, len(t))}
+        self._halves = {a + b: (a, b) for a, b in reversed(merges)}
+        self._edges: dict[bytes, tuple[tuple, tuple]] = {}
+
+    def encode(self, data: bytes) -> list[bytes]:
+        """The tokens of a short string, by the merges themselves: the lowest rank first, the leftmost of equals."""
+        parts = [data[k : k + 1] for k in range(len(data))]
+        while len(parts) > 1:
+            ranks = [self.rank.get(pair, len(self.rank)) for pair in zip(parts, parts[1:])]
+            low = min(ranks)
+            if low == len(self.rank):
+                break
+            k = ranks.index(low)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    def edges(self, token: bytes) -> tuple[tuple, tuple]:
+        """What stands at the token's left and at its right end over time: (part, rank at which it merges into the next), short to long.
+
+        Both are empty for a token that its own merges do not lead to.
+        """
+        known = self._edges.get(token)
+        if known is None:
+            sides: list[list] = [[], []]
+            if self.encode(token) == [token]:
+                for side in (0, 1):
+                    part, until = token, len(self.rank)
+                    while True:
+                        sides[side].append((part, until))
+                        if len(part) == 1:
+                            break
+                        halves = self._halves[part]
+                        part, until = halves[side], self.rank[halves]
+            known = self._edges[token] = (tuple(sides[0]), tuple(sides[1]))
+        return known
+
+    def fits(self, before: bytes, token: bytes) -> bool:
+        """Whether `token` stays as it is after `before`; an empty `before` is the start of a piece.
+
+        They stay apart unless a pair with a rank meets at their border while
+        both of its parts are there: until either merges with what stands on
+        its other side, which on the left comes first if ranks are equal.
+        """
+        left = self.edges(token)[0]
+        if not before or not left:
+            return bool(left)
+        rank = self.rank.get
+        for a, a_until in self.edges(before)[1]:
+            for b, b_until in left:
+                met = rank((a, b))
+                if met is not None and met < a_until and met <= b_until:
+                    return False
+        return True
+
+
+class State(dict):
+    """A state of the second transducer: byte -> (next state, change of the number of tokens)."""
+
+    __slots__ = ("machine", "places", "suffix")
+
+    def __init__(self, machine: Machine, suffix: bytes, places: tuple):
+        self.machine, self.suffix, self.places = machine, suffix, places
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        self[byte] = out = self.machine.compile(self.suffix, self.places, byte)
+        return out
+
+
+class Machine:
+    """The second transducer.
+
+    `places` of a state are (length of the suffix from here on, last token
+    before, tokens up to here less those up to the end), for each place where
+    a later token may begin.
+    """
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.states: dict[tuple, State] = {}
+        self.paths: dict[bytes, int] = {}
+        self.begin = self.state(b"", ((0, b"", 0),))
+
+    def state(self, suffix: bytes, places: tuple) -> State:
+        key = (suffix, places)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, suffix, places)
+        return found
+
+    def compile(self, suffix: bytes, places: tuple, byte: int) -> tuple[State, int]:
+        grown = suffix + bytes([byte])
+        tokens, heads = self.merges.tokens, self.merges.heads
+        for size, before, count in places:  # the longest token first
+            token = grown[len(grown) - size - 1 :]
+            if token in tokens and self.merges.fits(before, token):
+                change = count + 1
+                break
+        else:
+            raise ValueError("merges under which a prefix has no last token")
+        live = [(size + 1, before, count - change) for size, before, count in places if grown[len(grown) - size - 1 :] in heads]
+        live.append((0, token, 0))
+        return self.state(grown[len(grown) - live[0][0] :], tuple(live)), change
+
+    def __call__(self, piece: bytes) -> int:
+        """The tokens of a piece; whole paths of pieces that were read before are kept."""
+        total = self.paths.get(piece)
+        if total is None:
+            if len(self.states) > STATES:
+                self.states.clear()  # states that still refer to one another go with the last reference
+                self.begin = self.state(b"", ((0, b"", 0),))
+            if len(self.paths) > PATHS:
+                self.paths.clear()
+            node, total = self.begin, 0
+            for byte in piece:
+                node, change = node[byte]
+                total += change
+            if len(piece) <= KEPT:
+                self.paths[piece] = total
+        return total
 
 
 @functools.lru_cache(maxsize=2)
-def _compiled(spec: str) -> tuple[Pieces, re.Pattern | None]:
-    from tokenizers import Tokenizer
-
+def _compiled(spec: str) -> tuple[Machine, re.Pattern | None]:
     own = json.loads(spec)
-    before = own.get("pre_tokenizer") or {}
-    if own["model"]["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or own.get("normalizer"):
+    before, model = own.get("pre_tokenizer") or {}, own["model"]
+    plain = not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"))
+    if model["type"] != "BPE" or not plain or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or own.get("normalizer"):
         raise ValueError("only byte-level BPE without normaliser and prefix space can be compiled")
+    byte_of = {letter: b for b, letter in byte_letters().items()}
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    merges = [(bytes(byte_of[c] for c in a), bytes(byte_of[c] for c in b)) for a, b in pairs]
     special = [re.escape(t["content"]) for t in own.get("added_tokens", [])]
-    return Pieces(Tokenizer.from_str(spec).model), re.compile("|".join(sorted(special, key=len, reverse=True))) if special else None
+    return Machine(Merges(merges)), re.compile("|".join(sorted(special, key=len, reverse=True))) if special else None
 
 
 def count_tokens(texts: list[str], spec: str) -> np.ndarray:
     """Tokens of each text."""
-    pieces, special = _compiled(spec)
+    machine, special = _compiled(spec)
     joined = "\x00".join(texts) + "\x00"
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(size + 1) - 1
-    kinds = class_table()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    kinds = class_table()[points]
     kinds[ends] = END
     extra = []
     for found in special.finditer(joined) if special else ():
         kinds[found.start() : found.end()] = END
         extra.append(found.start())
-    begins = piece_starts(kinds)
-    start = np.flatnonzero(begins)
-    stop = np.append(start[1:], len(kinds))
-    real = kinds[start] != END
-    start, stop = start[real], stop[real]
+    start = np.flatnonzero(piece_starts(kinds))
     # pieces end where the next begins, or at an END, which always begins one
-    counts = np.fromiter(map(pieces.__getitem__, [joined[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]), np.int64, len(start))
+    at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)])
+    offsets = np.append(at[start], at[-1])
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())]).dictionary_encode()
+    each = np.fromiter(map(machine, pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
+    counts = np.where(kinds[start] == END, 0, each[pieces.indices.to_numpy()])
     total = np.bincount(np.searchsorted(ends, start), weights=counts, minlength=len(texts)).astype(np.int64)
     if extra:
         total += np.bincount(np.searchsorted(ends, extra), minlength=len(texts))

@@ -256,6 +256,32 @@ def test_tokens_of_any_text(texts):
     assert token_counts.count_tokens(texts, spec).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_compiled_merges_follow_the_library(monkeypatch):
+    """Pieces of one kind of character, long ones too, with states and paths thrown away often; the library counts no token of the result."""
+    rng = random.Random(3)
+    with open(TOKENIZER, encoding="utf-8") as f:
+        spec = f.read()
+    monkeypatch.setattr(token_counts, "STATES", 300)
+    monkeypatch.setattr(token_counts, "PATHS", 50)
+    library = Tokenizer.from_str(spec)
+    alphabets = [string.ascii_lowercase, "ab", "aetionrsh", string.ascii_letters, "=-*#", "0123456789", "éüßñ", "中文字"]
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (1, 2, 3, 7, 20, 60, 400)]
+    texts += ["x" * 5000, "=" * 3000, "ab" * 2000, " " * 999, "<|endoftext|>" * 40, "the" * 500]
+    assert token_counts.count_tokens(texts, spec).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    machine = token_counts._compiled(spec)[0]
+    for t in rng.sample(texts, 20):
+        assert machine(t.encode()[:30]) == len(machine.merges.encode(t.encode()[:30]))
+
+
+def test_long_runs_reach_a_finite_number_of_states():
+    with open(TOKENIZER, encoding="utf-8") as f:
+        machine = token_counts._compiled(f.read())[0]
+    machine(b"z" * 3000)
+    before = len(machine.states)
+    machine(b"z" * 90_000)
+    assert len(machine.states) == before
+
+
 def test_chunk_size_does_not_matter():
     import numpy as np
 
