@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -57,24 +58,43 @@ def test_quality_edges(spark, docs, nothing, labelled):
     assert quality_classifier.score(nothing, model, out="p").count() == 0
 
 
-def rake(rows, alpha, rounds):
-    """(source, lang, topic, tokens) to weights, over a dense table."""
-    names = [sorted({r[k] for r in rows}, key=str) for k in range(3)]
-    x = np.zeros([len(n) for n in names])
-    for r in rows:
-        x[tuple(n.index(v) for n, v in zip(names, r[:3], strict=True))] += r[3]
-    y = x.copy()
-    for _ in range(rounds):
-        for axis in range(3):
-            other = tuple(k for k in range(3) if k != axis)
-            own = x.sum(axis=other)
-            share = np.where(own > 0, own, 1) ** alpha * (own > 0)
-            target = x.sum() * share / share.sum()
-            now = y.sum(axis=other)
-            factor = np.divide(target, now, out=np.zeros_like(target), where=now > 0)
-            y *= factor.reshape([-1 if k == axis else 1 for k in range(3)])
-    ratio = np.divide(y, x, out=np.zeros_like(x), where=x > 0)
-    return {tuple(n[k] for n, k in zip(names, cell, strict=True)): ratio[cell] for cell in np.ndindex(*x.shape)}, y, names
+def rake(rows, rate=mixing.RATE):
+    """(source, lang, topic, tokens) rows: the chance of each cell, and the cells' expected tokens, margins and targets.
+
+    The same fixed point by another road: each margin's factors are found by bisection over what its cells give.
+    """
+    x = defaultdict(int)
+    for *cell, n in rows:
+        x[tuple(cell)] += n
+    cells = list(x)
+    cap = np.array([x[c] for c in cells], float)
+    total = rate * cap.sum()
+
+    def solve(cap, y, goal):
+        """min(cap, f * y) with the sum `goal`, or cap where that cannot be."""
+        if goal >= cap.sum() * (1 - 1e-12):
+            return cap.copy()
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.minimum(cap, 10**mid * y).sum() < goal else (low, mid)
+        return np.minimum(cap, 10**high * y)
+
+    names, at, targets = [], [], []
+    for k in range(3):
+        values = sorted({c[k] for c in cells}, key=str)
+        index = np.array([values.index(c[k]) for c in cells])
+        own = np.bincount(index, cap)
+        share = own**mixing.ALPHA * (own > 0)
+        names.append(values)
+        at.append(index)
+        targets.append(solve(own, share / share.sum() * total, total))
+    y = cap * rate
+    for _ in range(60):
+        for index, target in zip(at, targets, strict=True):
+            for v, goal in enumerate(target):
+                y[index == v] = solve(cap[index == v], y[index == v], goal)
+    return {c: (y[k] / cap[k] if cap[k] else 0.0) for k, c in enumerate(cells)}
 
 
 def topic(text):
@@ -86,43 +106,62 @@ def tokens(text):
 
 
 def test_mixing(docs, corpus):
-    out = mixing.weigh(docs).collect()
-    weights, y, names = rake([(r[3], r[2], topic(r[1]), tokens(r[1])) for r in corpus], mixing.ALPHA, mixing.ROUNDS)
+    out = mixing.weigh(docs, rate=0.05, rounds=60).collect()
+    chance = rake([(r[3], r[2], topic(r[1]), tokens(r[1])) for r in corpus], 0.05)
     assert len(out) == len(corpus)
     for r in out:
         assert (r._topic, r._tokens) == (topic(r.text), tokens(r.text))
-        assert r._probability == pytest.approx(min(1, mixing.RATE * weights[r.source, r.lang, r._topic]), abs=1e-9)
-    total = sum(tokens(r[1]) for r in corpus)
-    share = np.array([sum(tokens(r[1]) for r in corpus if topic(r[1]) == t) for t in names[2]], float) ** mixing.ALPHA
-    assert y.sum(axis=(0, 1)) == pytest.approx(total * share / share.sum())
-    again = mixing.weigh(docs.repartition(3)).where("_sampled").select("id").collect()
+        assert r._probability == pytest.approx(chance[r.source, r.lang, r._topic], abs=1e-6)
+        assert r._probability <= 1 and r._copies == int(r._sampled)
+    again = mixing.weigh(docs.repartition(3), rate=0.05, rounds=60).where("_sampled").select("id").collect()
     assert sorted(r.id for r in again) == sorted(r.id for r in out if r._sampled)
 
 
-def test_mixing_reaches_the_targets(spark):
-    """A hot source and rare topics: weights far above 1 / rate."""
+def hot(spark):
+    """A hot source and rare topics, whose targets are far above what they have."""
     rng = random.Random(12)
     kinds = [("plain words only", 0.9), ("mail@site", 0.03), ("License text", 0.03), ("a | b", 0.02), ("def f", 0.02)]
     rows = [(k, rng.choices([t for t, _ in kinds], [w for _, w in kinds])[0] + " word" * rng.randint(1, 40), "src0" if k % 3 == 0 else f"src{k % 17}", rng.choice(["en", "en", "en", "de"])) for k in range(6000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+
+
+def test_mixing_reaches_every_reachable_target(spark):
+    df = hot(spark)
+    report = mixing.margins(df).toPandas()
+    total = report[report.margin == "lang"].tokens.sum()
+    for _, own in report.groupby("margin"):
+        share = own.tokens**mixing.ALPHA / (own.tokens**mixing.ALPHA).sum()
+        assert own.wanted.to_numpy() == pytest.approx((share * mixing.RATE * total).to_numpy())
+        assert own.target.sum() == pytest.approx(mixing.RATE * total) and (own.target <= own.tokens * (1 + 1e-9)).all()
+        whole = own.target >= own.tokens * (1 - 1e-9)
+        assert (own.target[~whole] >= own.wanted[~whole] * (1 - 1e-9)).all()
+    assert (report.target < 0.9 * report.wanted).sum() == 4  # the rare topics
+    assert ((report.expected - report.target).abs() <= 0.01 * report.target).all()
     out = mixing.weigh(df).toPandas()
-    assert out._expected.max() > 2 and ((out._copies > 0) == out._sampled).all()
-    drawn = mixing.weigh(mixing.sample(df)).toPandas()
-    assert len(drawn) == out._copies.sum()
+    assert out._probability.max() <= 1
     for m in mixing.MARGINS:
-        own = out.groupby(f"_{m}")._tokens.sum().astype(float)
-        target = own**mixing.ALPHA / (own**mixing.ALPHA).sum()
-        expected = (out._tokens * out._expected).groupby(out[f"_{m}"]).sum()
-        assert expected.sum() == pytest.approx(mixing.RATE * own.sum())
-        assert (expected / expected.sum() - target).abs().max() < 1e-6
-        assert (drawn.groupby(f"_{m}")._tokens.sum() / drawn._tokens.sum() - target).abs().max() < 0.02
+        own = report[report.margin == m].set_index("value")
+        expected = (out._tokens * out._probability).groupby(out[f"_{m}"]).sum()
+        assert expected.to_dict() == pytest.approx(own.expected.to_dict())
+        drawn = out[out._sampled].groupby(f"_{m}")._tokens.sum()
+        assert (drawn - own.target).abs().max() < 0.03 * mixing.RATE * total
+
+
+def test_mixing_with_repeated_rows_reaches_all(spark):
+    df = hot(spark)
+    report = mixing.margins(df, repeats=8).toPandas()
+    assert report.target.to_numpy() == pytest.approx(report.wanted.to_numpy()) and report.expected.to_numpy() == pytest.approx(report.target.to_numpy(), rel=1e-6)
+    out = mixing.weigh(df, repeats=8).toPandas()
+    assert out._expected.max() > 2 and ((out._copies > 0) == out._sampled).all()
+    assert mixing.sample(df, repeats=8).count() == out._copies.sum()
 
 
 def test_mixing_without_broadcast_and_with_given_targets(docs, monkeypatch):
-    plain = sorted((r.id, round(r._probability, 9)) for r in mixing.weigh(docs).collect())
+    plain = sorted((r.id, round(r._probability, 7)) for r in mixing.weigh(docs).collect())
     monkeypatch.setattr(mixing, "CELLS", 0)
-    assert sorted((r.id, round(r._probability, 9)) for r in mixing.weigh(docs).collect()) == plain
-    given = mixing.weigh(docs, targets={"lang": {"en": 3, "nowhere": 1}, "source": {}}, rate=1.0)
+    assert sorted((r.id, round(r._probability, 7)) for r in mixing.weigh(docs).collect()) == plain
+    given = mixing.weigh(docs, targets={"lang": {"en": 3, "nowhere": 1}, "source": {}}, rate=0.2)
+    assert given.where("_probability > 0").count() > 10
     assert given.where("lang <> 'en' and _probability > 0").count() == 0
 
 
@@ -172,13 +211,13 @@ def test_pipeline(spark, labelled, tmp_path):
     bad = {w[0] for w in brute.contamination([(r[0], r[1]) for r in single], items) if w[5]}
     pure = [r for r in single if r[0] not in bad]
     assert bad and len(single) < len(clean) < len(rows)
-    weights, _, _ = rake([(r[3], r[2], topic(r[1]), tokens(r[1])) for r in pure], mixing.ALPHA, mixing.ROUNDS)
+    chance = rake([(r[3], r[2], topic(r[1]), tokens(r[1])) for r in pure])
     import hashlib
 
     def draw(i):
         return int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:12], 16) / 2**48
 
-    want = sorted((r[0], r[1], r[4]) for r in pure if draw(r[0]) < min(1, mixing.RATE * weights[r[3], r[2], topic(r[1])]))
+    want = sorted((r[0], r[1], r[4]) for r in pure if draw(r[0]) < chance[r[3], r[2], topic(r[1])])
     assert got == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "benchmark", "mix"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
