@@ -67,6 +67,28 @@ def null_id(name: str):
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
+#: rows that `lookup` may broadcast: of a key, some weights and values
+HEAVY = 10_000
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
+    """left with right's columns but `weight`, by `key`; how is left or inner.
+
+    right has one row for each key, and as `weight` about how many rows of left
+    have it.  Keys with more than 1 / HEAVY of all weight are HEAVY at most;
+    they are broadcast, so their rows stay where they are and no task of the
+    shuffle join that serves the others meets a hot key.  A right side of up to
+    HEAVY rows is broadcast whole.  left and right should be materialised.
+    """
+    n, total = right.agg(F.count("*"), F.sum(weight)).first()
+    plain = right.drop(weight)
+    if n <= HEAVY:
+        return left.join(F.broadcast(plain), key, how)
+    heavy = F.broadcast(right.where(F.col(weight) * HEAVY > total).drop(weight))
+    light = left.join(heavy.select(key), key, "left_anti").join(right.where(F.col(weight) * HEAVY <= total).drop(weight), key, how)
+    return left.join(heavy, key).unionByName(light)
+
+
 class Bitmap:
     """A set of 64-bit hashes in a bit array of fixed size: no member is missed, a few others pass.
 

@@ -10,16 +10,25 @@ size - ceil(t * size) + 1 of each.  How common a shingle is comes from counts
 in slices of the input; any order gives the same links, so rare shingles
 missing from that table cost nothing but time.
 
-* Index-level skipping: a list holds positions, and a pair that cannot reach
-  the threshold from its positions and sizes is skipped unread, and so is one
-  whose parity sketches (128 bits of a set) differ in too many bits.
-* Answer-level skipping: the set with the fewest rarer shingles leads its list
-  and answers for it.  Every member is compared with a leader; members that
-  link to it are answered with its component, and of a list only pairs that
-  lie in different components are compared afterwards.  Near-copies thus cost
-  a comparison each rather than one for each pair, and no link is lost.
-
-Equal sets are one class from the start.  Null or wordless texts have no set
+* Answers of similar sets.  The set with the fewest rarer shingles leads its
+  list.  Every set is compared with the one leader that it resembles most by
+  parity sketch; one that links takes it as its reference, with the exact size
+  d of their symmetric difference.  That size is a metric, so what is known of
+  two references r and q decides for their followers x and y: their difference
+  lies within d(x) + d(y) of that of r and q.  Between components, references
+  are compared once, and followers only where these bounds leave it open.
+* Blocks that are skipped.  A list between components holds references, in
+  blocks by size and by position of at most BLOCK rows.  A directory with the
+  least and greatest sizes and the least position of each block tells which
+  pairs of blocks can hold a link; only these are read, each as a unit of work
+  of its own, so that a long list is spread over many tasks.  Pairs of single
+  references that cannot link by sizes, positions or sketches are passed over.
+
+All comparisons are by whole 64-bit hashes of shingles.
+
+Equal sets are one class from the start, by a print of 64 bits; prints that two
+sets with different second prints share give way to the second one, so classes
+rest on 128 bits.  Null or wordless texts have no set
 and stay alone.  A null doc_id sorts last.  Rows sharing a doc_id are
 separate sets under one id; component_id is the least doc_id among all rows
 that links reach.
@@ -27,7 +36,9 @@ that links reach.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelfactor.llm import _words as W
-from panelfactor.llm._spark import Bitmap, arrow, cut, documents, masked, null_id
+from panelfactor.llm._spark import Bitmap, arrow, cut, documents, lookup, masked, null_id
 
 #: shingles in the table of common ones; the rest rank as rare, by hash
 COMMON = 200_000
@@ -69,11 +80,24 @@ def _sort_each(h: np.ndarray, off: np.ndarray) -> None:
         h[a:b].sort()
 
 
-def _prints(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A 64-bit print of each set (0 for an empty one): a sum, finalised with the size."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)])
-    size = np.diff(off)
-    return np.where(size > 0, W.mix(total[off[1:]] - total[off[:-1]] + size.astype(np.uint64)), 0)
+@dataclass
+class Prints:
+    """Names of sets: a 64-bit print, or a second one where `shared` has the first."""
+
+    shared: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    bits: int = 64
+
+    def both(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two prints of each set (0 for an empty one): sums over its shingles, finalised with its size."""
+        size, out = np.diff(off), []
+        for salt in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix(h ^ np.uint64(salt)), dtype=np.uint64)])
+            out.append(np.where(size > 0, W.mix(total[off[1:]] - total[off[:-1]] + size.astype(np.uint64)), 0))
+        return out[0] >> np.uint64(64 - self.bits), out[1]
+
+    def of(self, h: np.ndarray, off: np.ndarray) -> np.ndarray:
+        one, two = self.both(h, off)
+        return np.where(np.isin(one, self.shared), two, one)
 
 
 #: words of a set's parity sketch
@@ -99,23 +123,23 @@ def _parts(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20):
         yield from W.slices(batch, "text", limit)
 
 
-def _classes(n: int):
+def _classes(n: int, prints: Prints):
     def work(batches):
         for part in _parts(batches):
             h, off = _sets(part, n)
-            g = _parities(h, off)
-            yield pa.record_batch([part.column("id"), part.column("doc_id"), part.column("row"), pa.array(np.diff(off)), pa.array(_prints(h, off).view(np.int64)), *(pa.array(np.ascontiguousarray(g[:, k])) for k in range(WORDS))], names=["id", "doc_id", "row", "n_shingles", "fp", *SKETCH])
+            g, (one, two) = _parities(h, off), prints.both(h, off)
+            yield pa.record_batch([part.column("id"), part.column("doc_id"), part.column("row"), pa.array(np.diff(off)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(g[:, k])) for k in range(WORDS))], names=["id", "doc_id", "row", "n_shingles", "one", "two", *SKETCH])
 
     return work
 
 
-def _counts(n: int):
+def _counts(n: int, prints: Prints):
     """Shingles met in several different sets of a slice."""
 
     def work(batches):
         for part in _parts(batches, 32 << 20):
             h, off = _sets(part, n)
-            _, one = np.unique(_prints(h, off), return_index=True)
+            _, one = np.unique(prints.of(h, off), return_index=True)
             keep = np.zeros(part.num_rows, bool)
             keep[one] = True
             value, count = np.unique(h[np.repeat(keep, np.diff(off))], return_counts=True)
@@ -125,18 +149,19 @@ def _counts(n: int):
     return work
 
 
-def _prefixes(n: int, percent: int, shared, met=None):
-    """Prefix entries of every set; with `met`, a bit array, of the tokens in it only."""
+def _prefixes(n: int, percent: int, prints: Prints, shared, met=None):
+    """(token, fp) of every set's prefix; with `met`, a bit array, whole entries for the tokens in it only."""
 
     def work(batches):
         common, rank = shared.value
         for part in _parts(batches):
             h, off = _sets(part, n)
-            fp, size = _prints(h, off), np.diff(off)
+            fp, size = prints.of(h, off), np.diff(off)
             _, one = np.unique(fp, return_index=True)  # equal sets of a slice are sent once
             keep = np.zeros(part.num_rows, bool)
             keep[one] = True
             keep &= size > 0
+            g = _parities(h, off) if met is not None else None
             length = np.where(keep, size - (percent * size + 99) // 100 + 1, 0)
             doc = np.repeat(np.arange(part.num_rows), size)
             inside = keep[doc]
@@ -153,30 +178,29 @@ def _prefixes(n: int, percent: int, shared, met=None):
             if met is not None:
                 head &= met.value.has(h << np.uint64(7))
             h, doc, pos = h[head], doc[head], pos[head]
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(fp[doc].view(np.int64)), pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "fp", "size", "pos"])
+            columns = [pa.array(h.view(np.int64)), pa.array(fp[doc].view(np.int64))]
+            if met is not None:
+                columns += [pa.array(size[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(np.ascontiguousarray(g[doc, k])) for k in range(WORDS))]
+            yield pa.record_batch(columns, names=["token", "fp", "size", "pos", *SKETCH][: len(columns)])
 
     return work
 
 
-def _members(n: int, shared, narrow: bool):
-    """Whole sets and their sizes, of the prints in a bit array only; narrow: the upper half of each hash, and no tokens of sets above SAFE."""
+def _members(n: int, prints: Prints, shared):
+    """Whole sets of the prints in a bit array."""
 
     def work(batches):
         wanted = shared.value
         for part in _parts(batches):
             h, off = _sets(part, n)
-            fp, size = _prints(h, off), np.diff(off)
+            fp, size = prints.of(h, off), np.diff(off)
             _, one = np.unique(fp, return_index=True)
             keep = np.zeros(part.num_rows, bool)
             keep[one] = True
             keep &= (size > 0) & wanted.has(fp)
-            own = size[keep]
-            sent = keep & (size <= SAFE) if narrow else keep
-            length = np.where(sent, size, 0)[keep]
-            tokens = h[np.repeat(sent, size)]
-            values = (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32) if narrow else tokens.view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(values))
-            yield pa.record_batch([pa.array(fp[keep].view(np.int64)), pa.array(own.astype(np.int32)), lists], names=["fp", "size", "tokens"])
+            tokens = h[np.repeat(keep, size)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32)), pa.array(tokens.view(np.int64)))
+            yield pa.record_batch([pa.array(fp[keep].view(np.int64)), lists], names=["fp", "tokens"])
 
     return work
 
@@ -188,61 +212,56 @@ def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "root"
     then its label's own label, so that paths halve; rows stay one per node.
     """
     edges = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    state = cut(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")))
+    state = cut(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l"), F.count("*").alias("n")))
     while True:
-        near = edges.join(state.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        low = state.join(near, "x").select("x", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("moved"))
+        near = lookup(edges, state.withColumnRenamed("x", "y"), "y", "n", "inner").groupBy("x").agg(F.min("l").alias("m"))
+        both = cut(state.join(near, "x"))
         # a node hands its new label to its old root, and then reads its root's
-        up = state.join(near, "x").where("m < l").groupBy(F.col("l").alias("x")).agg(F.min("m").alias("u"))
-        low = low.join(up, "x", "left").select("x", F.least("l", F.coalesce("u", "l")).alias("l"), (F.col("moved") | F.coalesce(F.col("u") < F.col("l"), F.lit(False))).alias("moved"))
-        low = cut(low)
-        jump = low.select(F.col("x").alias("l"), F.col("l").alias("ll"))
-        state = cut(low.join(jump, "l", "left").select("x", F.least("l", F.coalesce("ll", "l")).alias("l"), (F.col("moved") | F.coalesce(F.col("ll") < F.col("l"), F.lit(False))).alias("moved")))
+        up = both.where("m < l").groupBy(F.col("l").alias("x")).agg(F.min("m").alias("u"))
+        low = cut(both.join(up, "x", "left").select("x", "n", F.least("l", "m", F.coalesce("u", "l")).alias("l"), (F.least("m", F.coalesce("u", "m")) < F.col("l")).alias("moved")))
+        jump = low.groupBy("l").agg(F.count("*").alias("rows")).join(low.select(F.col("x").alias("l"), F.col("l").alias("ll")), "l")
+        state = cut(lookup(low, cut(jump), "l", "rows").select("x", "n", F.least("l", "ll").alias("l"), (F.col("moved") | (F.coalesce("ll", "l") < F.col("l"))).alias("moved")))
         if state.where("moved").isEmpty():
             return state.select(F.col("x").alias("node"), F.col("l").alias(label))
-        state = state.select("x", "l")
+        state = state.drop("moved")
 
 
-#: a pair is settled by halves of hashes if that many mistaken matches would not change its outcome
-SLACK = 4
-#: only sets of up to so many shingles are compared by halves: mistakes grow with the square of the size, and here more
-#: than SLACK have a chance of about 1e-10 for a pair (0.02 are expected)
-SAFE = 10_000
+#: a set is dealt in copies from this part of all pairs on, and this number of them
+SHARE, SPLIT = 1000, 256
 
 
-def _overlaps(pairs: DataFrame, texts: DataFrame, n: int, narrow: bool) -> DataFrame:
-    """pairs (a, b) with both sets' sizes and the size i of their intersection."""
-    wanted = Bitmap.of(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))), "v")
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)
-    sets = arrow(texts.select("text"), _members(n, shared, narrow), f"fp long, size int, tokens array<{'int' if narrow else 'long'}>")
-    sets = sets.groupBy("fp").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
-    both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("size").alias("sb"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("fp").alias("a"), F.col("size").alias("sa"), F.col("tokens").alias("ta")), "a")
-    return both.select("a", "b", "sa", "sb", F.size(F.array_intersect("ta", "tb")).alias("i"))
+def _with_set(df: DataFrame, pairs: DataFrame, total: int, side: str, sets: DataFrame) -> DataFrame:
+    """df, whose pairs are the `total` ones of pairs, with the set of column `side`.
 
+    A set in more than 1 / SHARE of the pairs and more than SPLIT of them, so
+    one of SHARE at most, is dealt in copies, 2 * SHARE in all at most.
+    """
+    most = max(total / SHARE, SPLIT)
+    often = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > most).select(side, F.ceil(F.col("n") / most).cast("int").alias("copies"))
+    often = F.broadcast(often)
+    salted = df.join(often, side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+    own = pairs.select(side).distinct().join(sets.withColumnsRenamed({"fp": side, "tokens": f"t{side}"}), side)
+    own = own.join(often, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    return salted.join(own, [side, "salt"]).drop("salt")
 
-def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of prints, a materialised table, whose sets reach the threshold.
 
-    Halves of the hashes settle all pairs of sets of up to SAFE shingles but
-    those within SLACK shingles of the threshold; these, and pairs with a
-    larger set, are compared by whole hashes.
-    """
+def _overlaps(pairs: DataFrame, texts: DataFrame, n: int, prints: Prints) -> DataFrame:
+    """The pairs (a, b) of prints, a materialised table, with their sets' sizes sa and sb and the size i of the intersection."""
+    wanted = Bitmap.of(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))), "v")
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    sets = arrow(texts.select("text"), _members(n, prints, shared), "fp long, tokens array<long>").groupBy("fp").agg(F.first("tokens").alias("tokens"))
+    both, total = pairs, pairs.count()
+    for side in ("a", "b"):
+        both = _with_set(both, pairs, total, side, sets)
+    return both.select(*pairs.columns, F.size("ta").alias("sa"), F.size("tb").alias("sb"), F.size(F.array_intersect("ta", "tb")).alias("i"))
 
-    def reaches(i):
-        return 100 * i.cast("long") >= percent * (F.col("sa") + F.col("sb") - i)
 
-    large = F.greatest("sa", "sb") > SAFE
-    rough = cut(_overlaps(pairs, texts, n, True).where(large | reaches(F.col("i") + SLACK)))
-    close = large | ~reaches(F.col("i") - SLACK)
-    sure = rough.where(~close).select("a", "b")
-    if rough.where(close).isEmpty():
-        return sure
-    return sure.union(_overlaps(rough.where(close).select("a", "b"), texts, n, False).where(reaches(F.col("i"))).select("a", "b"))
+def _reaches(percent: int):
+    return 100 * F.col("i").cast("long") >= percent * (F.col("sa") + F.col("sb") - F.col("i"))
 
 
-def _key(pos: str, fp: str):
-    """An order by position, then by 40 bits of the print."""
-    return F.shiftleft(F.col(pos).cast("long"), 40) + F.shiftrightunsigned(F.col(fp), 24)
+def _long(column: str):
+    return F.col(column).cast("long")
 
 
 def _can_link(percent: int):
@@ -251,34 +270,61 @@ def _can_link(percent: int):
     The first token that two linked sets share has all their common ones at or
     after it, on either side, so every linked pair passes at that token.
     """
-    s1, s2 = F.col("s1").cast("long"), F.col("s2").cast("long")
-    left1, left2 = s1 - F.col("p1"), s2 - F.col("p2")
-    return (100 * F.least(s1, s2) >= percent * F.greatest(s1, s2)) & ((100 + percent) * F.least(left1, left2) >= percent * (s1 + s2))
+    s1, s2 = _long("s1"), _long("s2")
+    return (100 * F.least(s1, s2) >= percent * F.greatest(s1, s2)) & ((100 + percent) * F.least(s1 - F.col("p1"), s2 - F.col("p2")) >= percent * (s1 + s2))
+
+
+def _some_can_link(percent: int):
+    """The same for groups of sets, of sizes from low to high and at places from p on: true if it may hold for some pair."""
+    near = (100 * _long("high1") >= percent * _long("low2")) & (100 * _long("high2") >= percent * _long("low1"))
+    return near & ((100 + percent) * F.least(_long("high1") - F.col("p1"), _long("high2") - F.col("p2")) >= percent * (_long("low1") + _long("low2")))
+
 
+def _bits():
+    """In how many bits the sketches g* and h* differ: never more than the sets differ in shingles."""
+    return sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"h{g[1:]}"))) for g in SKETCH), F.lit(0)).cast("long")
 
-def _reach(percent: int):
-    """A bound that holds at every token that a linked pair shares, for sizes and places as above."""
-    s1, s2 = F.col("s1").cast("long"), F.col("s2").cast("long")
-    most = 1 + F.least("p1", "p2") + F.least(s1 - F.col("p1"), s2 - F.col("p2")) - 1
-    return (100 * F.least(s1, s2) >= percent * F.greatest(s1, s2)) & ((100 + percent) * most >= percent * (s1 + s2))
 
+def _close(difference, sizes, percent: int):
+    """Whether sets whose sizes sum up to `sizes` link if they differ in `difference` shingles."""
+    return (100 + percent) * difference <= (100 - percent) * sizes
 
-def _enough_shared(percent: int):
-    """Bound from all k tokens that two prefixes share, the last at places p1 and p2.
 
-    Common shingles after that one lie behind the end of the prefix that ends
-    first, so one side has only size - prefix length left for them.
+#: references in a block of a list at most
+BLOCK = 256
+
+
+def _open_pairs(units: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of references of different components that share a list and that no bound keeps apart.
+
+    units: token, ref, comp, sizes low to high, least position p, greatest
+    difference d from the reference, and the reference's sketch.
     """
-    left = [F.col(f"s{k}") - F.col(f"p{k}") - 1 for k in (1, 2)]
-    behind = [F.ceil(F.col(f"s{k}") * percent / 100) - 1 for k in (1, 2)]
-    most = F.col("k") + F.greatest(F.least(behind[0], left[1]), F.least(left[0], behind[1]))
-    return (100 + percent) * most >= percent * (F.col("s1") + F.col("s2"))
+    mixed = units.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    units = units.join(mixed, "token", "left_semi").withColumn("at", F.floor(F.log2(F.col("p") + 1.0)).cast("int") * 1000 + F.floor(F.log("high") / math.log(100 / min(percent, 99))).cast("int"))
+    units = cut(units)
+    size = units.groupBy("token", "at").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
+    units = cut(units.join(size, ["token", "at"]).withColumn("part", F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int")).drop("parts"))
+    blocks = units.groupBy("token", "at", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("p").alias("p"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+
+    def side(df: DataFrame, k: int) -> DataFrame:
+        return df.toDF(*(c if c == "token" else f"{c}{k}" for c in df.columns))
 
+    one, two = side(blocks, 1), side(blocks, 2)
+    order = F.struct("at1", "part1") <= F.struct("at2", "part2")
+    alone = (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("c1") == F.col("c2"))
+    read = one.join(two, "token").where(order & ~alone & _some_can_link(percent)).select("token", "at1", "part1", "at2", "part2")
+    left, right = side(units, 1), side(units, 2).withColumnsRenamed({f"{g}2": f"h{g[1:]}" for g in SKETCH})
+    left = left.withColumnsRenamed({f"{g}1": g for g in SKETCH})
+    pairs = read.join(left, ["token", "at1", "part1"]).join(right, ["token", "at2", "part2"])
+    same = (F.col("at1") == F.col("at2")) & (F.col("part1") == F.col("part2"))
+    pairs = pairs.where((F.col("comp1") != F.col("comp2")) & (~same | (F.col("ref1") < F.col("ref2"))) & _some_can_link(percent))
+    pairs = pairs.where(_close(_bits() - F.col("d1") - F.col("d2"), _long("high1") + _long("high2"), percent))
+    return pairs.select(F.least("ref1", "ref2").alias("a"), F.greatest("ref1", "ref2").alias("b")).distinct()
 
-def _few_differences(percent: int):
-    """Bound by parity sketches g* and h*: linked sets differ in few enough shingles."""
-    bits = sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"h{g[1:]}"))) for g in SKETCH), F.lit(0))
-    return (100 + percent) * bits <= (100 - percent) * (F.col("s1") + F.col("s2"))
+
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links).withColumnsRenamed({"node": "fp", "root": "comp"})
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -286,61 +332,87 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     return _classed(docs, id_col, text_col, n, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def _classed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """What join gives, with row (a hash of the text) and class (a print that names the component)."""
-    spark = docs.sparkSession
-    rows = docs.select(null_id(id_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    texts = rows.select("text")
-    classes = cut(arrow(rows, _classes(n), "id long, doc_id long, row long, n_shingles long, fp long, " + ", ".join(f"{g} long" for g in SKETCH)))
-
-    table = arrow(texts, _counts(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+def _links(texts: DataFrame, groups: DataFrame, prints: Prints, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of prints under which sets are connected as all links connect them."""
+    context = texts.sparkSession.sparkContext
+    table = arrow(texts, _counts(n, prints), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h = table.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
     rank = np.minimum(np.ceil(np.log2(table.column("n").to_numpy() + 1.0) * 4), 127)  # seven bits
-    shared = spark.sparkContext.broadcast((h[order], rank.astype(np.int32)[order]))
+    shared = context.broadcast((h[order], rank.astype(np.int32)[order]))
+
+    # tokens that several sets have in their prefix, and the entries under them
+    index = arrow(texts, _prefixes(n, percent, prints, shared), "token long, fp long")
+    lists = index.groupBy("token").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
+    met = context.broadcast(Bitmap.of(lists.select(F.shiftleft("token", 7).alias("hash")), "hash"))
+    entries = cut(arrow(texts, _prefixes(n, percent, prints, shared, met), "token long, fp long, size int, pos int, " + ", ".join(f"{g} long" for g in SKETCH)))
 
     # a list's leader is its member with the fewest rarer shingles; ties go by print
-    fields = "token long, fp long, size int, pos int"
-    index = arrow(texts, _prefixes(n, percent, shared), fields).withColumn("key", _key("pos", "fp"))
-    lists = index.groupBy("token").agg(F.min_by("fp", "key").alias("b"), F.min_by("size", "key").alias("s2"), F.min("pos").alias("p2"), F.min("fp").alias("low"), F.max("fp").alias("high"))
-    lists = cut(lists.where("low <> high").select("token", "b", "s2", "p2"))
-    met = spark.sparkContext.broadcast(Bitmap.of(lists.select(F.shiftleft("token", 7).alias("hash")), "hash"))
-    entries = cut(arrow(texts, _prefixes(n, percent, shared, met), fields).select("token", "fp", "size", "pos").join(lists.select("token"), "token", "left_semi").distinct())
-
-    pair = entries.withColumnsRenamed({"size": "s1", "pos": "p1"}).join(lists, "token").where("fp <> b").where(_can_link(percent))
-    best = cut(pair.withColumn("key", _key("p2", "b")).groupBy("fp").agg(F.min_by("b", "key").alias("b")).select(F.col("fp").alias("a"), "b"))
-    first = cut(_linked(best, texts, n, percent))
-    found = components(first)
-
-    # lists that still hold several components: compare across them only
-    named = entries.select("token", "fp", "size", "pos").join(found, F.col("fp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
-    mixed = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    sketches = classes.groupBy("fp").agg(*(F.first(g).alias(g) for g in SKETCH))
-    left = cut(named.join(mixed, "token", "left_semi").join(sketches, "fp"))
-    # the component with most entries of a list need not be the left side
-    sizes = left.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    side = left.join(sizes, "token").where("comp <> main")
-    one = side.select("token", F.col("fp").alias("a"), F.col("size").alias("s1"), F.col("pos").alias("p1"), F.col("comp").alias("c1"), "main", *SKETCH)
-    two = left.select("token", F.col("fp").alias("b"), F.col("size").alias("s2"), F.col("pos").alias("p2"), F.col("comp").alias("c2"), *(F.col(g).alias(f"h{g[1:]}") for g in SKETCH))
-    more = one.join(two, "token").where((F.col("c1") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("a") < F.col("b")))).where(_reach(percent) & _few_differences(percent))
-    # a row for every shared token of a pair, either side first: count them by pair
-    swap = F.col("a") > F.col("b")
-    more = more.select(
-        F.least("a", "b").alias("a"),
-        F.greatest("a", "b").alias("b"),
-        *(F.when(swap, F.col(f"{c}{3 - k}")).otherwise(F.col(f"{c}{k}")).alias(f"{c}{k}") for c in "sp" for k in (1, 2)),
-        _can_link(percent).alias("first"),
-    )
-    more = more.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("first").alias("first"), *(F.max(c).alias(c) for c in ("s1", "s2", "p1", "p2")))
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(more.where(F.col("first") & _enough_shared(percent)).select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    links = first.union(_linked(more, texts, n, percent))
-    final = components(links)
-
-    named = classes.drop(*SKETCH).join(final, F.col("fp") == F.col("node"), "left").withColumn("class", F.coalesce("root", "fp")).drop("node", "root")
-    least = named.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least"))
-    out = named.join(least, "class", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")))
-    return out.select("doc_id", "row", "class", "n_shingles", F.when(F.col("component") != F.lit((1 << 63) - 1), F.col("component")).alias("component_id"))
+    key = F.shiftleft(_long("pos"), 40) + F.shiftrightunsigned("fp", 24)
+    first = entries.withColumn("key", key).groupBy("token").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"), *(F.min_by(c, "key").alias(to) for c, to in (("fp", "b"), ("size", "s2"), ("pos", "p2"), *((g, f"h{g[1:]}") for g in SKETCH))))
+    leaders = cut(first.where("low <> high").drop("low", "high"))
+    pair = lookup(entries.withColumnsRenamed({"size": "s1", "pos": "p1"}), leaders, "token", "n", "inner").where("fp <> b").where(_can_link(percent) & _close(_bits(), _long("s1") + _long("s2"), percent))
+    best = pair.withColumn("key", F.shiftleft(_bits(), 40) + F.shiftrightunsigned("b", 24)).groupBy("fp").agg(F.min_by("b", "key").alias("b"))
+    found = _overlaps(cut(best.select(F.col("fp").alias("a"), "b")), texts, n, prints).where(_reaches(percent))
+    found = cut(found.select("a", "b", (F.col("sa") + F.col("sb") - 2 * F.col("i")).cast("long").alias("d")))
+    links = found.select("a", "b")
+
+    # entries with their set's component and reference, and lists of references
+    about = _labels(links).join(found.withColumnsRenamed({"a": "fp", "b": "ref"}), "fp", "left").withColumns({"ref": F.coalesce("ref", "fp"), "d": F.coalesce("d", F.lit(0).cast("long"))})
+    about = cut(about.join(groups.select(F.col("fp").alias("ref"), *(F.col(g).alias(f"r{g}") for g in SKETCH)), "ref"))
+    named = entries.join(about, "fp", "left").select("token", "fp", "size", "pos", F.coalesce("comp", "fp").alias("comp"), F.coalesce("ref", "fp").alias("ref"), F.coalesce("d", F.lit(0).cast("long")).alias("d"), *(F.coalesce(f"r{g}", g).alias(g) for g in SKETCH))
+    units = named.groupBy("token", "ref", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("p"), F.max("d").alias("d"), *(F.first(g).alias(g) for g in SKETCH))
+    across = cut(_open_pairs(units, percent))
+    if across.isEmpty():
+        return links
+    across = cut(_overlaps(across, texts, n, prints))
+    links = cut(links.union(across.where(_reaches(percent)).select("a", "b")))
+
+    # followers of references that are still apart, where their differences leave it open
+    far = about.groupBy("ref").agg(F.max("d").alias("d"))
+    label = _labels(links)
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        df = df.join(far.select(F.col("ref").alias(side), F.col("d").alias(f"d{side}")), side, "left")
+        return df.join(label.select(F.col("fp").alias(side), F.col("comp").alias(f"c{side}")), side, "left")
+
+    undecided = placed(placed(across.withColumn("x", F.col("sa") + F.col("sb") - 2 * F.col("i")), "a"), "b")
+    slack = F.coalesce("da", F.lit(0)) + F.coalesce("db", F.lit(0))
+    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    # a follower is at most its difference larger than its reference
+    undecided = undecided.where(apart & (slack > 0) & _close(F.col("x") - slack, F.col("sa") + F.col("sb") + slack, percent))
+    undecided = cut(undecided.select("a", "b", "x"))
+    if undecided.isEmpty():
+        return links
+    one = named.select("token", F.col("fp").alias("m1"), F.col("size").alias("s1"), F.col("pos").alias("p1"), F.col("ref").alias("a"), F.col("d").alias("d1"), *SKETCH).join(undecided, "a")
+    two = named.select("token", F.col("fp").alias("m2"), F.col("size").alias("s2"), F.col("pos").alias("p2"), F.col("ref").alias("b"), F.col("d").alias("d2")).join(undecided.select("b").distinct(), "b", "left_semi")
+    more = one.join(two, ["token", "b"]).where(_can_link(percent) & _close(F.col("x") - F.col("d1") - F.col("d2"), _long("s1") + _long("s2"), percent) & (F.col("d1") + F.col("d2") > 0))
+    more = cut(more.select(F.col("m1").alias("a"), F.col("m2").alias("b")).distinct())
+    return links.union(_overlaps(more, texts, n, prints).where(_reaches(percent)).select("a", "b"))
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, bits: int = 64) -> DataFrame:
+    """What join gives, with row (a hash of the text) and class (a print that names the component)."""
+    rows = docs.select(null_id(id_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    texts = rows.select("text")
+    classes = cut(arrow(rows, _classes(n, Prints(bits=bits)), "id long, doc_id long, row long, n_shingles long, one long, two long, " + ", ".join(f"{g} long" for g in SKETCH)))
+    # first prints of different sets: n * n / 2^65 of n sets
+    clash = classes.groupBy("one").agg(F.min("two").alias("low"), F.max("two").alias("high")).where("low <> high").select("one").toArrow()
+    prints = Prints(np.sort(clash.column("one").to_numpy().view(np.uint64)), bits)
+    if clash.num_rows:
+        shared = F.broadcast(classes.sparkSession.createDataFrame(clash).select(F.col("one").alias("shared")))
+        classes = classes.join(shared, F.col("one") == F.col("shared"), "left").withColumn("fp", F.when(F.col("shared").isNotNull(), F.col("two")).otherwise(F.col("one")))
+    else:
+        classes = classes.withColumn("fp", F.col("one"))
+    groups = cut(classes.where("n_shingles > 0").groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("id"), *(F.first(g).alias(g) for g in SKETCH)))
+    label = _labels(_links(texts, groups, prints, n, percent))
+
+    named = cut(groups.select("fp", "n", "id").join(label, "fp", "left").select("fp", "n", "id", F.coalesce("comp", "fp").alias("class")))
+    least = cut(named.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("sets")))
+    of_set = lookup(named.select("fp", "n", "class"), least, "class", "sets").select("fp", "n", "class", "least")
+    out = lookup(classes.select("doc_id", "id", "row", "n_shingles", "fp"), cut(of_set), "fp", "n")
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id"))
+    return out.select("doc_id", "row", "class", "n_shingles", F.when(component != F.lit((1 << 63) - 1), component).alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

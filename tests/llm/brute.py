@@ -54,7 +54,7 @@ def components(rows, n=3, percent=90):
 
     def find(x):
         while parent[x] != x:
-            x = parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
     for a in range(len(rows)):

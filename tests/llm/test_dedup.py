@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from panelfactor.llm import decontamination, jaccard_join, line_dedup, substring_dedup
+from panelfactor.llm import _spark, decontamination, jaccard_join, line_dedup, substring_dedup
 from tests.llm import brute
 
 
@@ -48,10 +48,40 @@ def test_components_without_a_pivot_that_links_to_all(spark):
             words[2 * j % 120] = f"v{j}"
         rows.append((rng.randrange(10**6) * 100 + k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    same(jaccard_join.join(df, n=1, percent=90), brute.components(rows, 1, 90))
     same(jaccard_join.join(df, n=2, percent=80), brute.components(rows, 2, 80))
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_components_of_clusters_near_the_threshold(spark, monkeypatch, small):
+    """Clusters of near copies whose references differ by about the limit, so that only followers may link; also with tiny blocks, shares and broadcasts."""
+    if small:
+        monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+        monkeypatch.setattr(jaccard_join, "SPLIT", 2)
+        monkeypatch.setattr(_spark, "HEAVY", 4)
+    rng = random.Random(21)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{k}" for k in range(100)]
+        for cluster in range(3):
+            centre = list(base)
+            for j in rng.sample(range(100), rng.randint(3, 8)):
+                centre[j] = f"c{cluster}x{j}"
+            for member in range(6):
+                words = list(centre)
+                for j in rng.sample(range(100), rng.randint(0, 5)):
+                    words[j] = rng.choice([base[j], f"m{member}y{j}"])
+                rows.append((len(rows), " ".join(words[: rng.randint(96, 100)])))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    same(jaccard_join.join(df, n=1, percent=90), brute.components(rows, 1, 90))
+
+
+def test_sets_with_equal_first_prints(docs, corpus):
+    """With first prints of 4 bits all sets share one with others: the second print tells them apart."""
+    out = jaccard_join._classed(docs, "doc_id", "text", 3, 90, bits=4)
+    same(out.select("doc_id", "n_shingles", "component_id"), brute.components(texts(corpus), 3, 90))
+
+
 def test_one_of_each_group_stays(docs, corpus):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
