@@ -46,15 +46,10 @@ def arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder of spark.checkpoint.dir and drop its lineage.
-
-    Only where that setting is missing (tests on one machine) a temporary
-    folder of this machine takes its place.
-    """
+    """Materialise df in the folder of spark.checkpoint.dir and drop its lineage."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -67,25 +62,28 @@ def null_id(name: str):
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
 
 
-#: rows that `lookup` may broadcast: of a key, some weights and values
-HEAVY = 10_000
+#: rows that `lookup` may broadcast, and rows of a key that are never too many for a task
+HEAVY, FLOOR = 10_000, 1000
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:
-    """left with right's columns but `weight`, by `key`; how is left or inner.
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, how: str = "left") -> DataFrame:
+    """left with right's columns but `weight`, by `key` (a column or several); how is left or inner.
 
     right has one row for each key, and as `weight` about how many rows of left
-    have it.  Keys with more than 1 / HEAVY of all weight are HEAVY at most;
-    they are broadcast, so their rows stay where they are and no task of the
-    shuffle join that serves the others meets a hot key.  A right side of up to
-    HEAVY rows is broadcast whole.  left and right should be materialised.
+    have it.  Keys with more than FLOOR rows and 1 / HEAVY of all weight are
+    HEAVY at most; they are broadcast, so their rows stay where they are and no
+    task of the shuffle join that serves the others meets a hot key.  A right
+    side of up to HEAVY rows is broadcast whole.  left and right should be
+    materialised.
     """
-    n, total = right.agg(F.count("*"), F.sum(weight)).first()
-    plain = right.drop(weight)
+    n, total, most = right.agg(F.count("*"), F.sum(weight), F.max(weight)).first()
     if n <= HEAVY:
-        return left.join(F.broadcast(plain), key, how)
-    heavy = F.broadcast(right.where(F.col(weight) * HEAVY > total).drop(weight))
-    light = left.join(heavy.select(key), key, "left_anti").join(right.where(F.col(weight) * HEAVY <= total).drop(weight), key, how)
+        return left.join(F.broadcast(right.drop(weight)), key, how)
+    limit = max(total / HEAVY, FLOOR)
+    if most <= limit:
+        return left.join(right.drop(weight), key, how)
+    heavy = F.broadcast(right.where(F.col(weight) > limit).drop(weight))
+    light = left.join(heavy.select(key) if isinstance(key, str) else heavy.select(*key), key, "left_anti").join(right.where(F.col(weight) <= limit).drop(weight), key, how)
     return left.join(heavy, key).unionByName(light)
 
 
@@ -124,8 +122,15 @@ class Bitmap:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one of this machine only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+    """The folder of spark.checkpoint.dir.
+
+    Where that is unset, a master on this machine alone gets a temporary
+    folder; on a cluster it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="shared-")
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -100,22 +100,22 @@ class Prints:
         return np.where(np.isin(one, self.shared), two, one)
 
 
-#: words of a set's parity sketch
-WORDS = 2
+#: words of a set's parity sketch in the lists, and of the one that pairs are tried by before sets move
+WORDS, WIDE = 2, 16
 SKETCH = [f"g{k}" for k in range(WORDS)]
 
 
-def _parities(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """For each set the parity of its shingles in each of 64 * WORDS buckets, as rows of WORDS numbers.
+def _parities(h: np.ndarray, off: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """For each set the parity of its shingles in each of 64 * words buckets, as rows of `words` numbers.
 
     A shingle that only one of two sets has flips one bit, so the sketches of
     two sets differ in no more bits than the sets have different shingles.
     """
-    n, bits = len(off) - 1, 64 * WORDS
+    n, bits = len(off) - 1, 64 * words
     bucket = (h >> np.uint64(20)).astype(np.int64) % bits
     doc = np.repeat(np.arange(n), np.diff(off))
     odd = (np.bincount(doc * bits + bucket, minlength=n * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view("<i8").reshape(n, WORDS)
+    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view("<i8").reshape(n, words)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20):
@@ -127,8 +127,9 @@ def _classes(n: int, prints: Prints):
     def work(batches):
         for part in _parts(batches):
             h, off = _sets(part, n)
-            g, (one, two) = _parities(h, off), prints.both(h, off)
-            yield pa.record_batch([part.column("id"), part.column("doc_id"), part.column("row"), pa.array(np.diff(off)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(g[:, k])) for k in range(WORDS))], names=["id", "doc_id", "row", "n_shingles", "one", "two", *SKETCH])
+            g, wide, (one, two) = _parities(h, off), _parities(h, off, WIDE), prints.both(h, off)
+            wide = pa.FixedSizeListArray.from_arrays(pa.array(wide.reshape(-1)), WIDE).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([part.column("id"), part.column("doc_id"), part.column("row"), pa.array(np.diff(off)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(g[:, k])) for k in range(WORDS)), wide], names=["id", "doc_id", "row", "n_shingles", "one", "two", *SKETCH, "wide"])
 
     return work
 
@@ -238,6 +239,8 @@ def _with_set(df: DataFrame, pairs: DataFrame, total: int, side: str, sets: Data
     """
     most = max(total / SHARE, SPLIT)
     often = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > most).select(side, F.ceil(F.col("n") / most).cast("int").alias("copies"))
+    if often.isEmpty():
+        return df.join(sets.withColumnsRenamed({"fp": side, "tokens": f"t{side}"}), side)
     often = F.broadcast(often)
     salted = df.join(often, side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
     own = pairs.select(side).distinct().join(sets.withColumnsRenamed({"fp": side, "tokens": f"t{side}"}), side)
@@ -280,11 +283,37 @@ def _some_can_link(percent: int):
     return near & ((100 + percent) * F.least(_long("high1") - F.col("p1"), _long("high2") - F.col("p2")) >= percent * (_long("low1") + _long("low2")))
 
 
+def _reach(percent: int):
+    """A bound that holds at every token that two linked sets share, for single sets of sizes high* at places p*."""
+    s1, s2 = _long("high1"), _long("high2")
+    most = F.least("p1", "p2") + F.least(s1 - F.col("p1"), s2 - F.col("p2"))
+    return (100 * F.least(s1, s2) >= percent * F.greatest(s1, s2)) & ((100 + percent) * most >= percent * (s1 + s2))
+
+
+def _enough_shared(percent: int):
+    """Bound from all k tokens that two prefixes share, the last at places p1 and p2 of sets of sizes s1 and s2.
+
+    Common shingles after that one lie behind the end of the prefix that ends
+    first, so one side has only size - prefix length left for them.
+    """
+    left = [_long(f"s{k}") - F.col(f"p{k}") - 1 for k in (1, 2)]
+    behind = [F.ceil(_long(f"s{k}") * percent / 100) - 1 for k in (1, 2)]
+    most = F.col("k") + F.greatest(F.least(behind[0], left[1]), F.least(left[0], behind[1]))
+    return (100 + percent) * most >= percent * (_long("s1") + _long("s2"))
+
+
 def _bits():
     """In how many bits the sketches g* and h* differ: never more than the sets differ in shingles."""
     return sum((F.bit_count(F.col(g).bitwiseXOR(F.col(f"h{g[1:]}"))) for g in SKETCH), F.lit(0)).cast("long")
 
 
+def _tried(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, sizes: their sum at most, slack: what followers may differ by) that wide sketches do not keep apart."""
+    wide = [groups.select(F.col("fp").alias(side), F.col("wide").alias(f"w{side}")) for side in ("a", "b")]
+    bits = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+    return pairs.join(wide[0], "a").join(wide[1], "b").where(_close(bits - F.col("slack"), F.col("sizes"), percent)).select("a", "b")
+
+
 def _close(difference, sizes, percent: int):
     """Whether sets whose sizes sum up to `sizes` link if they differ in `difference` shingles."""
     return (100 + percent) * difference <= (100 - percent) * sizes
@@ -294,33 +323,53 @@ def _close(difference, sizes, percent: int):
 BLOCK = 256
 
 
-def _open_pairs(units: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of references of different components that share a list and that no bound keeps apart.
-
-    units: token, ref, comp, sizes low to high, least position p, greatest
-    difference d from the reference, and the reference's sketch.
-    """
-    mixed = units.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    units = units.join(mixed, "token", "left_semi").withColumn("at", F.floor(F.log2(F.col("p") + 1.0)).cast("int") * 1000 + F.floor(F.log("high") / math.log(100 / min(percent, 99))).cast("int"))
-    units = cut(units)
-    size = units.groupBy("token", "at").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
-    units = cut(units.join(size, ["token", "at"]).withColumn("part", F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int")).drop("parts"))
-    blocks = units.groupBy("token", "at", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("p").alias("p"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+def _side(df: DataFrame, k: int) -> DataFrame:
+    """df with its columns but token numbered k, and the second side's sketch named h*."""
+    names = {g: g if k == 1 else f"h{g[1:]}" for g in SKETCH}
+    return df.toDF(*(c if c == "token" else names.get(c, f"{c}{k}") for c in df.columns))
 
-    def side(df: DataFrame, k: int) -> DataFrame:
-        return df.toDF(*(c if c == "token" else f"{c}{k}" for c in df.columns))
 
-    one, two = side(blocks, 1), side(blocks, 2)
+def _block_pairs(units: DataFrame, percent: int) -> DataFrame:
+    """Pairs of units of long lists, read by those pairs of blocks only that can hold a link."""
+    units = cut(units.withColumn("at", F.floor(F.log2(F.col("p") + 1.0)).cast("int") * 1000 + F.floor(F.log("high") / math.log(100 / min(percent, 99))).cast("int")))
+    large = units.groupBy("token", "at").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    units = lookup(units, cut(large), ["token", "at"], "n").withColumn("part", F.coalesce(F.pmod(F.xxhash64("ref"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    blocks = units.groupBy("token", "at", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("p").alias("p"), F.min("comp").alias("c"), F.max("comp").alias("d"))
     order = F.struct("at1", "part1") <= F.struct("at2", "part2")
     alone = (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("c1") == F.col("c2"))
-    read = one.join(two, "token").where(order & ~alone & _some_can_link(percent)).select("token", "at1", "part1", "at2", "part2")
-    left, right = side(units, 1), side(units, 2).withColumnsRenamed({f"{g}2": f"h{g[1:]}" for g in SKETCH})
-    left = left.withColumnsRenamed({f"{g}1": g for g in SKETCH})
-    pairs = read.join(left, ["token", "at1", "part1"]).join(right, ["token", "at2", "part2"])
+    read = _side(blocks, 1).join(_side(blocks, 2), "token").where(order & ~alone & _some_can_link(percent)).select("token", "at1", "part1", "at2", "part2")
+    pairs = read.join(_side(units, 1), ["token", "at1", "part1"]).join(_side(units, 2), ["token", "at2", "part2"])
     same = (F.col("at1") == F.col("at2")) & (F.col("part1") == F.col("part2"))
-    pairs = pairs.where((F.col("comp1") != F.col("comp2")) & (~same | (F.col("ref1") < F.col("ref2"))) & _some_can_link(percent))
+    return pairs.where(~same | (F.col("ref1") < F.col("ref2"))).drop("at1", "part1", "at2", "part2")
+
+
+def _open_pairs(units: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, slack, sizes) of references of different components that share a list and that no bound keeps apart.
+
+    units: token, ref, comp, sizes low to high, least position p, greatest
+    difference d from the reference, and the reference's sketch.
+    """
+    mixed = units.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("units")).where("c0 <> c1").select("token", "units")
+    units = cut(units.join(mixed, "token"))
+    short, long = (units.where(F.col("units") <= BLOCK).drop("units"), units.where(F.col("units") > BLOCK).drop("units"))
+    pairs = _side(short, 1).join(_side(short, 2), "token").where(F.col("ref1") < F.col("ref2"))  # a list of one block
+    if not long.isEmpty():
+        pairs = pairs.unionByName(_block_pairs(long, percent))
+    pairs = pairs.where(F.col("comp1") != F.col("comp2"))
     pairs = pairs.where(_close(_bits() - F.col("d1") - F.col("d2"), _long("high1") + _long("high2"), percent))
-    return pairs.select(F.least("ref1", "ref2").alias("a"), F.greatest("ref1", "ref2").alias("b")).distinct()
+    single = F.col("d1") + F.col("d2") == 0  # no followers: sizes and places are those of the two sets
+    pairs = pairs.where(F.when(single, _reach(percent)).otherwise(_some_can_link(percent)))
+    # a row for every shared token of two sets, either one first
+    swap = F.col("ref1") > F.col("ref2")
+    pairs = pairs.select(
+        F.least("ref1", "ref2").alias("a"),
+        F.greatest("ref1", "ref2").alias("b"),
+        *(F.when(swap, F.col(f"{c}{3 - k}")).otherwise(F.col(f"{c}{k}")).alias(f"{to}{k}") for c, to in (("high", "s"), ("p", "p")) for k in (1, 2)),
+        (F.col("d1") + F.col("d2")).alias("slack"),
+        _some_can_link(percent).alias("first"),
+    )
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("k"), F.max("first").alias("first"), F.max("slack").alias("slack"), *(F.max(c).alias(c) for c in ("s1", "s2", "p1", "p2")))
+    return pairs.where(F.col("first") & ((F.col("slack") > 0) | _enough_shared(percent))).select("a", "b", "slack", (_long("s1") + _long("s2")).alias("sizes"))
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -352,17 +401,20 @@ def _links(texts: DataFrame, groups: DataFrame, prints: Prints, n: int, percent:
     first = entries.withColumn("key", key).groupBy("token").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"), *(F.min_by(c, "key").alias(to) for c, to in (("fp", "b"), ("size", "s2"), ("pos", "p2"), *((g, f"h{g[1:]}") for g in SKETCH))))
     leaders = cut(first.where("low <> high").drop("low", "high"))
     pair = lookup(entries.withColumnsRenamed({"size": "s1", "pos": "p1"}), leaders, "token", "n", "inner").where("fp <> b").where(_can_link(percent) & _close(_bits(), _long("s1") + _long("s2"), percent))
-    best = pair.withColumn("key", F.shiftleft(_bits(), 40) + F.shiftrightunsigned("b", 24)).groupBy("fp").agg(F.min_by("b", "key").alias("b"))
-    found = _overlaps(cut(best.select(F.col("fp").alias("a"), "b")), texts, n, prints).where(_reaches(percent))
+    best = pair.withColumn("key", F.shiftleft(_bits(), 40) + F.shiftrightunsigned("b", 24)).groupBy("fp").agg(F.min_by("b", "key").alias("b"), F.min_by(_long("s1") + _long("s2"), "key").alias("sizes"))
+    best = _tried(best.select(F.col("fp").alias("a"), "b", "sizes", F.lit(0).alias("slack")), groups, percent)
+    found = _overlaps(cut(best), texts, n, prints).where(_reaches(percent))
     found = cut(found.select("a", "b", (F.col("sa") + F.col("sb") - 2 * F.col("i")).cast("long").alias("d")))
     links = found.select("a", "b")
 
     # entries with their set's component and reference, and lists of references
     about = _labels(links).join(found.withColumnsRenamed({"a": "fp", "b": "ref"}), "fp", "left").withColumns({"ref": F.coalesce("ref", "fp"), "d": F.coalesce("d", F.lit(0).cast("long"))})
     about = cut(about.join(groups.select(F.col("fp").alias("ref"), *(F.col(g).alias(f"r{g}") for g in SKETCH)), "ref"))
-    named = entries.join(about, "fp", "left").select("token", "fp", "size", "pos", F.coalesce("comp", "fp").alias("comp"), F.coalesce("ref", "fp").alias("ref"), F.coalesce("d", F.lit(0).cast("long")).alias("d"), *(F.coalesce(f"r{g}", g).alias(g) for g in SKETCH))
+    of_set = groups.select("fp", *SKETCH).join(about, "fp", "left")
+    of_set = of_set.select("fp", F.coalesce("comp", "fp").alias("comp"), F.coalesce("ref", "fp").alias("ref"), F.coalesce("d", F.lit(0).cast("long")).alias("d"), *(F.coalesce(f"r{g}", g).alias(g) for g in SKETCH))
+    named = entries.select("token", "fp", "size", "pos").join(of_set, "fp")
     units = named.groupBy("token", "ref", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("p"), F.max("d").alias("d"), *(F.first(g).alias(g) for g in SKETCH))
-    across = cut(_open_pairs(units, percent))
+    across = cut(_tried(_open_pairs(units, percent), groups, percent))
     if across.isEmpty():
         return links
     across = cut(_overlaps(across, texts, n, prints))
@@ -395,7 +447,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
     """What join gives, with row (a hash of the text) and class (a print that names the component)."""
     rows = docs.select(null_id(id_col).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     texts = rows.select("text")
-    classes = cut(arrow(rows, _classes(n, Prints(bits=bits)), "id long, doc_id long, row long, n_shingles long, one long, two long, " + ", ".join(f"{g} long" for g in SKETCH)))
+    classes = cut(arrow(rows, _classes(n, Prints(bits=bits)), "id long, doc_id long, row long, n_shingles long, one long, two long, " + ", ".join(f"{g} long" for g in SKETCH) + ", wide array<long>"))
     # first prints of different sets: n * n / 2^65 of n sets
     clash = classes.groupBy("one").agg(F.min("two").alias("low"), F.max("two").alias("high")).where("low <> high").select("one").toArrow()
     prints = Prints(np.sort(clash.column("one").to_numpy().view(np.uint64)), bits)
@@ -404,7 +456,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int,
         classes = classes.join(shared, F.col("one") == F.col("shared"), "left").withColumn("fp", F.when(F.col("shared").isNotNull(), F.col("two")).otherwise(F.col("one")))
     else:
         classes = classes.withColumn("fp", F.col("one"))
-    groups = cut(classes.where("n_shingles > 0").groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("id"), *(F.first(g).alias(g) for g in SKETCH)))
+    groups = cut(classes.where("n_shingles > 0").groupBy("fp").agg(F.count("*").alias("n"), F.min("id").alias("id"), *(F.first(g).alias(g) for g in (*SKETCH, "wide"))))
     label = _labels(_links(texts, groups, prints, n, percent))
 
     named = cut(groups.select("fp", "n", "id").join(label, "fp", "left").select("fp", "n", "id", F.coalesce("comp", "fp").alias("class")))

@@ -22,8 +22,9 @@ def same(df, want):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("size", [5, 20])
-def test_repeated_windows(docs, corpus, size):
+@pytest.mark.parametrize(("size", "hot"), [(5, 1000), (20, 1)])
+def test_repeated_windows(docs, corpus, monkeypatch, size, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     out = substring_dedup.remove_repeats(docs, size=size)
     same(out.select("doc_id", "n_words", "n_removed", "kept_sha256"), brute.repeats(texts(corpus), size))
     for r in out.where("n_removed > 0").collect():
@@ -143,13 +144,24 @@ def test_contamination(spark, docs, corpus, monkeypatch, block):
     assert sorted(r.id for r in clean.collect()) == [k for k, w in enumerate(want) if not w[5]]
 
 
+def test_contamination_by_an_item_longer_than_a_block(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK", 25)
+    items = [(1, corpus[91][1]), (2, corpus[4][1]), (3, "one")]
+    groups = list(decontamination._blocks(iter(items), 10))
+    assert all(sum(high - low for *_, low, high in g) <= 25 for g in groups) and sum(any(n == 1 for n, *_ in g) for g in groups) > 3
+    found = decontamination.find(docs, spark.createDataFrame(items, "item_id long, text string"))
+    out = found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long"), decontamination.items_digest("items"), F.col("n_hit") > 0)
+    same(out, brute.contamination(texts(corpus), items))
+
+
 def test_contamination_without_items(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find(docs, none).where("n_hit > 0 or size(items) > 0").count() == 0
 
 
-@pytest.mark.parametrize("min_sites", [2, 10, 14])
-def test_lines(docs, corpus, min_sites):
+@pytest.mark.parametrize(("min_sites", "heavy"), [(2, 10_000), (10, 3), (14, 1)])
+def test_lines(docs, corpus, monkeypatch, min_sites, heavy):
+    monkeypatch.setattr(_spark, "HEAVY", heavy)
     out = line_dedup.remove(docs, min_sites=min_sites)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     got = out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256))

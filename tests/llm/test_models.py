@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -46,6 +47,42 @@ def test_nothing_is_learnt_from_held_out_rows(labelled):
     assert a.good == b.good and a.bad == b.bad and (a.weights == b.weights).all()
 
 
+def test_scores_once_more(spark, labelled, monkeypatch):
+    """The whole of operator 6 step by step, with a bound on texts that some exceed."""
+    docs, labels = labelled
+    monkeypatch.setattr(quality_classifier, "TEXT_BYTES", 700)
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.col("doc_id")).alias("h")).collect()}
+    halves = {}
+    for label in (0, 1):
+        ids = sorted((i for i, q in known.items() if q == label and zlib.crc32(str(i).encode()) % 3 != 1), key=order.get)
+        halves[label] = [texts[i].encode() for i in ids if len(texts[i].encode()) <= 700]
+    assert sum(map(len, halves.values())) < sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in known)
+    packers = []
+    for label in (1, 0):
+        d = zstandard.train_dictionary(quality_classifier.DICT_SIZE, halves[label][::2])
+        packers.append(zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def evidence(text):
+        good, bad = (len(p.compress(text)) for p in packers)
+        return (bad - good) / max(good, bad, 1)
+
+    x = np.array([evidence(t) for label in (1, 0) for t in halves[label][1::2]])
+    y = np.array([1.0] * len(halves[1][1::2]) + [0.0] * len(halves[0][1::2]))
+    centre, spread = x.mean(), x.std() + 1e-9
+    z, w = (x - centre) / spread, np.zeros(2)
+    for _ in range(200_000):  # plain gradient descent on the same penalised loss
+        p = 1 / (1 + np.exp(-(w[0] * z + w[1])))
+        step = np.array([((p - y) * z).mean() + 1e-4 * w[0], (p - y).mean() + 1e-4 * w[1]])
+        w -= 4 * step
+        if np.abs(step).max() < 1e-9:
+            break
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, quality_classifier.learn(docs, labels)).collect()}
+    for i, t in texts.items():
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(w[0] * (evidence(t.encode()) - centre) / spread + w[1]))), abs=1e-4)
+
+
 def test_quality_edges(spark, docs, nothing, labelled):
     _, labels = labelled
     none = quality_classifier.learn(docs, labels.limit(0))
@@ -224,6 +261,20 @@ def test_pipeline(spark, labelled, tmp_path):
         assert stage(spark, frame, d).columns == docs.columns
 
 
+def test_stages_keep_extra_columns_of_any_name(spark, labelled, tmp_path):
+    docs, labels = labelled
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    extra = ["_p", "good", "n_removed", "N_LINES", "_sampled", "_topic", "topic", "Tokens", "probability", "_probability", "c0", "id", "row", "key", "gone", "fp", "_score", "item_id", "k1", "site"]
+    wide = docs.limit(60).select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in extra))
+    wide = spark.createDataFrame(wide.collect(), wide.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == [*wide.columns, *(["__topic", "_tokens", "__probability"] if name == "mix" else [])]
+        rows = out.collect()
+        assert rows and all(r[5 + k] == f"{c}:{r.doc_id}" for r in rows for k, c in enumerate(extra))
+
+
 def test_stages_take_empty_tables(spark, nothing, labelled, tmp_path):
     _, labels = labelled
     labels.write.parquet(str(tmp_path / "labels.parquet"))
