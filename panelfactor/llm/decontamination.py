@@ -12,8 +12,8 @@ of up to `gram` words, by the number of times that the corpus has it.
    whole window word by word.
 
 The item side is broadcast in blocks of at most BLOCK windows, each matched
-against all rows; with several blocks their hits are merged by row, so no size
-of the benchmark overfills a task.
+against all rows; a longer item goes over several blocks.  With several blocks
+their hits are merged by row, so no size of the benchmark overfills a task.
 
 Defined cases: null texts have no words, so they hit nothing; items without
 words have no window; equal windows of several items count for each; a null
@@ -53,27 +53,27 @@ class Block:
     by: np.ndarray | None = None  # window of each key
 
 
-def _windows(items: list[tuple], size: int, gram: int) -> Block:
-    """Distinct windows of (item_id, text) rows."""
-    rows, length, owner = [], [], []
-    w = W.words(pa.array([t for _, t in items], pa.string()), W.ALNUM, lower=True)
-    for k in range(len(items)):
-        h = w.hash[w.first[k] : w.first[k + 1]]
-        if not len(h):
-            continue
+def _windows(parts: list[tuple[object, np.ndarray, int, int]], size: int, gram: int) -> Block:
+    """Windows number `low` to `high` of items, given as (item_id, hashes of the words, low, high)."""
+    rows, length, owner = [np.zeros((0, size), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, (_, h, low, high) in enumerate(parts):
         n = min(size, len(h))
-        for at in range(len(h) - n + 1):
-            rows.append(np.pad(h[at : at + n], (0, size - n)))
-            length.append(n)
-            owner.append(k)
-    words = np.array(rows, np.uint64).reshape(-1, size)
-    length = np.array(length, np.int64)
-    return Block(words, length, np.array(owner, np.int64), [i for i, _ in items], np.minimum(gram, length))
+        own = np.lib.stride_tricks.sliding_window_view(h, n)[low:high]
+        rows.append(np.pad(own, ((0, 0), (0, size - n))))
+        length.append(np.full(len(own), n))
+        owner.append(np.full(len(own), k))
+    lengths = np.concatenate(length)
+    return Block(np.concatenate(rows), lengths, np.concatenate(owner), [i for i, *_ in parts], np.minimum(gram, lengths))
 
 
-def _shingle_table(b: Block) -> dict[int, np.ndarray]:
-    """By shingle length: the shingles of every window, n_windows of that length x places."""
-    return {g: np.stack([W.rolling(np.ascontiguousarray(row[:n]), g) if n == b.words.shape[1] else np.pad(W.rolling(np.ascontiguousarray(row[:n]), g), (0, b.words.shape[1] - n)) for row, n in zip(b.words[b.gram == g], b.length[b.gram == g], strict=True)]) for g in np.unique(b.gram).tolist()}
+def _shingles(b: Block, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that are found by shingles of g words: their rows, shingles (rows x places) and which places are inside the window."""
+    rows = np.flatnonzero(b.gram == g)
+    places = b.words.shape[1] - g + 1
+    out = np.zeros((len(rows), places), np.uint64)
+    for j in range(g):
+        out = out * np.uint64(W.BASE) + b.words[rows, j : j + places]
+    return rows, out, np.arange(places)[None, :] <= (b.length[rows] - g)[:, None]
 
 
 def _count(shared):
@@ -114,16 +114,25 @@ def _find(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, hit
 
 
-def _choose_keys(b: Block, seen: dict[tuple[int, int], int]) -> Block:
-    """Give each window its rarest shingle (ties: the least hash) and that one's offset."""
+def _choose_keys(b: Block, seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> Block:
+    """Give each window its rarest shingle (ties: the least hash) and that one's offset.
+
+    seen has, by length, the shingles that the corpus has, ascending, and how often.
+    """
     n = len(b.length)
     key, offset = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    for g, table in _shingle_table(b).items():
-        rows = np.flatnonzero(b.gram == g)
-        for r, shingles in zip(rows, table, strict=True):
-            places = range(int(b.length[r]) - g + 1)
-            best = min(places, key=lambda p: (seen.get((g, int(shingles[p].view(np.int64))), 0), int(shingles[p])))
-            key[r], offset[r] = shingles[best], best
+    for g in np.unique(b.gram).tolist():
+        rows, shingles, inside = _shingles(b, g)
+        known, times = seen.get(g, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+        count = np.zeros(shingles.shape, np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+            count = np.where(known[at] == shingles, times[at], 0)
+        count[~inside] = np.iinfo(np.int64).max
+        rarest = count == count.min(axis=1)[:, None]
+        best = np.where(rarest, shingles, np.uint64(0xFFFFFFFFFFFFFFFF)).argmin(axis=1)
+        best = np.where(rarest[np.arange(len(rows)), best], best, rarest.argmax(axis=1))
+        key[rows], offset[rows] = shingles[np.arange(len(rows)), best], best
     order = np.lexsort((key, b.gram))
     return Block(b.words, b.length, b.item, b.names, b.gram, key[order], offset[order], order)
 
@@ -190,31 +199,47 @@ def _hits(shared, extra: list[str]):
     return work
 
 
-def _blocks(items: list[tuple], size: int) -> Iterator[list[tuple]]:
-    """Items in groups of at most BLOCK windows (or one item)."""
+def _blocks(items: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    """(item_id, text) rows as groups of at most BLOCK windows; an item with more of them goes over several groups."""
     group, n = [], 0
-    for item in items:
-        own = max(1, len((item[1] or "").split()) - size + 1)
-        if group and n + own > BLOCK:
-            yield group
-            group, n = [], 0
-        group.append(item)
-        n += own
+    for name, text in items:
+        h = W.words(pa.array([text], pa.string()), W.ALNUM, lower=True).hash
+        low, last = 0, max(len(h) - size + 1, 1) if len(h) else 0
+        while low < last:
+            high = min(last, low + BLOCK - n)
+            group.append((name, h, low, high))
+            n += high - low
+            low = high
+            if n >= BLOCK:
+                yield group
+                group, n = [], 0
     if group:
         yield group
 
 
+def _no_keys(size: int, gram: int) -> Block:
+    return _choose_keys(_windows([], size, gram), {})
+
+
 def _prepare(texts: DataFrame, benchmark: DataFrame, size: int, gram: int) -> list:
     """Broadcast blocks of windows with keys chosen by the counts over texts (a DataFrame of `text`); one at least."""
     sc, results = texts.sparkSession.sparkContext, []
     source = ((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator())
     for group in _blocks(source, size):
         block = _windows(group, size, gram)
-        grams = {g: np.unique(np.concatenate([x[: n - g + 1] for x, n in zip(t, block.length[block.gram == g], strict=True)])) for g, t in _shingle_table(block).items()}
-        counted = arrow(texts, _count(sc.broadcast(grams)), "g int, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
-        seen = {(r.g, r.h): r.n for r in counted.collect()}  # at most the block's shingles
+        grams = {}
+        for g in np.unique(block.gram).tolist():
+            _, shingles, inside = _shingles(block, g)
+            grams[g] = np.unique(shingles[inside])
+        counted = arrow(texts, _count(sc.broadcast(grams)), "g int, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n")).toArrow()  # at most the block's shingles
+        of, h, n = (counted.column(k).to_numpy() for k in ("g", "h", "n"))
+        seen = {}
+        for g in grams:
+            own, times = h[of == g].view(np.uint64), n[of == g]
+            order = np.argsort(own)
+            seen[g] = own[order], times[order]
         results.append(sc.broadcast(_choose_keys(block, seen)))
-    return results or [sc.broadcast(_choose_keys(_windows([(None, "")], size, gram), {}))]
+    return results or [sc.broadcast(_no_keys(size, gram))]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, blocks: list | None = None) -> DataFrame:
@@ -233,7 +258,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         hits = hits.union(p)
     hits = hits.groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).withColumnRenamed("doc_id", "id2")
     none = F.array().cast("array<long>")
-    base = arrow(named, _hits(spark.sparkContext.broadcast(_choose_keys(_windows([(None, "")], size, gram), {})), ["doc_id", "row"]), f"doc_id long, row long, {schema}").select("doc_id", "row", "n_words")
+    base = arrow(named, _hits(spark.sparkContext.broadcast(_no_keys(size, gram)), ["doc_id", "row"]), f"doc_id long, row long, {schema}").select("doc_id", "row", "n_words")
     joined = base.join(hits, (base["row"] == hits["row"]) & base["doc_id"].eqNullSafe(hits["id2"]), "left").select("doc_id", "n_words", F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"))
     start = F.struct(F.array().cast("array<array<long>>").alias("done"), F.lit(0).cast("long").alias("to"))
     merged = F.aggregate(

@@ -9,6 +9,9 @@ sends one sketch for each task.  Estimates clear of the threshold decide; lines
 within the sketch's error of it (NEAR standard errors, 2 sites at least) get an
 exact distinct count.
 
+Texts are split once, into a materialised table of line hashes.  It meets the
+boilerplate lines by broadcast where these are few, and otherwise with the most
+frequent ones broadcast (`lookup`), so a line of every page stays where it is.
 Texts move once, to meet the positions of their removed lines.  Lines are keyed
 by 128 bits of hash.
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelfactor.llm._spark import cut, documents, masked
+from panelfactor.llm._spark import cut, documents, lookup, masked
 
 MIN_SITES = 10
 #: log2 of a sketch's buckets; its relative standard error is 1.04 / sqrt(2 ** LG_K)
@@ -36,24 +39,34 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")}).drop("line")
 
 
-def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
-    """Rows (k1, k2): the lines that at least min_sites sites have."""
-    lines = _lines(docs.withColumn("_id", F.lit(0)), "_id", text_col, F.col(site_col).cast("string").alias("site")).select("k1", "k2", "site")
-    sketches = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
-    spread = sketches.select("k1", "k2", F.hll_sketch_estimate("sketch").alias("sites"))
+def _boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
+    """Rows (k1, k2, n) of the lines (k1, k2, site) that at least min_sites sites have; n is how often they occur."""
+    sketches = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.count("*").alias("n"))
+    spread = sketches.select("k1", "k2", F.hll_sketch_estimate("sketch").alias("sites"), "n")
     band = max(2, round(NEAR * 1.04 / 2 ** (LG_K / 2) * min_sites))
     spread = cut(spread.where(F.col("sites") >= min_sites - band))
-    sure = spread.where(F.col("sites") > min_sites + band).select("k1", "k2")
-    near = spread.where(F.col("sites") <= min_sites + band).select("k1", "k2")
-    exact = lines.join(near, ["k1", "k2"], "left_semi").where("site is not null").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    return sure.union(exact.select("k1", "k2"))
+    sure = spread.where(F.col("sites") > min_sites + band).select("k1", "k2", "n")
+    near = spread.where(F.col("sites") <= min_sites + band).select("k1", "k2", "n")
+    if near.isEmpty():
+        return sure
+    places = lookup(lines.where("site is not null").select("k1", "k2", "site"), near, ["k1", "k2"], "n", "inner").distinct()
+    exact = places.groupBy("k1", "k2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    return sure.union(near.join(exact, ["k1", "k2"]).select("k1", "k2", "n"))
+
+
+def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
+    """Rows (k1, k2): the lines that at least min_sites sites have."""
+    plain, (site, text) = masked(docs, site_col, text_col)
+    lines = cut(_lines(plain.withColumn("none", F.lit(0)), "none", text, F.col(site).cast("string").alias("site")))
+    return _boilerplate(lines, min_sites).select("k1", "k2")
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """docs without boilerplate lines in their text, and with columns n_lines and n_removed (long)."""
     plain, (own_id, site, own_text) = masked(docs, id_col, site_col, text_col)
-    found = cut(boilerplate(plain, site, own_text, min_sites))
-    gone = _lines(plain, own_id, own_text).join(found, ["k1", "k2"]).groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
+    lines = cut(_lines(plain, own_id, own_text, F.col(site).cast("string").alias("site")))
+    found = cut(_boilerplate(lines, min_sites))
+    gone = lookup(lines.select("id", "row", "pos", "k1", "k2"), found, ["k1", "k2"], "n", "inner").groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
     joined = plain.withColumn("key", F.xxhash64(own_text)).join(gone, (F.col("key") == F.col("row")) & F.col(own_id).eqNullSafe(F.col("id")), "left")
     kept = F.array_join(F.filter(F.split(own_text, "\n", -1), lambda line, pos: ~F.array_contains("gone", pos)), "\n")
     n_lines = F.when(F.col(own_text).isNull(), 0).otherwise(F.length(own_text) - F.length(F.translate(own_text, "\n", "")) + 1)

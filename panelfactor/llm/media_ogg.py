@@ -37,9 +37,11 @@ from panelfactor.llm import _words as W
 from panelfactor.llm._spark import arrow, documents, findable
 
 RATE, BLOCK = 8000, 4000
-#: lacing values on a page at most; the format allows 255
-SEGMENTS = 24
+#: lacing values on a page at most (the format allows 255): a block of samples takes 16, so its packet goes over two pages
+SEGMENTS = 12
 MAGIC = b"PCM8\x01"
+#: of the header packet: number of the stream, rate, samples of a block
+_FORMAT = struct.Struct("<BII")
 
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 _HEAD = struct.Struct("<4sBBqIIIB")
@@ -80,7 +82,7 @@ def write(payload: bytes, rate: int = RATE, block: int = BLOCK) -> bytes:
     """Store samples as an Ogg file of two logical streams."""
     seed = zlib.crc32(payload)
     streams = [Writer(seed), Writer(seed ^ 0x5BD1E995)]
-    out = [b"".join(s.pages(MAGIC + struct.pack("<BII", k, rate, block), 0)) for k, s in enumerate(streams)]
+    out = [b"".join(s.pages(MAGIC + _FORMAT.pack(k, rate, block), 0)) for k, s in enumerate(streams)]
     blocks = range(0, len(payload), block)
     for k, at in enumerate(blocks):
         end = min(at + block, len(payload))
@@ -148,11 +150,32 @@ def read(data: bytes) -> Media:
     return Media(streams, pages, damaged)
 
 
+def rate_of(stream: Stream) -> int | None:
+    """Samples a second, from the stream's header packet; None for streams of other kinds."""
+    head = stream.packets[0][0] if stream.packets else b""
+    return _FORMAT.unpack_from(head, len(MAGIC))[1] if head.startswith(MAGIC) and len(head) == len(MAGIC) + _FORMAT.size else None
+
+
+def positions(stream: Stream) -> list[int | None]:
+    """The position at which each packet ends.
+
+    A page tells that of the last packet which ends on it.  One before it is
+    known where the durations are: one sample for each byte in streams of our
+    own kind.
+    """
+    out: list[int | None] = [None if g < 0 else g for _, g in stream.packets]
+    if rate_of(stream) is not None:
+        for k in range(len(out) - 2, 0, -1):
+            if out[k] is None and out[k + 1] is not None:
+                out[k] = out[k + 1] - len(stream.packets[k + 1][0])
+    return out
+
+
 def timeline(media: Media) -> list[tuple[int, int, bytes]]:
     """(first sample, last sample + 1, samples) of all blocks by time, from both streams."""
     out = []
     for s in media.streams.values():
-        if not s.packets or not s.packets[0][0].startswith(MAGIC):
+        if rate_of(s) is None:
             continue
         for p, granule in s.packets[1:]:
             if granule >= 0 and p:
@@ -172,7 +195,8 @@ def features(media: Media, blocks: list[tuple[int, int, bytes]], payload: bytes)
     square = int((x.astype(np.int64) ** 2).sum())
     cross = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
     packets = sum(len(s.packets) for s in media.streams.values())
-    end_ms = blocks[-1][1] * 1000 // RATE if blocks else 0
+    rate = next((r for r in map(rate_of, media.streams.values()) if r), RATE)
+    end_ms = blocks[-1][1] * 1000 // rate if blocks else 0
     return f"streams={len(media.streams)};pages={media.pages};damaged={media.damaged};packets={packets};end_ms={end_ms};mean_milli={total * 1000 // n};square_mean={square // n};peak={int(x.max())};crossings={cross}"
 
 
@@ -210,7 +234,9 @@ def encode(df: DataFrame, column: str, out: str = "media") -> DataFrame:
 def packets(df: DataFrame, column: str = "media") -> DataFrame:
     """df's other columns with one row per packet of its Ogg column: serial, packet, granule, time_ms, bytes, valid pages and damaged pages of the file.
 
-    Works for any Ogg file; time_ms is null where the granule position is unknown.
+    Pages and packets are those of any Ogg file.  Granule positions count samples
+    here; time_ms needs the rate in the header packet of our own kind of stream,
+    and is null for other streams and where the position is unknown.
     """
     findable(df.sparkSession)
 
@@ -220,12 +246,13 @@ def packets(df: DataFrame, column: str = "media") -> DataFrame:
             if v is None:
                 return []
             m = read(bytes(v))
-            return [{"serial": s.serial, "packet": k, "granule": None if g < 0 else g, "time_ms": None if g < 0 else g * 1000 // RATE, "bytes": p, "pages": m.pages, "damaged": m.damaged} for s in m.streams.values() for k, (p, g) in enumerate(s.packets)]
+            rows = ((s, rate_of(s), k, p, g) for s in m.streams.values() for k, ((p, _), g) in enumerate(zip(s.packets, positions(s), strict=True)))
+            return [{"serial": s.serial, "packet": k, "granule": g, "time_ms": None if g is None or not rate else g * 1000 // rate, "bytes": p, "pages": m.pages, "damaged": m.damaged} for s, rate, k, p, g in rows]
 
         return x.map(one)
 
     rest = [c for c in df.columns if c != column]
-    return df.select(*rest, F.explode(apply(column)).alias("_p")).select(*rest, "_p.*")
+    return df.select(*rest, F.inline(apply(column)))
 
 
 def op3_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:

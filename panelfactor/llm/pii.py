@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelfactor.llm import _words as W
-from panelfactor.llm._spark import Bitmap, arrow, cut, documents, findable, masked
+from panelfactor.llm._spark import Bitmap, arrow, cut, documents, findable, lookup, masked
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_DOCS, GENERALISE, REMOVE = 3, 0.7, 0.9
@@ -234,17 +234,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def disclosing(texts: DataFrame, min_docs: int = MIN_DOCS, threshold: float = GENERALISE) -> DataFrame:
-    """Rows (entity, term, disclosure) from `threshold` up, over all of texts (a DataFrame of `text`)."""
+    """Rows (entity, term, disclosure, n_t: documents with the term) from `threshold` up, over all of texts (a DataFrame of `text`)."""
     context, total = texts.sparkSession.sparkContext, texts.count()
     of_entity = cut(arrow(texts, _entities, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n_e")).where(f"n_e >= {min_docs} and n_e < {total}"))
     entities = context.broadcast(Levels.build(of_entity, "entity", "n_e", least=False))
     words = cut(arrow(texts, _word_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t")).where(f"n_t >= {min_docs}"))
     terms = context.broadcast(Levels.build(words, "term", "n_t", least=True))
-    pairs = arrow(texts, _pairs(entities, terms, max(total, 1), threshold), "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")).where(f"n >= {min_docs}")
-    both = pairs.join(of_entity, "entity").join(words, "term")
+    pairs = cut(arrow(texts, _pairs(entities, terms, max(total, 1), threshold), "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")).where(f"n >= {min_docs}"))
+    both = cut(lookup(pairs, of_entity.withColumn("weight", F.col("n_e")), "entity", "weight", "inner"))
+    both = lookup(both, words.withColumn("weight", F.col("n_t")), "term", "weight", "inner")
     size = math.log2(max(total, 1))
     ratio = (size + F.log2("n") - F.log2("n_e") - F.log2("n_t")) / (size - F.log2("n_e"))
-    return both.select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    return both.select("entity", "term", ratio.alias("disclosure"), "n_t").where(F.col("disclosure") >= threshold)
 
 
 def _spans():
@@ -283,14 +284,15 @@ def _occurrences(shared):
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row per row of docs: doc_id, row (hash of the text), n_email ... n_phone, base and terms (arrays of kind, start, end, ...).
 
-    The kind of a term span is `term`; its action is `remove` or `generalise`.
+    A term's action is `remove` or `generalise`: what `sanitise` does there, and the kind of its span in the query.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     base = arrow(rows, _spans(), f"doc_id long, row long, {counts}, base array<struct<kind: string, start: long, end: long>>")
-    found = cut(disclosing(rows.select("text"), min_docs, generalise).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    found = cut(disclosing(rows.select("text"), min_docs, generalise).groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.max("n_t").alias("n_t")))
     shared = docs.sparkSession.sparkContext.broadcast(Bitmap.of(found, "term"))
-    places = arrow(rows, _occurrences(shared), "doc_id long, row long, term long, start long, end long").join(found, "term")
+    places = arrow(rows, _occurrences(shared), "doc_id long, row long, term long, start long, end long")
+    places = lookup(places, found, "term", "n_t", "inner")  # hot words stay where they are
     terms = places.groupBy("doc_id", "row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     span = F.struct("start", "end", F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise").alias("action"), "disclosure")
     terms = terms.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(span)).alias("terms")).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
@@ -304,13 +306,15 @@ def _text(col: str, kind):
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(documents(spark, sf_dir))
-    base, terms = _text("base", lambda s: s["kind"]), _text("terms", lambda s: F.lit("term"))
+    base, terms = _text("base", lambda s: s["kind"]), _text("terms", lambda s: s["action"])
     return found.select(
         "doc_id",
         *(f"n_{k}" for k in KINDS),
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, terms), ",").alias("spans"),
         F.size("terms").cast("long").alias("n_terms"),
+        F.size(F.filter("terms", lambda s: s["action"] == "remove")).cast("long").alias("n_remove"),
+        F.size(F.filter("terms", lambda s: s["action"] == "generalise")).cast("long").alias("n_generalise"),
     )
 
 

@@ -1,19 +1,21 @@
 """Quality classifier (6): compression with two zstandard dictionaries.
 
 One dictionary is trained on good texts and one on bad ones.  A text is
-compressed with each; how much better the good one does, relative to the
-text's length and to its compressed size, is the evidence.  A logistic
-calibration, fitted on labelled texts that built neither dictionary, turns it
-into the probability of label 1.
+compressed with each; the difference of the compressed sizes over the larger
+one is the only evidence.  A logistic calibration, fitted on labelled texts
+that built neither dictionary, turns it into the probability of label 1.
 
-The model is fitted on at most SAMPLE labelled texts of each label and
-DICT_BYTES bytes of them for each dictionary, taken in order of a hash of the
-id, so it is the same at every size of the corpus.  All texts are scored
-whole.
+The model is fitted on a bounded sample, taken in order of a hash of the id, so
+it is the same at every size of the corpus: at most SAMPLE labelled texts of
+each label, of TEXT_BYTES each at most (longer ones are passed over) and
+SAMPLE_BYTES in all, of which every other one, up to DICT_BYTES, builds the
+dictionary and the rest calibrate.  All texts are scored whole.
 
 Defined cases: a null text is empty and scored as such; labels without text,
-null labels and null ids teach nothing; with texts of one label only, or none,
-every score is the smoothed share of label 1.  Rows stay, with any id.
+null labels and null ids teach nothing; of several labels of an id the greater
+counts, of several texts of an id the least; with texts of one label only, or
+none, every score is the smoothed share of label 1.  Rows stay, with any id; a
+null one is not held out.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from panelfactor.llm import _words as W
 from panelfactor.llm._spark import arrow, documents
 
 #: bounds of what is learnt from
-SAMPLE, DICT_BYTES = 4000, 4 << 20
+SAMPLE, DICT_BYTES, SAMPLE_BYTES, TEXT_BYTES = 4000, 4 << 20, 16 << 20, 1 << 20
 DICT_SIZE, LEVEL = 112_640, 3
 FOLDS, HELD_OUT = 3, 1
 
@@ -66,9 +68,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def evidence(texts: list[bytes], compressors: list[zstandard.ZstdCompressor]) -> np.ndarray:
     good, bad = ([len(c.compress(t)) for t in texts] for c in compressors)
-    good, bad, size = np.array(good, float), np.array(bad, float), np.array([len(t) for t in texts], float)
-    gain = bad - good
-    return np.stack([gain / (size + 1), gain / np.maximum(1, np.minimum(bad, good)), np.log1p(size), good / (size + 1)], axis=1)
+    good, bad = np.array(good, float), np.array(bad, float)
+    return ((bad - good) / np.maximum(1, np.maximum(bad, good)))[:, None]
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
@@ -124,10 +125,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [known.where(F.col("label") == k).orderBy("turn", "id").limit(sample) for k in (0, 1)]
     few = F.broadcast(picked[0].union(picked[1]))  # 2 * sample rows at most
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(few, "id")
-    # one text for an id, and no more bytes on the driver than both halves need
-    one = texts.groupBy("label", "turn", "id").agg(F.min("text").alias("text"))
+    # one text for an id, and a bounded number of bytes on the driver
+    one = texts.where(F.octet_length("text") <= TEXT_BYTES).groupBy("label", "turn", "id").agg(F.min("text").alias("text"))
     room = Window.partitionBy("label").orderBy("turn", "id").rowsBetween(Window.unboundedPreceding, -1)
-    one = one.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(room), F.lit(0))).where(F.col("before") < 4 * DICT_BYTES)
+    one = one.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(room), F.lit(0))).where(F.col("before") < SAMPLE_BYTES)
     rows = sorted((r.label, r.turn, r.id, r.text.encode()) for r in one.collect())
     return train([r[3] for r in rows if r[0] == 1], [r[3] for r in rows if r[0] == 0])
 
@@ -156,4 +157,5 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), "score")
     held_out = F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT
+    held_out = F.coalesce(held_out, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -14,6 +14,9 @@ three passes narrow it, none of which loses a repeat:
    read again; runs of windows under such an anchor are sent, keyed by the
    anchor, after each task has resolved repeats inside its own slice.  A
    passage in every document thus sends a row for each slice, not each copy.
+   Runs of anchors that occur more than HOT times are sent window by window,
+   keyed by the anchor and a part of the window's hash: equal windows still
+   meet, and no task gets all of a hot anchor.
 3. Per (anchor, window) the least (doc_id, start) is the one that stays.  The
    others return as bit masks of 64 starts, joined to the texts by doc_id.
 
@@ -33,9 +36,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelfactor.llm import _words as W
-from panelfactor.llm._spark import Bitmap, arrow, documents, null_id
+from panelfactor.llm._spark import Bitmap, arrow, cut, documents, null_id
 
 SIZE, GRAM = 20, 8
+#: occurrences of an anchor from which its windows are dealt to PARTS parts
+HOT, PARTS = 1000, 64
 
 
 def _anchors(h: np.ndarray, first: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +88,7 @@ def _selfsame(w: W.Words, low: np.ndarray, value: np.ndarray, size: int) -> np.n
 
 def _runs(size: int, gram: int, shared) -> object:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
+        often, hot = shared.value
         for batch in batches:
             for part in W.slices(batch, "text", 16 << 20):
                 w = W.words(part.column("text"))
@@ -95,12 +100,12 @@ def _runs(size: int, gram: int, shared) -> object:
                 doc, low = doc[keep], low[keep]
                 at = starts[keep] - w.first[doc]
                 ids = part.column("id").to_numpy()[doc]
-                yield from _rows(ids, at, low, h, doc)
+                yield from _rows(ids, at, low, h, doc, hot)
 
     return work
 
 
-def _rows(ids, at, low, h, doc) -> Iterator[pa.RecordBatch]:
+def _rows(ids, at, low, h, doc, hot: Bitmap) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((at, ids, low, h))
     oh, ol, oi, oa = h[order], low[order], ids[order], at[order]
     head = np.ones(len(order), bool)
@@ -119,22 +124,24 @@ def _rows(ids, at, low, h, doc) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(cut)
         mask = np.bitwise_or.reduceat(bit, begin)
         n = len(begin)
-        yield _batch(ids[later][begin], pa.array(low[later][begin].view(np.int64)), pa.nulls(n, pa.list_(pa.int64())), place[begin], mask, np.zeros(n, np.int64))
+        yield _batch(ids[later][begin], pa.array(ids[later][begin]), np.full(n, -1), pa.nulls(n, pa.list_(pa.int64())), place[begin], mask, np.zeros(n, np.int64))
     sent = np.flatnonzero(~later & ~dup)
     if len(sent):
         d, a, m = doc[sent], at[sent], low[sent]
         cut = np.ones(len(sent), bool)
-        cut[1:] = (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (a[1:] != a[:-1] + 1)
+        many = hot.has(m)
+        cut[1:] = (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (a[1:] != a[:-1] + 1) | many[1:]
         begin = np.flatnonzero(cut)
         lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(sent)).astype(np.int32)), pa.array(h[sent].view(np.int64)))
-        yield _batch(ids[sent][begin], pa.array(m[begin].view(np.int64)), lists, None, None, a[begin])
+        part = np.where(many[begin], (h[sent][begin] % np.uint64(PARTS)).astype(np.int64), 0)
+        yield _batch(ids[sent][begin], pa.array(m[begin].view(np.int64)), part, lists, None, None, a[begin])
 
 
-def _batch(ids, m, lists, place, mask, at) -> pa.RecordBatch:
+def _batch(ids, m, part, lists, place, mask, at) -> pa.RecordBatch:
     n = len(ids)
     place = pa.nulls(n, pa.int64()) if place is None else pa.array(place.astype(np.int64))
     mask = pa.nulls(n, pa.int64()) if mask is None else pa.array(mask.view(np.int64))
-    return pa.record_batch([pa.array(ids), m, pa.array(at.astype(np.int64)), lists, place, mask], names=["id", "m", "at", "hs", "place", "mask"])
+    return pa.record_batch([pa.array(ids), m, pa.array(part.astype(np.int32)), pa.array(at.astype(np.int64)), lists, place, mask], names=["id", "m", "part", "at", "hs", "place", "mask"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -142,10 +149,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     gram = min(gram, size)
     texts = docs.select(null_id(id_col).alias("id"), F.col(text_col).alias("text"))
     twice = arrow(texts.select("text"), _count_anchors(size, gram), "m long, n int").groupBy("m").agg(F.sum("n").alias("n")).where("n > 1")
-    shared = docs.sparkSession.sparkContext.broadcast(Bitmap.of(twice, "m"))
-    runs = arrow(texts, _runs(size, gram, shared), "id long, m long, at long, hs array<long>, place long, mask long")
-    windows = runs.repartition("m").select("id", "m", "at", "place", "mask", F.posexplode_outer("hs").alias("k", "h"))
-    order = Window.partitionBy("m", "h").orderBy("id", "at")
+    twice = cut(twice)
+    shared = docs.sparkSession.sparkContext.broadcast((Bitmap.of(twice, "m"), Bitmap.of(twice.where(F.col("n") > HOT), "m", 20)))
+    runs = arrow(texts, _runs(size, gram, shared), "id long, m long, part int, at long, hs array<long>, place long, mask long")
+    windows = runs.repartition("m", "part").select("id", "m", "part", "at", "place", "mask", F.posexplode_outer("hs").alias("k", "h"))
+    order = Window.partitionBy("m", "part", "h").orderBy("id", "at")
     ranked = windows.withColumn("at", F.col("at") + F.coalesce("k", F.lit(0))).withColumn("r", F.when(F.col("h").isNotNull(), F.rank().over(order)))
     marks = ranked.where("mask is not null or r > 1").select(
         "id",
