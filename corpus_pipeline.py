@@ -5,10 +5,14 @@
 3. near duplicates: of each component (five-word shingles, Jaccard 0.8 or
    more) the document with the least id stays;
 4. benchmark: documents with a window of a benchmark item go;
-5. mixing: documents are sampled by raked weights; the result adds topic,
-   tokens, probability and copies, the times that a row counts in the mix.
-
-Each stage works on all that the one before kept.  Extra columns pass through.
+5. mixing: documents are sampled by calibrated probabilities; the result adds
+   topic, tokens and probability.
+
+Each stage works on all that the one before kept.  Extra columns pass through,
+whatever their names: stages work under names of their own, and where an extra
+column is already called topic, tokens or probability the result's own column
+gets an underscore in front.  Each stage's folder goes once the next one has
+read it; the last one's stays with the result that reads it.
 """
 
 from __future__ import annotations
@@ -21,15 +25,22 @@ from pyspark.sql import functions as F
 from panelfactor.llm import _spark, decontamination, jaccard_join, line_dedup, mixing, quality_classifier
 
 
+def _named(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs under names that clash with nothing, and the new names of `names`."""
+    return _spark.masked(docs, *names)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality_classifier.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_classifier.score(docs, model, out="_p").where("_p >= 0.5").select(*(F.col(c) for c in docs.columns))
+    model = quality_classifier.learn(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    plain, (text,) = _named(docs, "text")
+    return quality_classifier.score(plain, model, text_col=text, out="good").where("good >= 0.5").select(*plain.columns).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = line_dedup.remove(docs)
-    size = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return clean.withColumn("n_chars", size).select(*(F.col(c) for c in docs.columns))
+    plain, (doc_id, site, text, size) = _named(docs, "doc_id", "source", "text", "n_chars")
+    clean = line_dedup.remove(plain, doc_id, site, text)
+    chars = F.when(F.col("n_removed") > 0, F.length(text)).otherwise(F.col(size)).cast(plain.schema[size].dataType)
+    return clean.withColumn(size, chars).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +52,15 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = mixing.weigh(docs).where("_sampled")
-    return out.select(*(F.col(c) for c in docs.columns), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_probability", 6).alias("probability"), F.col("_copies").alias("copies"))
+    plain, (doc_id, text, source, lang) = _named(docs, "doc_id", "text", "source", "lang")
+    out = mixing.weigh(plain, doc_id, text, source, lang).where("_sampled").select(*plain.columns, "_topic", "_tokens", F.round("_probability", 6))
+    taken, own = {c.lower() for c in docs.columns}, []
+    for name in ("topic", "tokens", "probability"):
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        own.append(name)
+    return out.toDF(*docs.columns, *own)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix)]
