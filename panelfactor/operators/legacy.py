@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from panelfactor.functions.nullsafe import finite
+from panelfactor.plans.blocks import _round
 from panelfactor.plans.graph import Settings
 
 
@@ -20,8 +21,8 @@ def legacy_expression(settings: Settings = Settings()) -> str:
 
 def legacy_factor(panel: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The panel with ratio, ts_rank, factor and warning."""
-    window = max(2, round(settings.window))
-    least = max(1, min(window, round(settings.min_samples)))
+    window = max(2, _round(settings.window))
+    least = max(1, min(window, _round(settings.min_samples)))
     order = "timestamp, _row_id" if "_row_id" in panel.columns else "timestamp"
     frame = f"OVER (PARTITION BY asset ORDER BY {order} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
     section = "OVER (PARTITION BY timestamp)"

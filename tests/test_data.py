@@ -67,6 +67,8 @@ def test_fixed_factor(spark):
     assert [r.factor for r in out[3:]] == pytest.approx([0.5**0.5, 0.5**0.5, -(2**0.5)])
     gap = legacy_factor(rows(spark, [("1", "A", 1.0, 1.0), ("2", "A", 1.0, 2.0), ("3", "A", 0.0, 2.0)]), Settings(3, 2, True)).orderBy("timestamp").collect()
     assert gap[2].ratio is None and gap[2].ts_rank == 1.0
+    half = legacy_factor(rows(spark, [(str(d), "A", 1.0, float(c)) for d, c in enumerate((3, 1, 2))]), Settings(2.5, 2.5, True)).orderBy("timestamp").collect()
+    assert half[1].ts_rank is None and half[2].ts_rank == pytest.approx(2 / 3)  # halves go up: windows of three
     assert legacy_expression() == "Cs_ZScore(Ts_Rank(Close / Open, 5, desc, min_samples=5))"
 
 
@@ -101,6 +103,46 @@ def test_projects(spark, tmp_path):
     assert projects.frame_rows(frame) == [{"timestamp": "2026-01-01", "asset": "A", "open": 1.0, "close": None, "extra": {"k": "3"}}]
     projects.save_with_rows(doc, frame, path, str(tmp_path / "rows"))
     assert read_parquet(spark, str(tmp_path / "rows"), {"asset": "asset", "px": "open"}).columns == ["asset", "px"]
+    again = projects.load(path)
+    assert again["rowsPath"] == str(tmp_path / "rows") and projects.load(path) == projects.parse(json.loads(projects.dumps(again)))
+    assert projects.frame_rows(projects.panel(spark, again)) == projects.frame_rows(frame) == projects.frame_rows(projects.panel(spark, parsed))
+
+
+def test_versions_and_custom_blocks():
+    doc = projects.parse(projects.create({**STATE, "cleanedRows": []}, "2026-01-01T00:00:00Z"))
+    cleaned = projects.switch(doc, "cleaned")
+    assert (cleaned["currentDataVersion"], cleaned["rows"]) == ("cleaned", []) and projects.switch(cleaned, "original")["rows"] == doc["rows"]
+    with pytest.raises(projects.ProjectError):
+        projects.switch(projects.parse(projects.create(STATE)), "cleaned")
+    block = projects.custom_block("Twice it", "x * 2", created_at="2026-01-01T00:00:00.000Z")
+    two = projects.add_custom_block(projects.add_custom_block(doc, block), block, 3, 4)
+    assert two["customBlocks"] == [block] and len({n["id"] for n in two["nodes"]}) == 3 and projects.parse(two) == two
+    with pytest.raises(projects.ProjectError):
+        projects.custom_block("broken", "x +")
+
+
+def test_damaged_parts_of_a_project_are_left_out():
+    doc = projects.create(STATE) | {
+        "cleaningOptions": {"duplicate": "nonsense", "fillValue": float("nan")},
+        "qualityReport": {"rows": 1, "assets": 1, "dates": 1, "zeroPrices": "x", "missingByField": {"open": 2, "low": None}, "issues": ["a", 3]},
+        "runResult": {"status": "odd", "expression": "e", "points": [{"timestamp": "t", "asset": "A", "factor": 1.5, "ratio": "x"}, 7], "warnings": None},
+        "parseReport": {"delimiter": ";"},
+        "customBlocks": [{"id": "a", "name": "n", "expression": "x"}, {"id": 3}],
+        "intent": {"text": "t", "confirmed": True, "checks": {"logic": True, "data": 1}},
+    }
+    got = projects.parse(doc)
+    assert got["cleaningOptions"] == projects.DEFAULT_CLEANING and got["parseReport"] is None
+    assert got["qualityReport"]["missingByField"] == {"open": 2} and got["qualityReport"]["issues"] == ["a"] and got["qualityReport"]["zeroPrices"] == 0
+    run = got["runResult"]
+    assert (run["status"], run["missingValues"], len(run["points"]), run["points"][0]["ratio"], run["warnings"]) == ("warning", 1, 1, None, [])
+    assert [b["symbol"] for b in got["customBlocks"]] == ["fx"] and got["intent"]["checks"] == {"logic": True, "parameters": False, "data": False}
+
+
+def test_hexadecimal_and_quoted_cells(spark):
+    parsed = delimited.parse_text(spark, 'date, "my, code",code,open,close\n2026-01-01,"a ""b""",x,0x1F,0xFFFFFFFFFFFFFFFFFFFFFF\n2026-01-02,,x,0x,"1,234.5"')
+    assert parsed.headers == ["date", "my, code", "code", "open", "close"]
+    got = parsed.rows.orderBy("timestamp").collect()
+    assert (got[0].open, got[0].close) == (31.0, float(16**22 - 1)) and (got[1].open, got[1].close) == (None, 1234.5)
 
 
 @pytest.mark.parametrize(

@@ -131,13 +131,13 @@ def test_blocked_summary(spark):
 
 @pytest.mark.parametrize(
     ("text", "want"),
-    [("-x**2", 4), ("2**3**2", 512), ("7 % -4 + x", 5), ("np.log(math.e) + x", 3), ("x / 0", None), ("max(x, 3, 1)", 3), ("where(x > 1 && true, 10, 20)", 10), ("ifelse(!x, 1, 2)", 2), ("isnan(log(-1)) + 0", 1), ("clip(x, 3, 1)", 1), ("x != 2 || x == 2", 1), ("1e-3 * .5", 0.0005), ("sqrt(-x)", None)],
+    [("-x**2", 4), ("2**3**2", 512), ("7 % -4 + x", 5), ("np.log(math.e) + x", 3), ("x / 0", None), ("max(x, 3, 1)", 3), ("where(x > 1 && true, 10, 20)", 10), ("ifelse(!x, 1, 2)", 2), ("isnan(log(-1)) + 0", 1), ("clip(x, 3, 1)", 1), ("x != 2 || x == 2", 1), ("1e-3 * .5", 0.0005), ("sqrt(-x)", None), ("2 ** -x", 0.25), ("-(x + 1) * 2 ^ 2", -12), ("max()", None), ("isnan()", 1), ("pow(x)", None), ("abs(-x, 9)", 2), ("!(x > 3) + 1", 2), ("1 - 2 - 3", -4), ("2 < 3 == true", 1), ("((x))", 2)],
 )
 def test_formula(spark, text, want):
     assert evaluate(spark, ("custom_formula", {"series": C}, text), [2.0]) == pytest.approx([want])
 
 
-@pytest.mark.parametrize("text", ["y + 1", "foo(x)", "x +", "(x", "x ? 1", "x x"])
+@pytest.mark.parametrize("text", ["y + 1", "foo(x)", "x +", "(x", "x ? 1", "x x", "", "x)", "()", "x, x", "max(x,)", "max(,x)", "x (x)", "pi(x)", "* x"])
 def test_formula_errors(text):
     b = Builder()
     with pytest.raises(FormulaError):
@@ -148,6 +148,7 @@ def test_formula_errors(text):
 def test_custom_block_check():
     assert check_block("double", "x * 2") == []
     assert len(check_block(" ", "y ^ 2")) == 3
+    assert check_block("a", "np.log(X) + 1e3") == [] and len(check_block("a", "x ; 1")) == 1 and len(check_block("a", "1 + 2")) == 1
 
 
 @pytest.mark.parametrize("text", ["$price", "Foo($close)", "$close >= 1", "Ref($close, 0)", "Mean($close", "$close $open", "Mean()"])
