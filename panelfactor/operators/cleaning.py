@@ -6,6 +6,7 @@ Sorting gives an order to read the rows in; nothing is sorted globally.
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -33,13 +34,22 @@ class Cleaned:
     report: Quality
 
 
+def _turn(keep: str):
+    """The row's number among those of its key, from the one that stays."""
+    by = F.col("_row_id").asc() if keep == "keep-first" else F.col("_row_id").desc()
+    return F.row_number().over(Window.partitionBy("timestamp", "asset").orderBy(by))
+
+
+def _before(by_time: bool):
+    """An asset's rows up to the current one."""
+    return Window.partitionBy("asset").orderBy(*(("timestamp", "_row_id") if by_time else ("_row_id",))).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def deduplicate(panel: DataFrame, keep: str = "keep-first") -> DataFrame:
     """One row for each (timestamp, asset): the first or last by _row_id."""
     if keep == "keep-all":
         return panel
-    by = F.col("_row_id").asc() if keep == "keep-first" else F.col("_row_id").desc()
-    turn = F.row_number().over(Window.partitionBy("timestamp", "asset").orderBy(by))
-    return panel.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    return panel.withColumn("_turn", _turn(keep)).where("_turn = 1").drop("_turn")
 
 
 def drop_missing(panel: DataFrame, fields: list[str]) -> DataFrame:
@@ -53,8 +63,7 @@ def fill_value(panel: DataFrame, fields: list[str], value: float = 0.0) -> DataF
 
 def forward_fill(panel: DataFrame, fields: list[str], by_time: bool = True) -> DataFrame:
     """The asset's last value before a hole; leading holes stay."""
-    order = ("timestamp", "_row_id") if by_time else ("_row_id",)
-    w = Window.partitionBy("asset").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = _before(by_time)
     return panel.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in fields if c in panel.columns})
 
 
@@ -74,24 +83,36 @@ def apply(panel: DataFrame, options: Cleaning = Cleaning(), present: list[str] |
 def clean(panel: DataFrame, options: Cleaning = Cleaning(), present: list[str] | None = None) -> Cleaned:
     """The cleaned rows with counts of what changed; the panel itself stays as it is."""
     fields = [c for c in present_fields(panel, present) if c in panel.columns]
-    single = deduplicate(panel, options.duplicate)
-    df = apply(panel, options, present)
-
-    def count(x: DataFrame):
-        return x.agg(F.count("*").alias("n"), sum((F.count_if(F.col(c).isNull()) for c in fields), F.lit(0)).alias("holes")).first()
-
-    at_first, deduped, at_last = panel.count(), count(single), count(df)
-    rules = []
-    if at_first > deduped.n:
-        rules.append(f"duplicate keys: {options.duplicate}, {at_first - deduped.n} rows removed")
+    kept = F.lit(True) if options.duplicate == "keep-all" else _turn(options.duplicate) == 1
+    marked = panel.withColumn("_kept", kept)
+    if options.missing == "forward-fill":
+        w = _before(options.sort_by_asset_date)
+        after = {c: F.last(F.when(F.col("_kept"), F.col(c)), ignorenulls=True).over(w) for c in fields}
+    elif options.missing == "fill-value":
+        after = {c: F.lit(0.0) for c in fields}
+    else:
+        after = {c: F.col(c) for c in fields}
+    # one pass gives all counts: rows that stay are marked, and holes are counted before and after
+    wide = marked.select("_kept", *fields, *(x.isNull().alias(f"_hole_{c}") for c, x in after.items()))
+    hole = {c: F.col("_kept") & F.col(c).isNull() for c in fields}
+    whole = ~functools.reduce(lambda x, y: x | y, (F.col(c).isNull() for c in fields), F.lit(False))
+    n = wide.agg(
+        F.count("*").alias("rows"),
+        F.count_if("_kept").alias("single"),
+        F.count_if(F.col("_kept") & whole).alias("whole"),
+        sum((F.count_if(x) for x in hole.values()), F.lit(0)).alias("holes"),
+        sum((F.count_if(F.col("_kept") & F.col(f"_hole_{c}")) for c in fields), F.lit(0)).alias("left"),
+    ).first()
+    rules, last = [], n.whole if options.missing == "drop-row" else n.single
+    if n.rows > n.single:
+        rules.append(f"duplicate keys: {options.duplicate}, {n.rows - n.single} rows removed")
     if options.sort_by_asset_date:
         rules.append("sorted by asset and time")
-    changed = 0
-    if options.missing == "drop-row" and deduped.n > at_last.n:
-        rules.append(f"{deduped.n - at_last.n} rows with missing values removed")
-    elif options.missing in ("fill-value", "forward-fill"):
-        changed = deduped.holes - at_last.holes
-        if changed:
-            rules.append(f"{changed} missing values filled " + (f"with {options.fill_value:g}" if options.missing == "fill-value" else "forward within each asset"))
+    changed = n.holes - n.left if options.missing in ("fill-value", "forward-fill") else 0
+    if n.single > last:
+        rules.append(f"{n.single - last} rows with missing values removed")
+    if changed:
+        rules.append(f"{changed} missing values filled " + (f"with {options.fill_value:g}" if options.missing == "fill-value" else "forward within each asset"))
+    df = apply(panel, options, present)
     order = ("asset", "timestamp", "_row_id") if options.sort_by_asset_date else ("_row_id",)
-    return Cleaned(df, order, at_first - at_last.n, changed, rules, quality(df, present))
+    return Cleaned(df, order, n.rows - last, changed, rules, quality(df, present))

@@ -1,10 +1,10 @@
-"""Quality report of a panel, in one aggregation."""
+"""Quality report of a panel, in one aggregation by key and one over the keys."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("open", "high", "low", "close", "volume", "amount", "vwap")
@@ -56,16 +56,28 @@ def quality_frame(panel: DataFrame, present: list[str] | None = None) -> DataFra
         panel = panel.withColumn("_late", F.coalesce(F.col("timestamp") < before, F.lit(False)))
     else:
         panel = panel.withColumn("_late", F.lit(False))
-    one = {f"missing_{c}": F.count_if(F.col(c).isNull()) for c in fields}
-    return panel.agg(
-        F.count("*").alias("rows"),
+    # by key first: the distinct counts then run over keys, and rows meet one combining aggregation
+    keys = panel.groupBy("timestamp", "asset").agg(
+        F.count("*").alias("n"),
+        sum((F.count_if(F.coalesce(invalid(c), F.lit(False))) for c in fields), F.lit(0)).cast("long").alias("invalid"),
+        F.count_if(zero).alias("zero"),
+        F.count_if("_late").alias("late"),
+        *(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in fields),
+    )
+
+    def total(column: Column) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0)).cast("long")
+
+    one = {f"missing_{c}": total(F.col(f"missing_{c}")) for c in fields}
+    return keys.agg(
+        total(F.col("n")).alias("rows"),
         F.count_distinct("asset").alias("assets"),
         F.count_distinct("timestamp").alias("dates"),
-        (F.count("*") - F.count_distinct(F.struct("timestamp", "asset"))).alias("duplicate_keys"),
+        total(F.col("n") - 1).alias("duplicate_keys"),
         sum(one.values(), F.lit(0)).cast("long").alias("missing_values"),
-        sum((F.count_if(F.coalesce(invalid(c), F.lit(False))) for c in fields), F.lit(0)).cast("long").alias("invalid_numbers"),
-        F.count_if(zero).alias("zero_prices"),
-        F.count_if("_late").alias("out_of_order_rows"),
+        total(F.col("invalid")).alias("invalid_numbers"),
+        total(F.col("zero")).alias("zero_prices"),
+        total(F.col("late")).alias("out_of_order_rows"),
         *(v.alias(k) for k, v in one.items()),
     )
 

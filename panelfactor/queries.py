@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelfactor.operators import cleaning, legacy, quality
 from panelfactor.plans import catalog
-from panelfactor.plans.graph import GraphEdge, GraphNode, Settings
+from panelfactor.plans.graph import GraphEdge, GraphNode, Settings, compile_graph
 from panelfactor.plans.run import compute_factors, run_expression, run_graph
 from panelfactor.sources import delimited
 from panelfactor.sources.panels import EVENTS_SQL, LINEITEM_SQL, events_panel, lineitem_panel
@@ -294,13 +294,16 @@ def _ffill(order: str) -> str:
     return ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY asset ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS {c}" for c in ("open", "close"))
 
 
-def _parse(spark: SparkSession, d: str) -> DataFrame:
+def _parse(spark: SparkSession, d: str) -> delimited.Parsed:
     e = spark.read.parquet(f"{d}/events.parquet")
     price = F.when(F.col("event_id") % 19 == 0, "bad").when(F.col("event_id") % 23 == 0, "").otherwise(F.concat(F.lit('"1,'), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit('.5"')))
     body = e.select(F.concat_ws(",", F.col("event_id").cast("string"), "event_type", price, (F.col("event_id") % 7).cast("string"), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("value"))
     head = spark.createDataFrame([("﻿Trade_ID, 代码 ,开盘价,Close,owner".replace("Trade_ID", "Date"),)], "value string").coalesce(1)
-    rows = delimited.parse(head.union(body)).rows
-    return rows.select("timestamp", "asset", "open", "close", F.col("extra")["owner"].alias("owner"))
+    return delimited.parse(head.union(body))
+
+
+def _parse_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _parse(spark, d).rows.select("timestamp", "asset", "open", "close", F.col("extra")["owner"].alias("owner"))
 
 
 PARSE_SQL = """SELECT CAST(event_id AS VARCHAR) AS timestamp, event_type AS asset,
@@ -313,6 +316,32 @@ SELECT count(*) AS rows, count(DISTINCT asset) AS assets, count(DISTINCT timesta
   count(*) FILTER (WHERE open = 0 OR close = 0) AS zero_prices, count(*) FILTER (WHERE late) AS out_of_order_rows,
   count(*) FILTER (WHERE open IS NULL) AS missing_open, count(*) FILTER (WHERE close IS NULL) AS missing_close FROM late"""
 
+PARSE_ERRORS_SQL = "SELECT 'open' AS field, 'bad' AS raw, count(*) AS n FROM events WHERE event_id % 19 = 0 HAVING count(*) > 0"
+
+ISSUES_SQL = f"""WITH counts AS ({QUALITY_SQL}), said AS (
+  SELECT duplicate_keys AS n, 'duplicate keys of timestamp and asset' AS text FROM counts UNION ALL SELECT missing_values, 'missing values' FROM counts
+  UNION ALL SELECT zero_prices, 'rows with a price of zero' FROM counts UNION ALL SELECT out_of_order_rows, 'rows out of order of time' FROM counts)
+SELECT n || ' ' || text AS issue FROM said WHERE n > 0"""
+
+
+def _clean_counts_sql() -> str:
+    """Rows and holes before and after each of CLEANINGS; a rule is named if it changed something, and the order always."""
+    parts = []
+    for name, o in CLEANINGS.items():
+        single = "rows" if o.duplicate == "keep-all" else f"(SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY timestamp, asset ORDER BY _row_id{' DESC' if o.duplicate == 'keep-last' else ''}) = 1)"
+        after = {"drop-row": f"(SELECT * FROM {single} WHERE open IS NOT NULL AND close IS NOT NULL)", "fill-value": f"(SELECT coalesce(open, 0) AS open, coalesce(close, 0) AS close FROM {single})"}.get(o.missing) or f"(SELECT {_ffill('timestamp, _row_id' if o.sort_by_asset_date else '_row_id')} FROM {single})"
+        holes = "count(*) FILTER (WHERE open IS NULL) + count(*) FILTER (WHERE close IS NULL)"
+        changed = "0" if o.missing == "drop-row" else "s.h - a.h"
+        parts.append(f"""SELECT '{name}' AS options, r.n - a.n AS removed_rows, CAST({changed} AS BIGINT) AS changed_cells,
+  CAST((r.n > s.n) AS BIGINT) + {int(o.sort_by_asset_date)} + CAST((s.n > a.n) AS BIGINT) + CAST(({changed} > 0) AS BIGINT) AS rules, a.n AS rows, a.h AS missing_values
+FROM (SELECT count(*) AS n FROM rows) r, (SELECT count(*) AS n, {holes} AS h FROM {single} AS x) s, (SELECT count(*) AS n, {holes} AS h FROM {after} AS x) a""")
+    return f"WITH {EVENT_ROWS} " + " UNION ALL ".join(parts)
+
+
+GRAPH_FAULTS_SQL = """SELECT * FROM (VALUES ('no output', false, 1::BIGINT, false), ('required', false, 1, false), ('unknown block', false, 1, false), ('unknown port', false, 2, false),
+  ('cycle', false, 1, false), ('several edges', true, 1, true), ('fine', true, 0, true)) AS t(graph, supported, warnings, side_ratio)"""
+CATALOGUE_SQL = "SELECT * FROM (VALUES ('Alpha158', 'transcribed', true, 154::BIGINT), ('Alpha158', 'transformed', true, 4), ('Alpha360', 'transcribed', true, 360)) AS t(family, verification, described, factors)"
+
 #: the last finite ratio of a frame is ranked
 LEGACY_SQL = f"""{BASE}, f AS (SELECT asset, timestamp, r, list_filter(list(r) OVER (PARTITION BY asset ORDER BY timestamp ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), lambda e: e IS NOT NULL) AS l FROM base),
 k AS (SELECT *, CASE WHEN len(l) >= 3 THEN (len(list_filter(l, lambda e: e < l[-1])) + (len(list_filter(l, lambda e: e = l[-1])) + 1) / 2.0) / len(l) END AS ts_rank FROM f)
@@ -334,8 +363,49 @@ def _legacy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    points = run_expression(lineitem_panel(spark, d), "Mean($close, 5)/$close").points
-    return points.agg(F.count("*").alias("rows"), F.count("factor").alias("valid_values"), (F.count("*") - F.count("factor")).alias("missing_values"))
+    got = run_expression(lineitem_panel(spark, d), "Mean($close, 5)/$close").summary()
+    return spark.createDataFrame([(got["status"], got["valid_values"] + got["missing_values"], got["valid_values"], got["missing_values"])], "status string, rows long, valid_values long, missing_values long")
+
+
+def _issues(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(text,) for text in quality.quality(event_rows(spark, d)).issues], "issue string")
+
+
+CLEANINGS = {
+    "first, drop": cleaning.Cleaning(missing="drop-row"),
+    "last, fill": cleaning.Cleaning(duplicate="keep-last", missing="fill-value", fill_value=2),
+    "first, forward": cleaning.Cleaning(missing="forward-fill"),
+    "all, forward unsorted": cleaning.Cleaning(duplicate="keep-all", missing="forward-fill", sort_by_asset_date=False),
+}
+
+
+def _clean_counts(spark: SparkSession, d: str) -> DataFrame:
+    made = {name: cleaning.clean(event_rows(spark, d), options) for name, options in CLEANINGS.items()}
+    return spark.createDataFrame([(name, c.removed_rows, c.changed_cells, len(c.applied_rules), c.report.rows, c.report.missing_values) for name, c in made.items()], "options string, removed_rows long, changed_cells long, rules long, rows long, missing_values long")
+
+
+def _graph_faults(spark: SparkSession, d: str) -> DataFrame:
+    out, close = GraphNode("out", "factor_output", "output"), GraphNode("c", "field_close", "input")
+    a, b, ratio = GraphNode("a", "abs"), GraphNode("b", "abs"), GraphNode("r", "close_open_ratio")
+    graphs = {
+        "no output": ([close], []),
+        "required": ([out], []),
+        "unknown block": ([GraphNode("z", "nonsense"), out], [GraphEdge("z", "out", "value")]),
+        "unknown port": ([close, out], [GraphEdge("c", "out", "nowhere")]),
+        "cycle": ([a, b, out], [GraphEdge("a", "b", "series"), GraphEdge("b", "a", "series"), GraphEdge("a", "out", "value")]),
+        "several edges": ([close, ratio, out], [GraphEdge("c", "out"), GraphEdge("r", "out", "value")]),
+        "fine": ([close, ratio, out], [GraphEdge("c", "out", "value")]),
+    }
+    made = {name: compile_graph(*g) for name, g in graphs.items()}
+    return spark.createDataFrame([(name, c.supported, len(c.warnings), c.ratio is not None) for name, c in made.items()], "graph string, supported boolean, warnings long, side_ratio boolean")
+
+
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(f.family, f.verification, f.description != "" and f.source != "") for f in catalog.catalogue()]
+    return spark.createDataFrame(rows, "family string, verification string, described boolean").groupBy("family", "verification", "described").agg(F.count("*").alias("factors"))
+
+
+CLEAN_COUNTS_SQL = _clean_counts_sql()
 
 
 def _cases() -> dict[str, tuple[Query, str]]:
@@ -359,9 +429,14 @@ def _cases() -> dict[str, tuple[Query, str]]:
     out["clean_forward_fill"] = (_cleaned(missing="forward-fill"), _clean_sql(select=_ffill("timestamp, _row_id")))
     out["clean_forward_fill_unsorted"] = (_cleaned(missing="forward-fill", sort_by_asset_date=False, duplicate="keep-all"), _clean_sql(select=_ffill("_row_id"), dedup=False))
     out["quality_report"] = (lambda s, d: quality.quality_frame(event_rows(s, d)), QUALITY_SQL)
-    out["parse_delimited"] = (_parse, PARSE_SQL)
+    out["parse_delimited"] = (_parse_rows, PARSE_SQL)
+    out["parse_errors"] = (lambda s, d: _parse(s, d).errors.groupBy("field", "raw").agg(F.count("*").alias("n")), PARSE_ERRORS_SQL)
+    out["quality_issues"] = (_issues, ISSUES_SQL)
+    out["clean_counts"] = (_clean_counts, CLEAN_COUNTS_SQL)
+    out["graph_faults"] = (_graph_faults, GRAPH_FAULTS_SQL)
+    out["catalogue"] = (_catalogue, CATALOGUE_SQL)
     out["legacy_factor"] = (_legacy, LEGACY_SQL)
-    out["run_summary"] = (_summary, f"WITH {LINEITEM_SQL}, f AS (SELECT avg(close) OVER (PARTITION BY asset ORDER BY timestamp ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / close AS factor FROM panel) SELECT count(*) AS rows, count(factor) AS valid_values, count(*) - count(factor) AS missing_values FROM f")
+    out["run_summary"] = (_summary, f"WITH {LINEITEM_SQL}, f AS (SELECT avg(close) OVER (PARTITION BY asset ORDER BY timestamp ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / close AS factor FROM panel) SELECT 'passed' AS status, count(*) AS rows, count(factor) AS valid_values, count(*) - count(factor) AS missing_values FROM f")
     return out
 
 

@@ -90,6 +90,12 @@ panel AS (
 )"""
 
 
+def tail(panel: DataFrame, n: int = 8) -> DataFrame:
+    """The panel's last n rows, in its order: a preview."""
+    order = ["_row_id"] if "_row_id" in panel.columns else ["timestamp", "asset"]
+    return panel.orderBy(*(F.desc(c) for c in order)).limit(n).orderBy(*order)
+
+
 def demo_panel(spark: SparkSession) -> DataFrame:
     """A small panel for examples: four assets on seven days, from a rule."""
     rows = []

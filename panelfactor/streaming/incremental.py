@@ -1,10 +1,12 @@
 """Factors over a growing panel, with Structured Streaming.
 
 Windows over rows are not streaming operators, so each micro-batch is computed
-as a batch: the new rows, plus the last `history` rows of each of their assets
-from what is stored already.  Only the new rows' values are appended, so a
-restart repeats at most one batch, which `batch_id` in the output path makes
-idempotent.
+as a batch: the new rows, plus the rows of their assets before them that the
+formula can reach.  These are kept in a table of their own, at most `lookback`
+rows for each asset, which every batch replaces; a batch thus costs its rows and
+that table, whatever the length of the history.  Only the new rows' values are
+appended, so a restart repeats at most one batch, which `batch_id` in the paths
+makes idempotent.
 """
 
 from __future__ import annotations
@@ -46,35 +48,43 @@ def batch_values(history: DataFrame | None, fresh: DataFrame, expression: str) -
     n = lookback(expression)
     new = fresh.withColumn("_new", F.lit(True))
     if history is not None and n:
-        assets = F.broadcast(fresh.select("asset").distinct()) if fresh.select("asset").distinct().count() <= 10_000 else fresh.select("asset").distinct()
-        last = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("timestamp")))
-        old = history.join(assets, "asset", "left_semi").withColumn("_k", last).where(F.col("_k") <= n).drop("_k")
+        old = _last(history.join(fresh.select("asset").distinct(), "asset", "left_semi"), n)
         new = new.unionByName(old.withColumn("_new", F.lit(False)), allowMissingColumns=True)
     return run_expression(new, expression).points.where("_new").drop("_new", "ratio", "ts_rank")
 
 
+def _last(rows: DataFrame, n: int) -> DataFrame:
+    """The last n rows of each asset."""
+    turn = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("timestamp")))
+    return rows.withColumn("_k", turn).where(F.col("_k") <= n).drop("_k")
+
+
 def stream_factor(panel: DataFrame, expression: str, store: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Start a query that stores a streaming panel under `store` and its factor under `out` (Parquet).
 
     Rows of an asset must arrive in order of time.
     """
-    spark = panel.sparkSession
+    spark, n = panel.sparkSession, lookback(expression)
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
-        past = _stored(spark, store, batch_id)
+        # the table of the batch before; a path that begins with _ is none of the panel's
+        past = spark.read.parquet(f"{store}/_state/{batch_id - 1}") if batch_id and n else None
         batch_values(past, rows, expression).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if n:
+            reach = rows if past is None else past.unionByName(rows, allowMissingColumns=True)
+            _last(reach, n).write.mode("overwrite").parquet(f"{store}/_state/{batch_id}")
+            _forget(spark, f"{store}/_state/{batch_id - 2}")
         rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         rows.unpersist()
 
     return panel.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _stored(spark: SparkSession, store: str, batch_id: int) -> DataFrame | None:
-    """Batches before this one."""
-    if batch_id == 0:
-        return None
-    return spark.read.option("basePath", store).parquet(store).where(F.col("batch") < batch_id).drop("batch")
+def _forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever file system it lies, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def windowed_panel(events: DataFrame, time_col: str, asset_col: str, value_col: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
