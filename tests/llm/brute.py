@@ -187,3 +187,55 @@ def boilerplate(rows, min_sites):
         kept = [x for x in lines if len(sites.get(x.strip(" "), ())) < min_sites]
         out.append((i, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
     return out
+
+
+def ogg_pages(data):
+    """(flags, granule, serial, number, segments, body) of each page of a file without damage, checked bit by bit."""
+    at, out = 0, []
+    while at < len(data):
+        assert data[at : at + 5] == b"OggS\0"
+        n = data[at + 26]
+        lacing = list(data[at + 27 : at + 27 + n])
+        end = at + 27 + n + sum(lacing)
+        check = 0
+        for byte in data[at : at + 22] + bytes(4) + data[at + 26 : end]:
+            check ^= byte << 24
+            for _ in range(8):
+                check = (check << 1 ^ 0x04C11DB7 if check >> 31 else check << 1) & 0xFFFFFFFF
+        assert check == int.from_bytes(data[at + 22 : at + 26], "little")
+        number = [int.from_bytes(data[at + a : at + b], "little", signed=s) for a, b, s in ((6, 14, True), (14, 18, False), (18, 22, False))]
+        out.append((data[at + 5], *number, lacing, data[at + 27 + n : end]))
+        at = end
+    return out
+
+
+def ogg_media(data):
+    """(payload, rate, streams, pages, packets, packets over several pages) of a stored form."""
+    pages = ogg_pages(data)
+    packets = defaultdict(list)
+    part, spread, parts = {}, 0, {}
+    for flags, granule, serial, number, lacing, body in pages:
+        assert number == sum(1 for p in pages[: pages.index((flags, granule, serial, number, lacing, body))] if p[2] == serial)
+        assert bool(flags & 2) == (number == 0) and bool(flags & 1) == bool(part.get(serial))
+        at = 0
+        fresh = True
+        for x in lacing:
+            parts[serial] = parts.get(serial, 0) + fresh
+            fresh = False
+            part[serial] = part.get(serial, b"") + body[at : at + x]
+            at += x
+            if x < 255:
+                spread += parts[serial] > 1
+                packets[serial].append((part[serial], granule))
+                part[serial], parts[serial], fresh = b"", 0, True
+            else:
+                part[serial] = part[serial] or b""
+    headers = {s: p[0][0] for s, p in packets.items()}
+    assert all(h[:5] == b"PCM8\x01" and len(h) == 14 for h in headers.values())
+    blocks = sorted((g, b) for own in packets.values() for b, g in own[1:] if b)
+    done = 0
+    for granule, b in blocks:
+        done += len(b)
+        assert granule == done
+    rates = {int.from_bytes(h[6:10], "little") for h in headers.values()}
+    return b"".join(b for _, b in blocks), rates.pop(), len(packets), len(pages), sum(map(len, packets.values())), spread
