@@ -12,8 +12,9 @@ missing from that table cost nothing but time.
 
 * Answers of similar sets.  The set with the fewest rarer shingles leads its
   list.  Every set is compared with the one leader that it resembles most by
-  parity sketch; one that links takes it as its reference, with the exact size
-  d of their symmetric difference.  That size is a metric, so what is known of
+  parity sketch; one that links and is highly similar (d times ALIKE is at most
+  its size) takes it as its reference, with the exact size d of their symmetric
+  difference.  That size is a metric, so what is known of
   two references r and q decides for their followers x and y: their difference
   lies within d(x) + d(y) of that of r and q.  Between components, references
   are compared once, and followers only where these bounds leave it open.
@@ -321,6 +322,8 @@ def _close(difference, sizes, percent: int):
 
 #: references in a block of a list at most
 BLOCK = 256
+#: a set follows a reference from which it differs in at most 1 / ALIKE of its size
+ALIKE = 25
 
 
 def _side(df: DataFrame, k: int) -> DataFrame:
@@ -404,8 +407,8 @@ def _links(texts: DataFrame, groups: DataFrame, prints: Prints, n: int, percent:
     best = pair.withColumn("key", F.shiftleft(_bits(), 40) + F.shiftrightunsigned("b", 24)).groupBy("fp").agg(F.min_by("b", "key").alias("b"), F.min_by(_long("s1") + _long("s2"), "key").alias("sizes"))
     best = _tried(best.select(F.col("fp").alias("a"), "b", "sizes", F.lit(0).alias("slack")), groups, percent)
     found = _overlaps(cut(best), texts, n, prints).where(_reaches(percent))
-    found = cut(found.select("a", "b", (F.col("sa") + F.col("sb") - 2 * F.col("i")).cast("long").alias("d")))
-    links = found.select("a", "b")
+    found = cut(found.select("a", "b", "sa", (F.col("sa") + F.col("sb") - 2 * F.col("i")).cast("long").alias("d")))
+    links, found = found.select("a", "b"), found.where(F.col("d") * ALIKE <= F.col("sa")).drop("sa")
 
     # entries with their set's component and reference, and lists of references
     about = _labels(links).join(found.withColumnsRenamed({"a": "fp", "b": "ref"}), "fp", "left").withColumns({"ref": F.coalesce("ref", "fp"), "d": F.coalesce("d", F.lit(0).cast("long"))})
