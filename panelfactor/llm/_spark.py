@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: rows in an Arrow batch at most: texts may be long, and a batch is held in memory
-ARROW_ROWS = 512
-ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: rows and bytes in an Arrow batch at most: texts may be long, and a batch is held in memory
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
+ROWS_KEY, BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: an id that is null sorts after every other one
 NULL_ID = (1 << 63) - 1
@@ -25,10 +25,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower Spark's rows per Arrow batch to ARROW_ROWS (never raise it)."""
-    now = int(spark.conf.get(ROWS_KEY, "10000"))
-    if not 0 < now <= ARROW_ROWS:
-        spark.conf.set(ROWS_KEY, str(ARROW_ROWS))
+    """Lower Spark's rows and bytes per Arrow batch to ARROW_ROWS and ARROW_BYTES (never raise them).
+
+    They hold for the session: Spark reads them when a plan runs, not when it is made.
+    """
+    for key, most in ((ROWS_KEY, ARROW_ROWS), (BYTES_KEY, ARROW_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def findable(spark: SparkSession) -> None:
