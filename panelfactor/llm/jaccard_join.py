@@ -291,6 +291,13 @@ def _reach(percent: int):
     return (100 * F.least(s1, s2) >= percent * F.greatest(s1, s2)) & ((100 + percent) * most >= percent * (s1 + s2))
 
 
+def _some_reach(percent: int):
+    """The same for blocks of sets, at places from p to q: true if it may hold for some pair."""
+    most = F.least("q1", "q2") + F.least(_long("high1") - F.col("p1"), _long("high2") - F.col("p2"))
+    near = (100 * _long("high1") >= percent * _long("low2")) & (100 * _long("high2") >= percent * _long("low1"))
+    return near & ((100 + percent) * most >= percent * (_long("low1") + _long("low2")))
+
+
 def _enough_shared(percent: int):
     """Bound from all k tokens that two prefixes share, the last at places p1 and p2 of sets of sizes s1 and s2.
 
@@ -337,10 +344,10 @@ def _block_pairs(units: DataFrame, percent: int) -> DataFrame:
     units = cut(units.withColumn("at", F.floor(F.log2(F.col("p") + 1.0)).cast("int") * 1000 + F.floor(F.log("high") / math.log(100 / min(percent, 99))).cast("int")))
     large = units.groupBy("token", "at").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
     units = lookup(units, cut(large), ["token", "at"], "n").withColumn("part", F.coalesce(F.pmod(F.xxhash64("ref"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    blocks = units.groupBy("token", "at", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("p").alias("p"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+    blocks = units.groupBy("token", "at", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("p").alias("p"), F.max("p").alias("q"), F.min("comp").alias("c"), F.max("comp").alias("d"))
     order = F.struct("at1", "part1") <= F.struct("at2", "part2")
     alone = (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("c1") == F.col("c2"))
-    read = _side(blocks, 1).join(_side(blocks, 2), "token").where(order & ~alone & _some_can_link(percent)).select("token", "at1", "part1", "at2", "part2")
+    read = _side(blocks, 1).join(_side(blocks, 2), "token").where(order & ~alone & (_some_can_link(percent) | _some_reach(percent))).select("token", "at1", "part1", "at2", "part2")
     pairs = read.join(_side(units, 1), ["token", "at1", "part1"]).join(_side(units, 2), ["token", "at2", "part2"])
     same = (F.col("at1") == F.col("at2")) & (F.col("part1") == F.col("part2"))
     return pairs.where(~same | (F.col("ref1") < F.col("ref2"))).drop("at1", "part1", "at2", "part2")
@@ -352,11 +359,13 @@ def _open_pairs(units: DataFrame, percent: int) -> DataFrame:
     units: token, ref, comp, sizes low to high, least position p, greatest
     difference d from the reference, and the reference's sketch.
     """
-    mixed = units.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("units")).where("c0 <> c1").select("token", "units")
-    units = cut(units.join(mixed, "token"))
-    short, long = (units.where(F.col("units") <= BLOCK).drop("units"), units.where(F.col("units") > BLOCK).drop("units"))
+    large = cut(units.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).withColumn("long", F.lit(True)))
+    short = units
+    if not large.isEmpty():
+        units = lookup(units, large, "token", "n")
+        short, long = units.where("long is null").drop("long"), units.where("long").drop("long")
     pairs = _side(short, 1).join(_side(short, 2), "token").where(F.col("ref1") < F.col("ref2"))  # a list of one block
-    if not long.isEmpty():
+    if not large.isEmpty():
         pairs = pairs.unionByName(_block_pairs(long, percent))
     pairs = pairs.where(F.col("comp1") != F.col("comp2"))
     pairs = pairs.where(_close(_bits() - F.col("d1") - F.col("d2"), _long("high1") + _long("high2"), percent))
@@ -416,8 +425,10 @@ def _links(texts: DataFrame, groups: DataFrame, prints: Prints, n: int, percent:
     of_set = groups.select("fp", *SKETCH).join(about, "fp", "left")
     of_set = of_set.select("fp", F.coalesce("comp", "fp").alias("comp"), F.coalesce("ref", "fp").alias("ref"), F.coalesce("d", F.lit(0).cast("long")).alias("d"), *(F.coalesce(f"r{g}", g).alias(g) for g in SKETCH))
     named = entries.select("token", "fp", "size", "pos").join(of_set, "fp")
-    units = named.groupBy("token", "ref", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("p"), F.max("d").alias("d"), *(F.first(g).alias(g) for g in SKETCH))
-    across = cut(_tried(_open_pairs(units, percent), groups, percent))
+    # lists of one component are done with; rows of the others are in place by token, so that units take no further shuffle
+    mixed = named.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+    units = named.join(mixed, "token").groupBy("token", "ref", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("p"), F.max("d").alias("d"), *(F.first(g).alias(g) for g in SKETCH))
+    across = cut(_tried(_open_pairs(cut(units), percent), groups, percent))
     if across.isEmpty():
         return links
     across = cut(_overlaps(across, texts, n, prints))
