@@ -257,7 +257,9 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, n: int, prints: Prints) -> Dat
     both, total = pairs, pairs.count()
     for side in ("a", "b"):
         both = _with_set(both, pairs, total, side, sets)
-    return both.select(*pairs.columns, F.size("ta").alias("sa"), F.size("tb").alias("sb"), F.size(F.array_intersect("ta", "tb")).alias("i"))
+    out = cut(both.select(*pairs.columns, F.size("ta").alias("sa"), F.size("tb").alias("sb"), F.size(F.array_intersect("ta", "tb")).alias("i")))
+    shared.destroy()  # the result is written: nothing reads the bits again
+    return out
 
 
 def _reaches(percent: int):
@@ -408,6 +410,9 @@ def _links(texts: DataFrame, groups: DataFrame, prints: Prints, n: int, percent:
     met = context.broadcast(Bitmap.of(lists.select(F.shiftleft("token", 7).alias("hash")), "hash"))
     entries = cut(arrow(texts, _prefixes(n, percent, prints, shared, met), "token long, fp long, size int, pos int, " + ", ".join(f"{g} long" for g in SKETCH)))
 
+    shared.destroy()
+    met.destroy()
+
     # a list's leader is its member with the fewest rarer shingles; ties go by print
     key = F.shiftleft(_long("pos"), 40) + F.shiftrightunsigned("fp", 24)
     first = entries.withColumn("key", key).groupBy("token").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"), *(F.min_by(c, "key").alias(to) for c, to in (("fp", "b"), ("size", "s2"), ("pos", "p2"), *((g, f"h{g[1:]}") for g in SKETCH))))
@@ -431,7 +436,7 @@ def _links(texts: DataFrame, groups: DataFrame, prints: Prints, n: int, percent:
     across = cut(_tried(_open_pairs(cut(units), percent), groups, percent))
     if across.isEmpty():
         return links
-    across = cut(_overlaps(across, texts, n, prints))
+    across = _overlaps(across, texts, n, prints)
     links = cut(links.union(across.where(_reaches(percent)).select("a", "b")))
 
     # followers of references that are still apart, where their differences leave it open
