@@ -54,7 +54,7 @@ def _short() -> np.ndarray:
 
 def shift(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Registers s after n zero bytes each."""
-    s, n = np.broadcast_arrays(np.asarray(s, np.uint32), np.asarray(n, np.int64))
+    s, n = np.broadcast_arrays(np.atleast_1d(np.asarray(s, np.uint32)), np.asarray(n, np.int64))
     flat, at, low = _short().reshape(-1), np.minimum(n, LONG) * 1024, np.uint32(255)
     out = flat[at + (s & low)] ^ flat[at + 256 + ((s >> np.uint32(8)) & low)] ^ flat[at + 512 + ((s >> np.uint32(16)) & low)] ^ flat[at + 768 + (s >> np.uint32(24))]
     rest = np.flatnonzero(n > LONG)
@@ -78,7 +78,7 @@ def registers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         at = at[size[at] > k]
     for i in np.flatnonzero(size > LONG).tolist():
         n = int(size[i])
-        out[i] = np.uint32(zlib.crc32(data[start[i] : end[i]])) ^ FULL ^ shift(FULL, n)
+        out[i] = np.uint32(zlib.crc32(data[start[i] : end[i]])) ^ FULL ^ shift(FULL, n)[0]
     return out
 
 
@@ -94,4 +94,4 @@ def checksum(register: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def combined(left: int, right: int, size: int) -> int:
     """The CRC-32 of xy from those of x and y, and |y|."""
-    return int(shift(np.uint32(left), size)) ^ right
+    return int(shift(np.uint32(left), size)[0]) ^ right
