@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelfactor.llm import line_dedup, mixing, resampling, sql, token_files
+from panelfactor.llm import conversations, line_dedup, mixing, resampling, sql, token_files
 from panelfactor.llm.decontamination import op8_decontamination
 from panelfactor.llm.jaccard_join import op10_jaccard_join
 from panelfactor.llm.media_ogg import op3_media_ogg
@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
         "op8_decontamination": op8_decontamination,
         "op9_token_counts": op9_token_counts,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_conversations": conversations.op11_conversations,
         "op12_token_files": token_files.op12_token_files,
         "op13_resampling": resampling.op13_resampling,
     }
@@ -43,5 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.SQL,
         "op8_decontamination": sql.DECONTAMINATION,
         "op10_jaccard_join": sql.JACCARD_JOIN,
+        "op11_conversations": conversations.SQL,
         "op13_resampling": resampling.SQL,
     }

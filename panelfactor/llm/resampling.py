@@ -69,7 +69,7 @@ def feature_buckets(words: W.Words, run: int = RUN, buckets: int = BUCKETS) -> t
     return (np.concatenate(docs), np.concatenate(found).astype(np.int64)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _matrix(run: int, buckets: int):
+def _matrix(run: int, buckets: int, block_rows: int):
     def block(rows: list) -> pa.RecordBatch:
         """One CSR block from (id, words, features, bucket array, count array) of each document."""
         ends = np.cumsum([len(r[3]) for r in rows], dtype="<i8")
@@ -90,7 +90,7 @@ def _matrix(run: int, buckets: int):
                 features = np.bincount(doc, minlength=part.num_rows)
                 for i, (name, n) in enumerate(zip(part.column("id").to_pylist(), words.counts().tolist(), strict=True)):
                     a, b = cut[i], cut[i + 1]
-                    if rows and (len(rows) >= BLOCK_ROWS or entries + b - a > BLOCK_ENTRIES):
+                    if rows and (len(rows) >= block_rows or entries + b - a > BLOCK_ENTRIES):
                         yield block(rows)
                         rows, entries = [], 0
                     rows.append((name, n, int(features[i]), own[a:b], count[a:b]))
@@ -101,10 +101,10 @@ def _matrix(run: int, buckets: int):
     return work
 
 
-def matrix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, buckets: int = BUCKETS) -> DataFrame:
+def matrix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, buckets: int = BUCKETS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Write the documents' CSR blocks to Parquet at path, and read them."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    _spark.arrow(rows, _matrix(run, buckets), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    _spark.arrow(rows, _matrix(run, buckets, block_rows), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path)
 
 

@@ -99,7 +99,7 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encode(shared, spaced: bool, end: int, width: str):
+def _encode(shared, spaced: bool, end: int, width: str, most: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (shared.value, spaced)
         if key not in _encoders:  # a worker keeps what it knows over its tasks
@@ -111,9 +111,9 @@ def _encode(shared, spaced: bool, end: int, width: str):
                 ids, size = _encoders[key](part.column("text"), end)
                 cells, at = [], 0
                 for name, n in zip(part.column("doc_id").to_pylist(), size.tolist(), strict=True):
-                    for k in range(0, n, PIECE):
-                        m = min(PIECE, n - k)
-                        cells.append((name, row, k // PIECE, n > PIECE, m, ids[at + k : at + k + m].astype(width).tobytes()))
+                    for k in range(0, n, most):
+                        m = min(most, n - k)
+                        cells.append((name, row, k // most, n > most, m, ids[at + k : at + k + m].astype(width).tobytes()))
                     at, row = at + n, row + 1
                 yield _batch(cells, TOKENS)
 
@@ -303,30 +303,33 @@ def span(data, code: Book, piece: int, start: int, stop: int) -> np.ndarray:
     return _stretches(block.bits, np.array([begin]), np.array([stop - k * block.check]), code)[start - k * block.check :]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, block, start, rows, size = TaskContext.get().partitionId(), 0, 0, [], 0
+def _pack(most: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, start, rows, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
-    def done():
-        nonlocal block, start, rows, size
-        n = sum(r[4] for r in rows)
-        out = _batch([(part, block, start, n, pack_block(rows))], BLOCKS)
-        block, start, rows, size = block + 1, start + n, [], 0
-        return out
+        def done():
+            nonlocal block, start, rows, size
+            n = sum(r[4] for r in rows)
+            out = _batch([(part, block, start, n, pack_block(rows))], BLOCKS)
+            block, start, rows, size = block + 1, start + n, [], 0
+            return out
 
-    for batch in batches:
-        for row in zip(*(batch.column(f.split()[0]).to_pylist() for f in BITS.split(", "))):
-            rows.append(row)
-            size += len(row[5]) + len(row[6]) + 29
-            if size >= BLOCK:
-                yield done()
-    if rows:
-        yield done()
+        for batch in batches:
+            for row in zip(*(batch.column(f.split()[0]).to_pylist() for f in BITS.split(", "))):
+                rows.append(row)
+                size += len(row[5]) + len(row[6]) + 29
+                if size >= most:
+                    yield done()
+        if rows:
+            yield done()
+
+    return work
 
 
 # writing and reading
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, spaced: bool = False, end: int = END, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, spaced: bool = False, end: int = END, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, piece: int = PIECE, block: int = BLOCK) -> None:
     """Write the ids of docs in ascending order of id_col to path/codebook and path/blocks (Parquet).
 
     tokenizer is the path of a file of the library, read on the driver.  Set
@@ -340,7 +343,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, spaced: bool = False, end:
     size = max(Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True), end + 1)
     width = "<u2" if size <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    _spark.arrow(rows, _encode(spark.sparkContext.broadcast(spec), spaced, end, width), TOKENS).write.option("compression", "zstd").parquet(f"{path}/tokens")
+    _spark.arrow(rows, _encode(spark.sparkContext.broadcast(spec), spaced, end, width, piece), TOKENS).write.option("compression", "zstd").parquet(f"{path}/tokens")
     tokens = spark.read.schema(TOKENS).parquet(f"{path}/tokens")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +361,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, spaced: bool = False, end:
 
     bits = _spark.arrow(tokens, _to_bits(spark.sparkContext.broadcast(book(lengths)), width), BITS)
     order = [F.asc_nulls_first("doc_id"), F.asc("row"), F.asc("piece")]
-    _spark.arrow(bits.repartitionByRange(*order).sortWithinPartitions(*order), _pack, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    _spark.arrow(bits.repartitionByRange(*order).sortWithinPartitions(*order), _pack(block), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     _spark.delete(spark, f"{path}/tokens")
 
 
