@@ -1,10 +1,12 @@
 """Token files (12): ids of whole texts, Huffman coded in independent blocks.
 
 1. Every text is encoded by the tokenizer library and ends with the id END.
-   A tokenizer that drops white space and has no piece across it (`spaced`)
-   gives a text's ids as those of its words one after the other; the library
-   then sees each word of a slice once, and up to KEPT words are remembered.
-   Ids are stored as 16-bit numbers where the vocabulary allows it.
+   For a tokenizer that lowers case, drops white space and splits by SPLIT, a
+   text's ids are those of its pieces one after the other.  Runs of letters and
+   of signs in words of plain Latin text are cut and lowered over whole columns,
+   and other words stay whole; the library then sees each of these once a slice,
+   and up to KEPT are remembered.  Ids are stored as 16-bit numbers where the
+   vocabulary allows it.
 2. Counts of ids, combined in the tasks, give the code: lengths by package
    merge with at most LIMIT bits, so decoding is one look-up, and canonical
    codes, so the lengths alone describe it (one row, `codebook`).
@@ -31,6 +33,8 @@ ids and place.  An empty table has an empty code and no blocks.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -48,8 +52,10 @@ from panelfactor.llm import _crc, _spark
 from panelfactor.llm import _words as W
 
 END = 2
-#: bits of a code, tokens between checkpoints, tokens of a piece, bytes of a block, remembered words: at most
-LIMIT, CHECK, PIECE, BLOCK, KEPT = 20, 256, 1 << 18, 1 << 20, 1_000_000
+#: bits of a code, tokens between checkpoints, tokens of a piece, bytes of a block: at most
+LIMIT, CHECK, PIECE, BLOCK = 20, 256, 1 << 18, 1 << 20
+#: bytes of text that are encoded together, and pieces that a worker remembers, at most
+SLICE, KEPT = 2 << 20, 400_000
 MAGIC = 0x31425448
 TOKENS = "doc_id long, row long, piece int, several boolean, n int, ids binary"
 BITS = "doc_id long, row long, piece int, several boolean, n int, bits binary, checks binary"
@@ -59,32 +65,98 @@ BLOCKS = "part int, block int, start long, n_tokens long, data binary"
 # ids
 
 
+# Fixed value: the pattern of tokenizers whose texts can be encoded piece by piece
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_pieces(spec: dict) -> bool:
+    """Whether the tokenizer lowers case, drops white space and splits by SPLIT."""
+    before, after = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [(n.get("type"), n.get("pattern"), n.get("content")) for n in before.get("normalizers", [])]
+    cuts = [(p["type"], p.get("pattern"), p.get("behavior"), p.get("invert"), p.get("add_prefix_space"), p.get("use_regex")) for p in after.get("pretokenizers", [])]
+    lowered = steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+    return lowered and cuts == [("Split", {"Regex": SPLIT}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)] and not any(re.search(r"\s", t["content"]) or t["content"][0] in _SIGNS for t in spec.get("added_tokens", []))
+
+
+#: signs that stand for themselves: not the apostrophe, which the pattern joins to letters, nor the bracket that begins special tokens
+_SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_LETTER, _SIGN, _OTHER = 0, 1, 2
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[0x61:0x7B] = _LETTER
+_CLASS[list(_SIGNS.encode())] = _SIGN
+
+
+class Pieces(NamedTuple):
+    """Byte ranges of a column's pieces in `data`, each text's first one, and which have to be read as whole words."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    whole: np.ndarray
+
+
+def pieces(texts: pa.Array) -> Pieces:
+    words = W.words(texts)
+    data = words.data.copy()
+    data[(data >= 0x41) & (data <= 0x5A)] += 32
+    kind = _CLASS[data]
+    # letters of two bytes, C3 80 to C3 BF but for the signs C3 97 and C3 B7; the first thirty are capitals
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    letters = (second != 0x97) & (second != 0xB7)
+    kind[lead[letters]] = kind[lead[letters] + 1] = _LETTER
+    capital = lead[letters & (second <= 0x9E)] + 1
+    data[capital] += 32
+    odd = np.append(0, np.cumsum(kind == _OTHER))
+    whole = odd[words.end] > odd[words.start]
+    # whole words get their own bytes back
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[words.start[whole]] += 1
+    edge[words.end[whole]] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    data[inside] = words.data[inside]
+    # cuts between letters and signs of the others
+    change = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] < _OTHER) & (kind[:-1] < _OTHER) & ~inside[1:]) + 1
+    marks = np.zeros((2, len(data) + 1), bool)
+    marks[0, words.start] = marks[1, words.end] = True
+    marks[:, change] = True
+    start, end = np.flatnonzero(marks[0]), np.flatnonzero(marks[1])
+    of = np.searchsorted(words.start, start, "right") - 1
+    return Pieces(data, start, end, np.searchsorted(of, words.first), whole[of])
+
+
 class Encoder:
     """The library's ids of a column of texts, as one array and the number for each text (END included)."""
 
-    def __init__(self, spec: str, spaced: bool):
+    def __init__(self, spec: str, whole: bool = False):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced = Tokenizer.from_str(spec), spaced
+        own = json.loads(spec)
+        self.tokenizer, self.by_pieces = Tokenizer.from_str(spec), not whole and by_pieces(own)
+        # pieces are lowered and cut already
+        self.plain = Tokenizer.from_str(json.dumps(own | {"normalizer": None, "added_tokens": [], "pre_tokenizer": own["pre_tokenizer"]["pretokenizers"][-1]})) if self.by_pieces else None
         self.known: dict[bytes, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _library(tokenizer, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.spaced:
-            words = W.words(texts)
-            _, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
-            data = words.data.tobytes()
-            unique = [data[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
-            new = [w for w in unique if w not in self.known]
-            if len(self.known) + len(new) > KEPT:
+        if self.by_pieces:
+            cut = pieces(texts)
+            _, first, which = np.unique(W._hash(cut.data, cut.start, cut.end - cut.start), return_index=True, return_inverse=True)
+            data = cut.data.tobytes()
+            unique = [data[a:b] for a, b in zip(cut.start[first].tolist(), cut.end[first].tolist())]
+            whole = cut.whole[first].tolist()
+            if len(self.known) + len(unique) > KEPT:
                 self.known.clear()
-                new = unique
-            self.known.update(zip(new, self._library([w.decode() for w in new])))
-            each, per_text = [self.known[w] for w in unique], words.first
+            for kind, tokenizer in ((False, self.plain), (True, self.tokenizer)):
+                new = [w for w, x in zip(unique, whole) if x == kind and w not in self.known]
+                self.known.update(zip(new, self._library(tokenizer, [w.decode() for w in new])))
+            each, per_text = [self.known[w] for w in unique], cut.first
         else:
-            each = self._library(pc.fill_null(texts, "").to_pylist())
+            each = self._library(self.tokenizer, pc.fill_null(texts, "").to_pylist())
             which, per_text = np.arange(len(each)), np.arange(len(each) + 1)
         flat = np.frombuffer(b"".join(each), "<u4")
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
@@ -99,15 +171,15 @@ class Encoder:
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encode(shared, spaced: bool, end: int, width: str, most: int):
+def _encode(shared, whole: bool, end: int, width: str, most: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (shared.value, spaced)
+        key = (shared.value, whole)
         if key not in _encoders:  # a worker keeps what it knows over its tasks
             _encoders.clear()
             _encoders[key] = Encoder(*key)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE):
                 ids, size = _encoders[key](part.column("text"), end)
                 cells, at = [], 0
                 for name, n in zip(part.column("doc_id").to_pylist(), size.tolist(), strict=True):
@@ -329,11 +401,11 @@ def _pack(most: int):
 # writing and reading
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, spaced: bool = False, end: int = END, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, piece: int = PIECE, block: int = BLOCK) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, whole: bool = False, end: int = END, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, piece: int = PIECE, block: int = BLOCK) -> None:
     """Write the ids of docs in ascending order of id_col to path/codebook and path/blocks (Parquet).
 
-    tokenizer is the path of a file of the library, read on the driver.  Set
-    `spaced` only for tokenizers without a piece across ASCII white space.
+    tokenizer is the path of a file of the library, read on the driver; with
+    `whole` its texts are never cut into pieces.
     """
     from tokenizers import Tokenizer
 
@@ -343,7 +415,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, spaced: bool = False, end:
     size = max(Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True), end + 1)
     width = "<u2" if size <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    _spark.arrow(rows, _encode(spark.sparkContext.broadcast(spec), spaced, end, width, piece), TOKENS).write.option("compression", "zstd").parquet(f"{path}/tokens")
+    _spark.arrow(rows, _encode(spark.sparkContext.broadcast(spec), whole, end, width, piece), TOKENS).write.option("compression", "zstd").parquet(f"{path}/tokens")
     tokens = spark.read.schema(TOKENS).parquet(f"{path}/tokens")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,6 +501,5 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{_spark.shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
-    # this tokenizer turns runs of white space into breaks, so words can be encoded one by one
-    write(_spark.documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), spaced=True)
+    write(_spark.documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
     return documents(spark, path)

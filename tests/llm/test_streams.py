@@ -186,7 +186,7 @@ def test_codes_are_canonical():
 @pytest.fixture
 def written(spark, docs, tmp_path):
     path = f"file://{tmp_path}/files"
-    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), spaced=True, piece=500, block=3000)
+    token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), piece=500, block=3000)
     return path
 
 
@@ -231,9 +231,9 @@ def test_whole_texts_and_words_give_the_same(spark, docs, tmp_path):
     odd = spark.createDataFrame([(1, "Ünïcodé Å Σίσυφοσ ΟΔΟΣ \x85x y z 'S I'LL don't <|endoftext|> <|startoftext|>x 12345\t\v\f\r\nq\x1fw"), (2, "́a  ̈b")], "doc_id long, text string")
     both = odd.unionByName(docs.select("doc_id", "text"))
     got = []
-    for spaced in (True, False):
-        path = f"file://{tmp_path}/{spaced}"
-        token_files.write(both, path, public_tokenizers.path("word_bpe_49k.json"), spaced=spaced)
+    for whole in (True, False):
+        path = f"file://{tmp_path}/{whole}"
+        token_files.write(both, path, public_tokenizers.path("word_bpe_49k.json"), whole=whole)
         got.append(Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.documents(spark, path).collect()))
     assert got[0] == got[1]
 
