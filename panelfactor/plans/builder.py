@@ -18,10 +18,16 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelfactor.functions.nullsafe import finite
 
 ASSET, TIMESTAMP, ROW_ID = "asset", "timestamp", "_row_id"
+POSITION, BUCKET, OWN = "_position", "_bucket", "_own"
+#: frames of up to so many rows are read row by row
+NARROW = 8
+_WINDOWS = ("forward", "backward", "asset", "timestamp")
+_GATHERED = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 _NAME = re.compile(r"\bn_\d+\b")
 
 
@@ -29,10 +35,24 @@ _NAME = re.compile(r"\bn_\d+\b")
 class Node:
     name: str
     sql: str
-    kind: str  # field, element, asset or timestamp
+    kind: str  # field, element, forward, backward, asset or timestamp
     type: str  # number or boolean
     stage: int
     level: int
+    reach: int = 0  # rows of the asset before the current one that it looks at
+
+
+@dataclass(frozen=True)
+class Split:
+    """How to split assets: buckets of `rows` rows.
+
+    `slot` is SQL text that does not fall with time and of which one value's
+    rows of an asset fit a task, such as the day or month; rows are numbered
+    by it first, so that no task has to hold an asset.
+    """
+
+    rows: int = 100_000
+    slot: str = "substr(timestamp, 1, 7)"
 
 
 @dataclass
@@ -42,20 +62,21 @@ class Builder:
     order: tuple[str, ...] = (TIMESTAMP,)
     fields: frozenset[str] = frozenset({"open", "high", "low", "close", "volume", "amount", "vwap"})
     skew_estimator: str = "runtime"
+    split: Split | None = None
     nodes: dict[str, Node] = field(default_factory=dict)
     _known: dict[tuple[str, str], str] = field(default_factory=dict)
 
-    def _add(self, sql: str, kind: str, type_: str) -> str:
+    def _add(self, sql: str, kind: str, type_: str = "number", reach: int = 0) -> str:
         if (kind, sql) in self._known:
             return self._known[kind, sql]
         inputs = [self.nodes[n] for n in _NAME.findall(sql)]
         stage = max([0, *(i.stage for i in inputs)])
-        if kind in ("asset", "timestamp"):
+        if kind in _WINDOWS:
             stage, level = stage + 1, 0
         else:
             level = 1 + max([0, *(i.level for i in inputs if i.stage == stage)])
         name = f"n_{len(self.nodes)}"
-        self.nodes[name] = Node(name, sql, kind, type_, stage, level)
+        self.nodes[name] = Node(name, sql, kind, type_, stage, level, reach)
         self._known[kind, sql] = name
         return name
 
@@ -69,14 +90,40 @@ class Builder:
 
     def rolling(self, call: str, window: int) -> str:
         """call over the last `window` rows of the asset."""
-        return self._add(f"{call} OVER ({self._by_asset()} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)", "asset", "number")
+        return self._add(f"{call} OVER ({self._by_asset()} ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)", "asset", "number", window - 1)
 
     def lag(self, x: str, n: int) -> str:
-        return self._add(f"lag({x}, {n}) OVER ({self._by_asset()})", "asset", self.nodes[x].type)
+        return self._add(f"lag({x}, {n}) OVER ({self._by_asset()})", "asset", self.nodes[x].type, n)
 
     def position(self) -> str:
         """The row's number within its asset, from 1."""
-        return self._add(f"CAST(row_number() OVER ({self._by_asset()}) AS DOUBLE)", "asset", "number")
+        if self.split:
+            return self._add(f"CAST({POSITION} AS DOUBLE)", "element")
+        return self._add(f"CAST(row_number() OVER ({self._by_asset()}) AS DOUBLE)", "asset")
+
+    def block(self, window: int) -> str:
+        """The number of the row's block of `window` rows, from 0."""
+        return self.element(f"CAST(floor(({self.position()} - 1D) / {window}D) AS BIGINT)")
+
+    def forward(self, call: str, window: int) -> str:
+        """call over the rows of the block up to the current one."""
+        return self._add(f"{call} OVER (PARTITION BY {ASSET}, {self.block(window)} ORDER BY {self.position()} {_GATHERED})", "forward")
+
+    def backward(self, call: str, window: int) -> str:
+        """call over the rows of the block from its end back to the current one."""
+        return self._add(f"{call} OVER (PARTITION BY {ASSET}, {self.block(window)} ORDER BY {self.position()} DESC {_GATHERED})", "backward")
+
+    def before(self, gathered: str, window: int) -> str:
+        """The frame's part of the block before, from what `backward` gathered; null where the frame has none."""
+        at = f"OVER (PARTITION BY {ASSET} ORDER BY {self.position()})"
+        block = self.block(window)
+        other = self._add(f"lag({block}, {window - 1}) {at}", "asset", reach=window - 1)
+        value = self._add(f"lag({gathered}, {window - 1}) {at}", "asset", reach=window - 1)
+        return self.element(f"CASE WHEN {other} <> {block} THEN {value} END")
+
+    def halves(self, call: str, window: int) -> tuple[str, str]:
+        """call over the frame's part of the row's own block, and over its part of the block before."""
+        return self.forward(call, window), self.before(self.backward(call, window), window)
 
     def section(self, call: str, order: str = "") -> str:
         """call over the rows of the timestamp."""
@@ -113,17 +160,59 @@ class Builder:
 
     def layers(self, outputs: list[str]) -> list[list[Node]]:
         """The nodes that outputs need, in order of computation, those of one select together."""
-        turn = {"asset": 0, "timestamp": 1, "field": 2, "element": 2}
         groups: dict[tuple, list[Node]] = {}
         for n in self.needed(outputs):
-            groups.setdefault((n.stage, turn[n.kind], n.level), []).append(n)
+            # a stage begins in the direction in which the one before ended, which saves a sort
+            turn = {"forward": n.stage % 2 == 0, "backward": n.stage % 2 == 1, "asset": 2, "timestamp": 3, "field": 4, "element": 4}
+            groups.setdefault((n.stage, int(turn[n.kind]), n.level), []).append(n)
         return [groups[k] for k in sorted(groups)]
 
     def run(self, panel: DataFrame, outputs: dict[str, str], keep: list[str] | None = None) -> DataFrame:
         """panel's columns `keep` (default: all) and the output nodes under their names, as finite doubles."""
         keep = panel.columns if keep is None else keep
-        df = panel
-        for layer in self.layers(list(outputs.values())):
-            df = df.selectExpr("*", *(f"{n.sql} AS {n.name}" for n in layer))
+        layers = self.layers(list(outputs.values()))
+        df, lent = numbered(panel, self.split, self.order) if self.split else panel, False
+        for k, layer in enumerate(layers):
+            by_asset = layer[0].kind in ("forward", "backward", "asset")
+            if self.split and by_asset and not lent:
+                df, lent = lend(df, self.split, self._reach(layers[k:])), True
+            if lent and layer[0].kind == "timestamp":
+                df, lent = df.where(OWN).drop(BUCKET, OWN), False
+            key = f"PARTITION BY {ASSET}, {BUCKET}" if lent else f"PARTITION BY {ASSET}"
+            df = df.selectExpr("*", *(f"{n.sql.replace(f'PARTITION BY {ASSET}', key)} AS {n.name}" for n in layer))
+        if lent:
+            df = df.where(OWN)
         last = (f"{finite(f'CAST({n} AS DOUBLE)')} AS `{name}`" for name, n in outputs.items())
         return df.selectExpr(*(f"`{c}`" for c in keep), *last)
+
+    @staticmethod
+    def _reach(layers: list[list[Node]]) -> int:
+        """Rows before the current one that the windows by asset look at, up to the next section."""
+        by_stage: dict[int, int] = {}
+        for layer in layers:
+            if layer[0].kind == "timestamp":
+                break
+            for n in layer:
+                by_stage[n.stage] = max(by_stage.get(n.stage, 0), n.reach)
+        return sum(by_stage.values())
+
+
+def numbered(panel: DataFrame, split: Split, order: tuple[str, ...] = (TIMESTAMP,)) -> DataFrame:
+    """panel with POSITION, each row's number within its asset, without any task holding an asset.
+
+    Rows are counted by (asset, slot), the counts are summed over an asset's
+    slots, and rows are numbered within their slot.
+    """
+    slotted = panel.withColumn("_slot", F.expr(split.slot))
+    sizes = slotted.groupBy(ASSET, "_slot").agg(F.count("*").alias("_n"))
+    starts = sizes.selectExpr(f"{ASSET} AS _asset", "_slot AS _at", f"coalesce(sum(_n) OVER (PARTITION BY {ASSET} ORDER BY _slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _start")
+    joined = slotted.join(starts, F.col(ASSET).eqNullSafe(F.col("_asset")) & F.col("_slot").eqNullSafe(F.col("_at")))
+    return joined.selectExpr(*(f"`{c}`" for c in panel.columns), f"_start + row_number() OVER (PARTITION BY {ASSET}, _slot ORDER BY {', '.join(order)}) AS {POSITION}")
+
+
+def lend(df: DataFrame, split: Split, reach: int) -> DataFrame:
+    """df in buckets of max(split.rows, reach) rows, each with the last `reach` rows of the bucket before (OWN is false on those)."""
+    rows = max(split.rows, reach, 1)
+    bucket = f"CAST(floor(({POSITION} - 1) / {rows}) AS BIGINT)"
+    also = f"{POSITION} > ({bucket} + 1) * {rows} - {reach}"
+    return df.selectExpr("*", f"inline(CASE WHEN {also} THEN array(struct({bucket} AS {BUCKET}, true AS {OWN}), struct({bucket} + 1, false)) ELSE array(struct({bucket} AS {BUCKET}, true AS {OWN})) END)")
