@@ -34,10 +34,12 @@ ids and place.  An empty table has an empty code and no blocks.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -54,8 +56,8 @@ from panelfactor.llm import _words as W
 END = 2
 #: bits of a code, tokens between checkpoints, tokens of a piece, bytes of a block: at most
 LIMIT, CHECK, PIECE, BLOCK = 20, 256, 1 << 18, 1 << 20
-#: bytes of text that are encoded together, and pieces that a worker remembers, at most
-SLICE, KEPT = 2 << 20, 400_000
+#: bytes of text that are cut together, strings that the library encodes together, and pieces that a worker remembers, at most
+SLICE, TOGETHER, KEPT = 2 << 20, 1024, 400_000
 MAGIC = 0x31425448
 TOKENS = "doc_id long, row long, piece int, several boolean, n int, ids binary"
 BITS = "doc_id long, row long, piece int, several boolean, n int, bits binary, checks binary"
@@ -130,6 +132,7 @@ class Encoder:
     """The library's ids of a column of texts, as one array and the number for each text (END included)."""
 
     def __init__(self, spec: str, whole: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         own = json.loads(spec)
@@ -140,7 +143,10 @@ class Encoder:
 
     @staticmethod
     def _library(tokenizer, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for k in range(0, len(texts), TOGETHER):
+            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[k : k + TOGETHER], add_special_tokens=False)]
+        return out
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         if self.by_pieces:
@@ -271,12 +277,21 @@ def pack(code: np.ndarray, length: np.ndarray, at: np.ndarray, size: int) -> byt
     return out.astype(">u8").tobytes()[:size]
 
 
+def _few_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts of at most PIECE tokens."""
+    for batch in batches:
+        total = np.cumsum(batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PIECE, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _to_bits(shared, width: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _few_tokens(batches):
             n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
             ids = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("ids")), width)
             length = code.length[ids]
