@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelfactor.operators.quality import Quality, present_fields, quality
+from panelfactor.plans.builder import Split
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,7 @@ class Cleaning:
     missing: str = "keep"  # keep, drop-row, forward-fill or fill-value
     fill_value: float = 0.0
     sort_by_asset_date: bool = True
+    split: Split | None = None  # forward fill of assets with more rows than a task can hold
 
 
 @dataclass
@@ -61,10 +63,26 @@ def fill_value(panel: DataFrame, fields: list[str], value: float = 0.0) -> DataF
     return panel.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(value)) for c in fields if c in panel.columns})
 
 
-def forward_fill(panel: DataFrame, fields: list[str], by_time: bool = True) -> DataFrame:
-    """The asset's last value before a hole; leading holes stay."""
-    w = _before(by_time)
-    return panel.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in fields if c in panel.columns})
+def forward_fill(panel: DataFrame, fields: list[str], by_time: bool = True, split: Split | None = None) -> DataFrame:
+    """The asset's last value before a hole; leading holes stay.
+
+    With `split` an asset's rows are filled slot by slot: each slot's last value
+    comes from an aggregate, a scan over an asset's slots (one row each) carries
+    it on, and holes are filled inside the slot and then by what was carried.
+    split.slot must not fall with the order of the rows.
+    """
+    filled = [c for c in fields if c in panel.columns]
+    if split is None:
+        w = _before(by_time)
+        return panel.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in filled})
+    order = ["timestamp", "_row_id"] if by_time else ["_row_id"]
+    slotted = panel.withColumn("_slot", F.expr(split.slot))
+    ends = slotted.groupBy("asset", "_slot").agg(*(F.max(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("_v"))))["_v"].alias(f"_last_{c}") for c in filled))
+    earlier = Window.partitionBy("asset").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("asset").alias("_asset"), F.col("_slot").alias("_at"), *(F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_carried_{c}") for c in filled))
+    joined = slotted.join(carried, F.col("asset").eqNullSafe(F.col("_asset")) & F.col("_slot").eqNullSafe(F.col("_at")))
+    inside = Window.partitionBy("asset", "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carried_{c}")) for c in filled}).select(*panel.columns)
 
 
 def apply(panel: DataFrame, options: Cleaning = Cleaning(), present: list[str] | None = None) -> DataFrame:
@@ -76,7 +94,7 @@ def apply(panel: DataFrame, options: Cleaning = Cleaning(), present: list[str] |
     if options.missing == "fill-value":
         return fill_value(df, fields, options.fill_value)
     if options.missing == "forward-fill":
-        return forward_fill(df, fields, options.sort_by_asset_date)
+        return forward_fill(df, fields, options.sort_by_asset_date, options.split)
     return df
 
 

@@ -8,10 +8,9 @@ from panelfactor.plans.builder import Builder
 def rank(b: Builder, x: str) -> str:
     """Ascending percentile, ties averaged."""
     x = b.number(x)
-    below = b.section("rank()", f" ORDER BY {x} ASC NULLS LAST")
-    ties = b.section(f"count({x})", f" ORDER BY {x} ASC NULLS LAST RANGE BETWEEN CURRENT ROW AND CURRENT ROW")
+    below, ties = b.section_rank(x)
     n = b.section(f"count({x})")
-    return b.element(f"CASE WHEN {x} IS NOT NULL THEN ({below} - 1 + ({ties} + 1) / 2D) / {n} END")
+    return b.element(f"CASE WHEN {x} IS NOT NULL THEN ({below} + ({ties} + 1) / 2D) / {n} END")
 
 
 def _spread(call: str):

@@ -40,6 +40,7 @@ class Node:
     stage: int
     level: int
     reach: int = 0  # rows of the asset before the current one that it looks at
+    call: str = ""  # of a section: the aggregate, or the column that it ranks
 
 
 @dataclass(frozen=True)
@@ -63,10 +64,11 @@ class Builder:
     fields: frozenset[str] = frozenset({"open", "high", "low", "close", "volume", "amount", "vwap"})
     skew_estimator: str = "runtime"
     split: Split | None = None
+    large_sections: bool = False
     nodes: dict[str, Node] = field(default_factory=dict)
     _known: dict[tuple[str, str], str] = field(default_factory=dict)
 
-    def _add(self, sql: str, kind: str, type_: str = "number", reach: int = 0) -> str:
+    def _add(self, sql: str, kind: str, type_: str = "number", reach: int = 0, call: str = "") -> str:
         if (kind, sql) in self._known:
             return self._known[kind, sql]
         inputs = [self.nodes[n] for n in _NAME.findall(sql)]
@@ -76,7 +78,7 @@ class Builder:
         else:
             level = 1 + max([0, *(i.level for i in inputs if i.stage == stage)])
         name = f"n_{len(self.nodes)}"
-        self.nodes[name] = Node(name, sql, kind, type_, stage, level, reach)
+        self.nodes[name] = Node(name, sql, kind, type_, stage, level, reach, call)
         self._known[kind, sql] = name
         return name
 
@@ -125,9 +127,15 @@ class Builder:
         """call over the frame's part of the row's own block, and over its part of the block before."""
         return self.forward(call, window), self.before(self.backward(call, window), window)
 
-    def section(self, call: str, order: str = "") -> str:
+    def section(self, call: str) -> str:
         """call over the rows of the timestamp."""
-        return self._add(f"{call} OVER (PARTITION BY {TIMESTAMP}{order})", "timestamp", "number")
+        return self._add(f"{call} OVER (PARTITION BY {TIMESTAMP})", "timestamp", call=call)
+
+    def section_rank(self, x: str) -> tuple[str, str]:
+        """How many values of the timestamp are below x, and how many equal it; undefined where x is null."""
+        order = f"(PARTITION BY {TIMESTAMP} ORDER BY {x} ASC NULLS LAST"
+        below = self._add(f"CAST(rank() OVER {order}) - 1 AS BIGINT)", "timestamp", call=x)
+        return below, self._add(f"count({x}) OVER {order} RANGE BETWEEN CURRENT ROW AND CURRENT ROW)", "timestamp", call=x)
 
     def _by_asset(self) -> str:
         return f"PARTITION BY {ASSET} ORDER BY {', '.join(self.order)}"
@@ -178,6 +186,9 @@ class Builder:
                 df, lent = lend(df, self.split, self._reach(layers[k:])), True
             if lent and layer[0].kind == "timestamp":
                 df, lent = df.where(OWN).drop(BUCKET, OWN), False
+            if self.large_sections and layer[0].kind == "timestamp":
+                df = self._sections(df, layer)
+                continue
             key = f"PARTITION BY {ASSET}, {BUCKET}" if lent else f"PARTITION BY {ASSET}"
             df = df.selectExpr("*", *(f"{n.sql.replace(f'PARTITION BY {ASSET}', key)} AS {n.name}" for n in layer))
         if lent:
@@ -185,6 +196,20 @@ class Builder:
         last = (f"{finite(f'CAST({n} AS DOUBLE)')} AS `{name}`" for name, n in outputs.items())
         return df.selectExpr(*(f"`{c}`" for c in keep), *last)
 
+    @staticmethod
+    def _sections(df: DataFrame, layer: list[Node]) -> DataFrame:
+        from panelfactor.operators import sections
+
+        plain = {n.name: n.call for n in layer if n.sql == f"{n.call} OVER (PARTITION BY {TIMESTAMP})"}
+        ranks: dict[str, dict[str, str]] = {}
+        for n in layer:
+            if n.name not in plain:
+                ranks.setdefault(n.call, {})["ties" if n.sql.startswith("count(") else "below"] = n.name
+        df = sections.joined(df, plain) if plain else df
+        for x, names in ranks.items():
+            df = sections.ranked(df, x, **names)
+        return df
+
     @staticmethod
     def _reach(layers: list[list[Node]]) -> int:
         """Rows before the current one that the windows by asset look at, up to the next section."""
@@ -215,4 +240,4 @@ def lend(df: DataFrame, split: Split, reach: int) -> DataFrame:
     rows = max(split.rows, reach, 1)
     bucket = f"CAST(floor(({POSITION} - 1) / {rows}) AS BIGINT)"
     also = f"{POSITION} > ({bucket} + 1) * {rows} - {reach}"
-    return df.selectExpr("*", f"inline(CASE WHEN {also} THEN array(struct({bucket} AS {BUCKET}, true AS {OWN}), struct({bucket} + 1, false)) ELSE array(struct({bucket} AS {BUCKET}, true AS {OWN})) END)")
+    return df.selectExpr("*", f"inline(CASE WHEN {also} THEN array(struct({bucket} AS {BUCKET}, true AS {OWN}), struct({bucket} + 1 AS {BUCKET}, false AS {OWN})) ELSE array(struct({bucket} AS {BUCKET}, true AS {OWN})) END)")

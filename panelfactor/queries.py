@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelfactor.operators import cleaning, legacy, quality
 from panelfactor.plans import catalog
+from panelfactor.plans.builder import Split
 from panelfactor.plans.graph import GraphEdge, GraphNode, Settings, compile_graph
 from panelfactor.plans.run import compute_factors, run_expression, run_graph
 from panelfactor.sources import delimited
@@ -43,9 +44,9 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 RAW = 9
 
 
-def _block(tree: tuple) -> Query:
-    digits = RAW if tree[0].startswith("field_") else 6
-    return lambda spark, d: _rounded(run_graph(lineitem_panel(spark, d), *graph(tree)).points, "factor", digits=digits)
+def _block(tree: tuple, digits: int = 6, **options) -> Query:
+    digits = RAW if tree[0].startswith("field_") else digits
+    return lambda spark, d: _rounded(run_graph(lineitem_panel(spark, d), *graph(tree), **options).points, "factor", digits=digits)
 
 
 R = ("divide", {"left": ("field_close",), "right": ("field_open",)})
@@ -226,9 +227,9 @@ f3 AS (SELECT *, list_sum(list_transform(p, lambda q: (q[1] - mx) * (q[2] - my))
 SELECT asset, timestamp, {columns} FROM f3 {frame}"""
 
 
-def _rolling(n: int) -> Query:
+def _rolling(n: int, **options) -> Query:
     names = [f"{name}{n}" for name in catalog.ROLLING]
-    return lambda spark, d: _rounded(compute_factors(lineitem_panel(spark, d), names, keep=["asset", "timestamp"]), *names)
+    return lambda spark, d: _rounded(compute_factors(lineitem_panel(spark, d), names, keep=["asset", "timestamp"], **options), *names)
 
 
 def _named(names: dict[str, str]) -> Query:
@@ -295,20 +296,25 @@ def _ffill(order: str) -> str:
 
 
 def _parse(spark: SparkSession, d: str) -> delimited.Parsed:
-    e = spark.read.parquet(f"{d}/events.parquet")
-    price = F.when(F.col("event_id") % 19 == 0, "bad").when(F.col("event_id") % 23 == 0, "").otherwise(F.concat(F.lit('"1,'), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit('.5"')))
-    body = e.select(F.concat_ws(",", F.col("event_id").cast("string"), "event_type", price, (F.col("event_id") % 7).cast("string"), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("value"))
-    head = spark.createDataFrame([("﻿Trade_ID, 代码 ,开盘价,Close,owner".replace("Trade_ID", "Date"),)], "value string").coalesce(1)
+    """Events as lines of a file, with quotes at the ends of cells and inside them."""
+    e = spark.read.parquet(f"{d}/events.parquet").orderBy("event_id")
+    k = F.col("event_id")
+    price = F.when(k % 19 == 0, "bad").when(k % 23 == 0, "").when(k % 5 == 0, F.concat(F.lit('1",'), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit('".5'))).otherwise(F.concat(F.lit('"1,'), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit('.5"')))
+    owner = F.when(k % 29 == 0, F.concat(F.lit('u"x,""'), F.col("user_id").cast("string"), F.lit('"'))).otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    asset = F.when(k % 97 == 0, F.lit(" ")).otherwise(F.col("event_type"))
+    body = e.select(F.concat_ws(",", k.cast("string"), asset, price, (k % 7).cast("string"), owner).alias("value"))
+    head = spark.createDataFrame([('\ufeffDa"te", 代码 ,"开盘价",Close,owner',)], "value string").coalesce(1)
     return delimited.parse(head.union(body))
 
 
 def _parse_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _parse(spark, d).rows.select("timestamp", "asset", "open", "close", F.col("extra")["owner"].alias("owner"))
+    return _parse(spark, d).rows.select("timestamp", "asset", "open", "close", F.col("extra")["owner"].alias("owner"), F.col("_row_id").alias("line"))
 
 
 PARSE_SQL = """SELECT CAST(event_id AS VARCHAR) AS timestamp, event_type AS asset,
   CASE WHEN event_id % 19 = 0 OR event_id % 23 = 0 THEN NULL ELSE 1000 + event_id % 1000 + 0.5 END::DOUBLE AS open,
-  CAST(event_id % 7 AS DOUBLE) AS close, 'u' || user_id AS owner FROM events"""
+  CAST(event_id % 7 AS DOUBLE) AS close, CASE WHEN event_id % 29 = 0 THEN 'ux,"' || user_id ELSE 'u' || user_id END AS owner,
+  row_number() OVER (ORDER BY event_id) + 1 AS line FROM events QUALIFY event_id % 97 <> 0"""
 
 QUALITY_SQL = f"""WITH {EVENT_ROWS}, late AS (SELECT *, timestamp < lag(timestamp) OVER (PARTITION BY asset ORDER BY _row_id) AS late FROM rows)
 SELECT count(*) AS rows, count(DISTINCT asset) AS assets, count(DISTINCT timestamp) AS dates, count(*) - count(DISTINCT (timestamp, asset)) AS duplicate_keys,
@@ -316,7 +322,14 @@ SELECT count(*) AS rows, count(DISTINCT asset) AS assets, count(DISTINCT timesta
   count(*) FILTER (WHERE open = 0 OR close = 0) AS zero_prices, count(*) FILTER (WHERE late) AS out_of_order_rows,
   count(*) FILTER (WHERE open IS NULL) AS missing_open, count(*) FILTER (WHERE close IS NULL) AS missing_close FROM late"""
 
-PARSE_ERRORS_SQL = "SELECT 'open' AS field, 'bad' AS raw, count(*) AS n FROM events WHERE event_id % 19 = 0 HAVING count(*) > 0"
+PARSE_ERRORS_SQL = """WITH numbered AS (SELECT *, row_number() OVER (ORDER BY event_id) + 1 AS line FROM events)
+SELECT line, 'open' AS field, 'bad' AS raw, 'line ' || line || ': open: bad is not a number' AS message FROM numbered WHERE event_id % 19 = 0 AND event_id % 97 <> 0
+UNION ALL SELECT line, 'key', '', 'line ' || line || ': timestamp and asset must not be empty' FROM numbered WHERE event_id % 97 = 0"""
+
+#: events with infinite and undefined prices
+INVALID_SQL = """WITH p AS (SELECT *, event_id % 31 = 0 AS a, event_id % 37 = 0 AS b FROM events)
+SELECT count(*) AS rows, count(*) FILTER (WHERE a) + count(*) FILTER (WHERE b) AS invalid_numbers, count(*) FILTER (WHERE NOT b AND value IS NULL) + count(*) FILTER (WHERE NOT a AND value IS NULL) AS missing_values,
+  count(DISTINCT (strftime(ts, '%Y-%m-%dT%H'), event_type)) AS keys FROM p"""
 
 ISSUES_SQL = f"""WITH counts AS ({QUALITY_SQL}), said AS (
   SELECT duplicate_keys AS n, 'duplicate keys of timestamp and asset' AS text FROM counts UNION ALL SELECT missing_values, 'missing values' FROM counts
@@ -338,10 +351,6 @@ FROM (SELECT count(*) AS n FROM rows) r, (SELECT count(*) AS n, {holes} AS h FRO
     return f"WITH {EVENT_ROWS} " + " UNION ALL ".join(parts)
 
 
-GRAPH_FAULTS_SQL = """SELECT * FROM (VALUES ('no output', false, 1::BIGINT, false), ('required', false, 1, false), ('unknown block', false, 1, false), ('unknown port', false, 2, false),
-  ('cycle', false, 1, false), ('several edges', true, 1, true), ('fine', true, 0, true)) AS t(graph, supported, warnings, side_ratio)"""
-CATALOGUE_SQL = "SELECT * FROM (VALUES ('Alpha158', 'transcribed', true, 154::BIGINT), ('Alpha158', 'transformed', true, 4), ('Alpha360', 'transcribed', true, 360)) AS t(family, verification, described, factors)"
-
 #: the last finite ratio of a frame is ranked
 LEGACY_SQL = f"""{BASE}, f AS (SELECT asset, timestamp, r, list_filter(list(r) OVER (PARTITION BY asset ORDER BY timestamp ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), lambda e: e IS NOT NULL) AS l FROM base),
 k AS (SELECT *, CASE WHEN len(l) >= 3 THEN (len(list_filter(l, lambda e: e < l[-1])) + (len(list_filter(l, lambda e: e = l[-1])) + 1) / 2.0) / len(l) END AS ts_rank FROM f)
@@ -384,40 +393,43 @@ def _clean_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(name, c.removed_rows, c.changed_cells, len(c.applied_rules), c.report.rows, c.report.missing_values) for name, c in made.items()], "options string, removed_rows long, changed_cells long, rules long, rows long, missing_values long")
 
 
-def _graph_faults(spark: SparkSession, d: str) -> DataFrame:
-    out, close = GraphNode("out", "factor_output", "output"), GraphNode("c", "field_close", "input")
-    a, b, ratio = GraphNode("a", "abs"), GraphNode("b", "abs"), GraphNode("r", "close_open_ratio")
-    graphs = {
-        "no output": ([close], []),
-        "required": ([out], []),
-        "unknown block": ([GraphNode("z", "nonsense"), out], [GraphEdge("z", "out", "value")]),
-        "unknown port": ([close, out], [GraphEdge("c", "out", "nowhere")]),
-        "cycle": ([a, b, out], [GraphEdge("a", "b", "series"), GraphEdge("b", "a", "series"), GraphEdge("a", "out", "value")]),
-        "several edges": ([close, ratio, out], [GraphEdge("c", "out"), GraphEdge("r", "out", "value")]),
-        "fine": ([close, ratio, out], [GraphEdge("c", "out", "value")]),
-    }
-    made = {name: compile_graph(*g) for name, g in graphs.items()}
-    return spark.createDataFrame([(name, c.supported, len(c.warnings), c.ratio is not None) for name, c in made.items()], "graph string, supported boolean, warnings long, side_ratio boolean")
+CLEAN_COUNTS_SQL = _clean_counts_sql()
+
 
+def _invalid(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    panel = e.select(F.date_format("ts", "yyyy-MM-dd'T'HH").alias("timestamp"), F.col("event_type").alias("asset"), F.when(F.col("event_id") % 37 == 0, float("-inf")).otherwise(F.col("value")).alias("open"), F.when(F.col("event_id") % 31 == 0, float("nan")).otherwise(F.col("value")).alias("close"))
+    return quality.quality_frame(panel).select("rows", "invalid_numbers", "missing_values", (F.col("rows") - F.col("duplicate_keys")).alias("keys"))
 
-def _catalogue(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(f.family, f.verification, f.description != "" and f.source != "") for f in catalog.catalogue()]
-    return spark.createDataFrame(rows, "family string, verification string, described boolean").groupBy("family", "verification", "described").agg(F.count("*").alias("factors"))
 
+#: assets are split into many buckets on the test data too
+SPLIT = Split(rows=400, slot="substr(timestamp, 1, 7)")
 
-CLEAN_COUNTS_SQL = _clean_counts_sql()
+
+def _wide(tree: tuple, window: int) -> tuple:
+    """The case's graph with a window that is read in two halves."""
+    return (*tree[:2], {**tree[2], "window": window})
 
 
 def _cases() -> dict[str, tuple[Query, str]]:
     out: dict[str, tuple[Query, str]] = {"flagship_cs_zscore_ts_rank": (_flagship, FLAGSHIP_SQL)}
     for block, (tree, sql) in BLOCK_CASES.items():
         out[f"block_{block}"] = (_block(tree), sql)
+    for block, (tree, sql) in BLOCK_CASES.items():
+        if len(tree) > 2 and "window" in tree[2]:
+            digits = RAW if block == "ts_rsquare" else 6  # values of it are binary fractions, ties of fewer digits
+            wide = sql.replace("6 PRECEDING", "19 PRECEDING").replace(", 6) + 0.0", f", {digits}) + 0.0")
+            out[f"wide_{block}"] = (_block(_wide(tree, 20), digits), wide)
+            out[f"split_{block}"] = (_block(_wide(tree, 20), digits, split=SPLIT), wide)
+        if block.startswith("cs_"):
+            out[f"large_{block}"] = (_block(tree, large_sections=True), sql)
     for name, (text, sql) in FORMULA_CASES.items():
         out[name] = (_block(("custom_formula", X, text)), _sql(sql))
     candles = ", ".join(f"round({sql}, 6) + 0.0 AS {name}" for name, sql in CANDLE_SQL.items())
     out["alpha158_candles_and_prices"] = (_candles, f"WITH {EVENTS_SQL} SELECT asset, timestamp, {candles} FROM panel")
     for n in catalog.WINDOWS:
         out[f"alpha158_rolling_{n}"] = (_rolling(n), _rolling_sql(n))
+    out["split_alpha158_rolling_30"] = (_rolling(30, split=SPLIT), _rolling_sql(30))
     for name in catalog.LAGGED:
         out[f"alpha360_{name.lower()}"] = (_named({f"{name}{k}": catalog.find(f"alpha360-{name.lower()}{k}").expression for k in catalog.LAGS}), _lagged_sql(name))
     out["panel_lineitem"] = (lambda s, d: _rounded(lineitem_panel(s, d), "open", "high", "low", "close", "volume", digits=RAW), f"WITH {LINEITEM_SQL} SELECT asset, timestamp, " + ", ".join(f"round({c}, {RAW}) + 0.0 AS {c}" for c in ("open", "high", "low", "close", "volume")) + " FROM panel")
@@ -427,14 +439,15 @@ def _cases() -> dict[str, tuple[Query, str]]:
     out["clean_drop_row"] = (_cleaned(missing="drop-row"), _clean_sql(where="WHERE open IS NOT NULL AND close IS NOT NULL"))
     out["clean_fill_value"] = (_cleaned(missing="fill-value", fill_value=-1.5), _clean_sql(select="coalesce(open, -1.5) AS open, coalesce(close, -1.5) AS close"))
     out["clean_forward_fill"] = (_cleaned(missing="forward-fill"), _clean_sql(select=_ffill("timestamp, _row_id")))
+    out["clean_forward_fill_split"] = (_cleaned(missing="forward-fill", split=Split(slot="substr(timestamp, 1, 10)")), _clean_sql(select=_ffill("timestamp, _row_id")))
+    out["clean_forward_fill_unsorted_split"] = (_cleaned(missing="forward-fill", sort_by_asset_date=False, duplicate="keep-all", split=Split(slot="_row_id div 500")), _clean_sql(select=_ffill("_row_id"), dedup=False))
     out["clean_forward_fill_unsorted"] = (_cleaned(missing="forward-fill", sort_by_asset_date=False, duplicate="keep-all"), _clean_sql(select=_ffill("_row_id"), dedup=False))
     out["quality_report"] = (lambda s, d: quality.quality_frame(event_rows(s, d)), QUALITY_SQL)
     out["parse_delimited"] = (_parse_rows, PARSE_SQL)
-    out["parse_errors"] = (lambda s, d: _parse(s, d).errors.groupBy("field", "raw").agg(F.count("*").alias("n")), PARSE_ERRORS_SQL)
+    out["parse_errors"] = (lambda s, d: _parse(s, d).errors, PARSE_ERRORS_SQL)
+    out["quality_invalid"] = (_invalid, INVALID_SQL)
     out["quality_issues"] = (_issues, ISSUES_SQL)
     out["clean_counts"] = (_clean_counts, CLEAN_COUNTS_SQL)
-    out["graph_faults"] = (_graph_faults, GRAPH_FAULTS_SQL)
-    out["catalogue"] = (_catalogue, CATALOGUE_SQL)
     out["legacy_factor"] = (_legacy, LEGACY_SQL)
     out["run_summary"] = (_summary, f"WITH {LINEITEM_SQL}, f AS (SELECT avg(close) OVER (PARTITION BY asset ORDER BY timestamp ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / close AS factor FROM panel) SELECT 'passed' AS status, count(*) AS rows, count(factor) AS valid_values, count(*) - count(factor) AS missing_values FROM f")
     return out
