@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -122,6 +123,9 @@ class Bitmap:
         bits = np.zeros(1 << (log2 - 3), dtype=np.uint8)
         table = filled.toArrow()
         bits.view("<i8")[table.column("word").to_numpy()] = table.column("bit").to_numpy()
+        del table
+        gc.collect()
+        pa.default_memory_pool().release_unused()  # many of these are made one after the other
         return cls(bits, log2)
 
 
