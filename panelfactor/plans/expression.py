@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from decimal import Decimal
+from graphlib import CycleError, TopologicalSorter
 
 from panelfactor.plans import blocks
 from panelfactor.plans.graph import GraphEdge, GraphNode, Settings, bind
@@ -11,47 +12,62 @@ from panelfactor.plans.graph import GraphEdge, GraphNode, Settings, bind
 _SLOT = re.compile(r"\{(\w+)(?:\|([^}]*))?\}")
 
 
+#: decimals of a number in a text; what they cannot show is in exponent form
+DECIMALS = 8
+
+
 def number_text(value: float | bool | str) -> str:
-    """Up to eight decimals; smaller magnitudes in exponent form."""
-    if isinstance(value, str):
-        return value
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if value != 0 and abs(value) < 1e-8:
-        digits, power = f"{Decimal(repr(float(value))):e}".lower().split("e")
-        digits = digits.rstrip("0").rstrip(".") if "." in digits else digits
-        return f"{digits}e{int(power)}"
-    if float(value).is_integer():
-        return str(int(value))
-    return f"{value:.8f}".rstrip("0").rstrip(".")
+    """A parameter's text."""
+    if isinstance(value, (str, bool)):
+        return str(value).lower() if isinstance(value, bool) else value
+    exact = Decimal(repr(float(value)))
+    tiny = 0 < abs(exact) < Decimal(1).scaleb(-DECIMALS)
+    return format((exact if tiny else round(exact, DECIMALS) + 0).normalize(), "e" if tiny else "f")
+
+
+def _reached(output: GraphNode, nodes: list[GraphNode], edges: list[GraphEdge], warn) -> tuple[dict[str, tuple[GraphNode, dict[str, GraphNode]]], list[str]]:
+    """The nodes that the output depends on with their sources by port, and their names with sources first.
+
+    Of a cycle, the node that is nearest the output is cut off from the
+    others, which then show its label.
+    """
+    known = {n.id: n for n in nodes}
+    found: dict[str, tuple[GraphNode, dict[str, GraphNode]]] = {}
+    todo = [output]
+    while todo:
+        node = todo.pop(0)
+        if node.id not in found:
+            sources, notes, faults = bind(node, known, edges)
+            found[node.id] = node, sources
+            todo += sources.values()
+            for text in notes + faults:
+                warn(text)
+    distance = {name: k for k, name in enumerate(found)}
+    needs = {name: {s.id for s in sources.values()} for name, (_, sources) in found.items()}
+    while True:
+        try:
+            return found, list(TopologicalSorter(needs).static_order())
+        except CycleError as error:
+            ring = set(error.args[1])
+            nearest = min(ring, key=distance.get)
+            warn(f"{found[nearest][0].label}: the edges form a cycle")
+            for name in ring:
+                needs[name].discard(nearest)
 
 
 def expression(nodes: list[GraphNode], edges: list[GraphEdge], settings: Settings | None = None) -> tuple[str, list[str]]:
     """The text of the graph's output, and warnings."""
     settings = settings or Settings()
-    known = {n.id: n for n in nodes}
-    warnings: list[str] = []
-    done: dict[str, str] = {}
-    open_: set[str] = set()
+    output = next((n for n in nodes if n.is_output), None)
+    if output is None:
+        return "", ["there is no factor output"]
+    warnings: dict[str, None] = {}  # in order, each once
 
     def warn(text: str) -> None:
-        if text not in warnings:
-            warnings.append(text)
-
-    def text_of(node: GraphNode) -> str:
-        if node.id in done:
-            return done[node.id]
-        if node.id in open_:
-            warn(f"{node.label}: the edges form a cycle")
-            return node.label
-        open_.add(node.id)
-        sources, notes, faults = bind(node, known, edges)
-        for x in notes + faults:
-            warn(x)
-        inputs = {p: text_of(s) for p, s in sources.items()}
-        done[node.id] = out = render(node, inputs)
-        open_.discard(node.id)
-        return out
+        warnings[text] = None
+
+    found, order = _reached(output, nodes, edges, warn)
+    done: dict[str, str] = {}
 
     def render(node: GraphNode, inputs: dict[str, str]) -> str:
         block = blocks.get(node.block)
@@ -85,30 +101,18 @@ def expression(nodes: list[GraphNode], edges: list[GraphEdge], settings: Setting
 
         return _SLOT.sub(slot, block.text)
 
-    output = next((n for n in nodes if n.is_output), None)
-    if output is None:
-        return "", ["there is no factor output"]
-    return text_of(output), warnings
+    for name in order:
+        node, sources = found[name]
+        done[name] = render(node, {port: done.get(s.id, s.label) for port, s in sources.items()})
+    return done[output.id], list(warnings)
 
 
 def describe(nodes: list[GraphNode], edges: list[GraphEdge], settings: Settings | None = None) -> str:
     """A sentence that names the blocks in use, inputs first."""
     text, _ = expression(nodes, edges, settings)
-    known = {n.id: n for n in nodes}
-    order: list[str] = []
-
-    def visit(i: str) -> None:
-        if i in known and i not in order:
-            for e in edges:
-                if e.target == i:
-                    visit(e.source)
-            order.append(i)
-
-    for n in nodes:
-        if n.is_output:
-            visit(n.id)
-            break
-    steps = [known[i].label for i in order if not known[i].is_output]
+    output = next((n for n in nodes if n.is_output), None)
+    found, order = _reached(output, nodes, edges, lambda _: None) if output else ({}, [])
+    steps = [found[i][0].label for i in order if not found[i][0].is_output]
     return f"The factor uses, in this order: {', '.join(dict.fromkeys(steps))}. Its expression is {text}." if steps else f"The factor is not complete yet. Expression: {text}."
 
 
