@@ -1,21 +1,24 @@
 """Factors over a growing panel, with Structured Streaming.
 
 Windows over rows are not streaming operators, so each micro-batch is computed
-as a batch: the new rows, plus the rows of their assets before them that the
-formula can reach.  These are kept in a table of their own, at most `lookback`
-rows for each asset, which every batch replaces; a batch thus costs its rows and
-that table, whatever the length of the history.  Only the new rows' values are
-appended, so a restart repeats at most one batch, which `batch_id` in the paths
-makes idempotent.
+as a batch: the new rows, and of each of their assets the rows before them that
+the formula can reach.  Those, at most `lookback` for each asset, are keyed state
+of a stateful operator in Spark's state store: a batch reads and writes the
+state of its own assets alone, so its cost depends neither on the length of the
+history nor on assets that are idle.  Only the new rows' values are appended; a
+restart repeats at most one batch from the state before it, which `batch_id` in
+the paths makes idempotent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from panelfactor.plans.run import run_expression
 
@@ -59,32 +62,64 @@ def _last(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_k", turn).where(F.col("_k") <= n).drop("_k")
 
 
+class Reachable(StatefulProcessor):
+    """Adds to an asset's new rows those before them that a formula can reach (NEW is false on these), and keeps the last `keep`."""
+
+    def __init__(self, schema: StructType, keep: int):
+        self.schema, self.keep, self.names = schema, keep, schema.names
+        self.order = [self.names.index(c) for c in ("timestamp", "_row_id") if c in self.names]
+
+    def init(self, handle) -> None:
+        self.rows = handle.getListState("rows", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        old, fresh = [tuple(r) for r in self.rows.get()], [tuple(r[c] for c in self.names) for r in rows]
+        named = Row(*self.names, NEW)
+        yield from (named(*r, False) for r in old)
+        yield from (named(*r, True) for r in fresh)
+        # a missing time comes first, as in the windows
+        both = sorted(old + fresh, key=lambda r: [(r[k] is not None, r[k]) for k in self.order])
+        self.rows.put(both[-self.keep :])
+
+    def close(self) -> None:
+        pass
+
+
+NEW = "_new"
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """A state store that can hold lists, for queries that start inside; the session's own setting comes back."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
+
+
 def stream_factor(panel: DataFrame, expression: str, store: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Start a query that stores a streaming panel under `store` and its factor under `out` (Parquet).
 
     Rows of an asset must arrive in order of time.
     """
-    spark, n = panel.sparkSession, lookback(expression)
+    n = lookback(expression)
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
-        # the table of the batch before; a path that begins with _ is none of the panel's
-        past = spark.read.parquet(f"{store}/_state/{batch_id - 1}") if batch_id and n else None
-        batch_values(past, rows, expression).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        if n:
-            reach = rows if past is None else past.unionByName(rows, allowMissingColumns=True)
-            _last(reach, n).write.mode("overwrite").parquet(f"{store}/_state/{batch_id}")
-            _forget(spark, f"{store}/_state/{batch_id - 2}")
-        rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        run_expression(rows, expression).points.where(NEW).drop(NEW, "ratio", "ts_rank").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        rows.where(NEW).drop(NEW).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
         rows.unpersist()
 
-    return panel.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    """Remove a folder in whatever file system it lies, if it is there."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if n:
+        schema = StructType([*panel.schema.fields, StructField(NEW, BooleanType())])
+        rows = panel.groupBy("asset").transformWithState(Reachable(panel.schema, n), schema, "Append", "None")
+    else:
+        rows = panel.withColumn(NEW, F.lit(True))
+    with keyed_state(panel.sparkSession):
+        return rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def windowed_panel(events: DataFrame, time_col: str, asset_col: str, value_col: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -233,5 +233,22 @@ def test_stream(spark, tmp_path):
     got = {(r.asset, r.timestamp): r.factor for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     whole = {(r.asset, r.timestamp): r.factor for r in batch_values(None, df, text).collect()}
     assert got == pytest.approx(whole) and len(whole) == 28
-    kept = sorted(p.name for p in (tmp_path / "store" / "_state").iterdir())
-    assert kept == ["5", "6"] and spark.read.parquet(f"{tmp_path}/store/_state/6").groupBy("asset").count().collect() and spark.read.parquet(f"{tmp_path}/store/_state/6").count() == 4 * lookback(text)
+    assert spark.read.parquet(str(tmp_path / "store")).drop("batch").exceptAll(df).isEmpty()
+
+
+def test_idle_assets_cost_a_batch_nothing(spark, tmp_path):
+    """What a batch of one asset changes in the state, beside few and beside many idle assets; nulls stay nulls."""
+    schema = "timestamp string, asset string, open double, close double"
+    changed = []
+    for idle in (3, 60):
+        at = tmp_path / str(idle)
+        for k, day in enumerate([[(f"2026-01-{d:02d}", f"A{a}", 1.0, None if (a + d) % 4 == 0 else float(a + d)) for a in range(idle) for d in range(1, 6)], [("2026-01-06", "A1", 1.0, 9.0), ("2026-01-07", "A1", 1.0, None)]]):
+            spark.createDataFrame(day, schema).coalesce(1).write.parquet(f"{at}/in/{k}")
+            stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+            query = stream_factor(stream, "Mean($close,4)", f"{at}/store", f"{at}/out", f"{at}/check")
+            query.awaitTermination()
+        changed.append([p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]])
+        got = spark.read.parquet(f"{at}/out").where("timestamp > '2026-01-05'").orderBy("timestamp").collect()
+        assert [(r.asset, r.close, r.factor) for r in got] == [("A1", 9.0, (5 + 6 + 9) / 3), ("A1", None, (5 + 6 + 9) / 3)]
+        assert spark.read.parquet(f"{at}/store").count() == 5 * idle + 2
+    assert changed[0] == changed[1]
