@@ -24,9 +24,14 @@ that may still grow into a token, and at each of its places from which one may
 grow the last token before and the difference in count.  States that agree in
 this are one, so the machine is finite also over endless input; transitions are
 determined from the merges when first taken, and when STATES states are
-reached compilation starts again.  Equal pieces of a slice are read once, and
+reached, also inside a piece, compilation starts again from the state at hand.  Equal pieces of a slice are read once, and
 the sums of up to PATHS whole paths are kept.
 
+The chunk maps are composed for the first transducer.  The second one reads a
+piece byte by byte: its states are found while reading, so a chunk's map over
+all of them cannot be known before, and pieces are short but for runs of one kind
+of character, whose time is linear and whose states are bounded.
+
 A special token in a text is one token and ends the pieces around it, the
 library's default.  A null text is empty and has no tokens.  Rows stay as they
 are, with any id, null and repeated ones too.
@@ -244,12 +249,20 @@ class Machine:
         self.merges = merges
         self.states: dict[tuple, State] = {}
         self.paths: dict[bytes, int] = {}
-        self.begin = self.state(b"", ((0, b"", 0),))
+        self.restart()
+
+    def restart(self) -> None:
+        """Forget all states: none is referred to any more but by those that a reader still holds."""
+        self.states.clear()
+        self.begin = State(self, b"", ((0, b"", 0),))
+        self.states[self.begin.suffix, self.begin.places] = self.begin
 
     def state(self, suffix: bytes, places: tuple) -> State:
         key = (suffix, places)
         found = self.states.get(key)
         if found is None:
+            if len(self.states) >= STATES:
+                self.restart()
             found = self.states[key] = State(self, suffix, places)
         return found
 
@@ -271,9 +284,6 @@ class Machine:
         """The tokens of a piece; whole paths of pieces that were read before are kept."""
         total = self.paths.get(piece)
         if total is None:
-            if len(self.states) > STATES:
-                self.states.clear()  # states that still refer to one another go with the last reference
-                self.begin = self.state(b"", ((0, b"", 0),))
             if len(self.paths) > PATHS:
                 self.paths.clear()
             node, total = self.begin, 0
