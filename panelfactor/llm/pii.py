@@ -300,13 +300,19 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start: long, end: long, action: string, disclosure: double>>")))
 
 
-def _text(col: str, kind):
+def _of(action: str):
+    return lambda s: s["action"] == action
+
+
+def _text(col, kind):
     return F.transform(col, lambda s: F.concat_ws(":", kind(s), s["start"].cast("string"), s["end"].cast("string")))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(documents(spark, sf_dir))
-    base, terms = _text("base", lambda s: s["kind"]), _text("terms", lambda s: s["action"])
+    base = _text("base", lambda s: s["kind"])
+    # added spans too go by kind first
+    terms = F.concat(*(_text(F.filter("terms", _of(kind)), lambda s: s["action"]) for kind in ("generalise", "remove")))
     return found.select(
         "doc_id",
         *(f"n_{k}" for k in KINDS),
