@@ -41,8 +41,8 @@ from panelfactor.llm import _spark
 from panelfactor.llm import _words as W
 
 BUCKETS, RUN, SEED = 10_000, 3, 42
-#: documents and entries in one CSR block at most (a single document may have BUCKETS entries)
-BLOCK_ROWS, BLOCK_ENTRIES = 4096, 1 << 20
+#: documents and entries in one CSR block at most (a single document may have BUCKETS entries), and bytes of text read together
+BLOCK_ROWS, BLOCK_ENTRIES, SLICE = 4096, 1 << 18, 1 << 20
 
 BLOCK_SCHEMA = "ids array<bigint>, n_words array<bigint>, n_features array<bigint>, row_end binary, bucket binary, count binary"
 
@@ -81,7 +81,7 @@ def _matrix(run: int, buckets: int, block_rows: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, entries = [], 0
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", SLICE):
                 words = W.words(part.column("text"), keep=W.ALNUM, lower=True)
                 doc, bucket = feature_buckets(words, run, buckets)
                 key, count = np.unique(doc * buckets + bucket, return_counts=True)
