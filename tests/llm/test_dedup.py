@@ -179,3 +179,18 @@ def test_empty_tables(nothing, spark):
     assert jaccard_join.join(nothing).count() == 0 and jaccard_join.keep_one(nothing).count() == 0
     assert decontamination.find(nothing, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
     assert line_dedup.remove(nothing).count() == 0
+
+
+def test_few_links_take_few_jobs(spark, monkeypatch):
+    """op10, pipeline: the same labels as in rounds, in a handful of jobs."""
+    rng = random.Random(3)
+    edges = [(k + 1, k) for k in range(-300, 300)] + [(rng.randrange(1000, 4000), rng.randrange(1000, 4000)) for _ in range(1500)] + [(9000, 9000), (9000, 9000), (-(1 << 63), (1 << 63) - 1)]
+    links = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup("few links", "few links")
+    few = {r.node: r.root for r in jaccard_join.components(links).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few links")
+    spark.sparkContext._jsc.clearJobGroup()
+    assert 0 < len(jobs) <= 12
+    monkeypatch.setattr(jaccard_join, "FEW", 0)
+    assert few == {r.node: r.root for r in jaccard_join.components(links).collect()}
+    assert jaccard_join.components(links.where("a is null")).isEmpty()
