@@ -5,8 +5,8 @@
    text's ids are those of its pieces one after the other.  Runs of letters and
    of signs in words of plain Latin text are cut and lowered over whole columns,
    and other words stay whole; the library then sees each of these once a slice,
-   and up to KEPT are remembered.  Ids are stored as 16-bit numbers where the
-   vocabulary allows it.
+   and up to KEPT are remembered, by 64-bit hashes.  Ids are stored as 16-bit
+   numbers where the vocabulary allows it.
 2. Counts of ids, combined in the tasks, give the code: lengths by package
    merge with at most LIMIT bits, so decoding is one look-up, and canonical
    codes, so the lengths alone describe it (one row, `codebook`).
@@ -56,8 +56,8 @@ from panelfactor.llm import _words as W
 END = 2
 #: bits of a code, tokens between checkpoints, tokens of a piece, bytes of a block: at most
 LIMIT, CHECK, PIECE, BLOCK = 20, 256, 1 << 18, 1 << 20
-#: bytes of text that are cut together, strings that the library encodes together, and pieces that a worker remembers, at most
-SLICE, TOGETHER, KEPT = 2 << 20, 1024, 400_000
+#: bytes of text that are cut together, strings that the library encodes together, and pieces and ids that a worker remembers, at most
+SLICE, TOGETHER, KEPT, KEPT_IDS = 2 << 20, 1024, 2_000_000, 16_000_000
 MAGIC = 0x31425448
 TOKENS = "doc_id long, row long, piece int, several boolean, n int, ids binary"
 BITS = "doc_id long, row long, piece int, several boolean, n int, bits binary, checks binary"
@@ -128,6 +128,27 @@ def pieces(texts: pa.Array) -> Pieces:
     return Pieces(data, start, end, np.searchsorted(of, words.first), whole[of])
 
 
+class Known:
+    """Ids of pieces by the hashes of these, in sorted arrays: some 40 bytes a piece, of which KEPT are held at most."""
+
+    def __init__(self):
+        self.hash, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def missing(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes h that are not known."""
+        at = np.searchsorted(self.hash, h)
+        at[at == len(self.hash)] = 0
+        return np.flatnonzero(self.hash[at] != h) if len(self.hash) else np.arange(len(h))
+
+    def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Add the ascending hashes h, none of which is known."""
+        at = np.searchsorted(self.hash, h)
+        begin = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        self.hash, self.begin, self.size = (np.insert(old, at, new) for old, new in ((self.hash, h), (self.begin, begin), (self.size, size)))
+        self.ids = np.concatenate([self.ids, ids])
+
+
 class Encoder:
     """The library's ids of a column of texts, as one array and the number for each text (END included)."""
 
@@ -139,37 +160,43 @@ class Encoder:
         self.tokenizer, self.by_pieces = Tokenizer.from_str(spec), not whole and by_pieces(own)
         # pieces are lowered and cut already
         self.plain = Tokenizer.from_str(json.dumps(own | {"normalizer": None, "added_tokens": [], "pre_tokenizer": own["pre_tokenizer"]["pretokenizers"][-1]})) if self.by_pieces else None
-        self.known: dict[bytes, bytes] = {}
+        self.known = Known()
 
     @staticmethod
-    def _library(tokenizer, texts: list[str]) -> list[bytes]:
-        out = []
+    def _library(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of each one's."""
+        ids, size = array("I"), np.zeros(len(texts), np.int32)
         for k in range(0, len(texts), TOGETHER):
-            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[k : k + TOGETHER], add_special_tokens=False)]
-        return out
+            made = tokenizer.encode_batch_fast(texts[k : k + TOGETHER], add_special_tokens=False)
+            size[k : k + len(made)] = [len(e) for e in made]
+            for e in made:
+                ids.extend(e.ids)
+        return np.frombuffer(ids, np.uint32) if ids else np.zeros(0, np.uint32), size
+
+    def _learn(self, cut: Pieces, h: np.ndarray, first: np.ndarray) -> None:
+        """Make the pieces with the ascending hashes h known, each of which is at one place in first."""
+        new = self.known.missing(h)
+        if len(self.known.hash) + len(new) > KEPT or len(self.known.ids) > KEPT_IDS:
+            self.known, new = Known(), np.arange(len(h))
+        data, whole = cut.data.tobytes(), cut.whole[first[new]]
+        for kind, tokenizer in ((False, self.plain), (True, self.tokenizer)):
+            some = new[whole == kind]
+            texts = [data[a:b].decode() for a, b in zip(cut.start[first[some]].tolist(), cut.end[first[some]].tolist())]
+            self.known.add(h[some], *self._library(tokenizer, texts))
 
     def __call__(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         if self.by_pieces:
             cut = pieces(texts)
-            _, first, which = np.unique(W._hash(cut.data, cut.start, cut.end - cut.start), return_index=True, return_inverse=True)
-            data = cut.data.tobytes()
-            unique = [data[a:b] for a, b in zip(cut.start[first].tolist(), cut.end[first].tolist())]
-            whole = cut.whole[first].tolist()
-            if len(self.known) + len(unique) > KEPT:
-                self.known.clear()
-            for kind, tokenizer in ((False, self.plain), (True, self.tokenizer)):
-                new = [w for w, x in zip(unique, whole) if x == kind and w not in self.known]
-                self.known.update(zip(new, self._library(tokenizer, [w.decode() for w in new])))
-            each, per_text = [self.known[w] for w in unique], cut.first
+            h, first, which = np.unique(W._hash(cut.data, cut.start, cut.end - cut.start), return_index=True, return_inverse=True)
+            self._learn(cut, h, first)
+            at = np.searchsorted(self.known.hash, h)
+            flat, begin, size, per_text = self.known.ids, self.known.begin[at][which], self.known.size[at][which].astype(np.int64), cut.first
         else:
-            each = self._library(self.tokenizer, pc.fill_null(texts, "").to_pylist())
-            which, per_text = np.arange(len(each)), np.arange(len(each) + 1)
-        flat = np.frombuffer(b"".join(each), "<u4")
-        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        begin = np.cumsum(size) - size
-        took = size[which]
-        done = np.cumsum(took)
-        ids = flat[np.repeat(begin[which] - (done - took), took) + np.arange(int(took.sum()))]
+            flat, size = self._library(self.tokenizer, pc.fill_null(texts, "").to_pylist())
+            size = size.astype(np.int64)
+            begin, per_text = np.cumsum(size) - size, np.arange(len(size) + 1)
+        done = np.cumsum(size)
+        ids = flat[np.repeat(begin - (done - size), size) + np.arange(int(size.sum()))]
         stops = np.concatenate([[0], done])[per_text[1:]]
         return np.insert(ids, stops, np.uint32(end)), np.diff(stops, prepend=0) + 1
 
