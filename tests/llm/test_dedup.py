@@ -1,7 +1,10 @@
 """Operators 1, 5, 8 and 10 against brute force."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +197,68 @@ def test_few_links_take_few_jobs(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "FEW", 0)
     assert few == {r.node: r.root for r in jaccard_join.components(links).collect()}
     assert jaccard_join.components(links.where("a is null")).isEmpty()
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_sets_that_may_link_are_in_one_band(percent):
+    """op10's disk: a set's band or the one of its largest partner is that of any larger set that it may link to."""
+    edges = jaccard_join._bands(percent)
+    for x in [*range(1, 300), 9999, 10_000, 123_456]:
+        top = int(jaccard_join._reached(np.array([x]), percent)[0])
+        own, upper = (int(np.searchsorted(edges, s, "right")) for s in (x, top))
+        for y in {x, top, *range(x, min(top, x + 60) + 1)}:
+            assert 100 * x >= percent * y and int(np.searchsorted(edges, y, "right")) in (own, upper)
+
+
+@pytest.mark.parametrize("percent", [30, 80, 90])
+def test_linked_sets_share_enough_of_their_longer_prefixes(percent):
+    rng, linked = random.Random(percent), 0
+    for _ in range(3000):
+        both = rng.sample(range(4000), rng.choice([1, 3, 10, 40, 200, 600]))
+        x, y = (sorted({*both, *rng.sample(range(4000), rng.randint(0, 1 + len(both) * (100 - percent) // percent))}) for _ in range(2))
+        i = len({*x} & {*y})
+        if 100 * i < percent * (len(x) + len(y) - i):
+            continue
+        linked += 1
+        heads, least = [], []
+        for s in (x, y):
+            alike = (percent * len(s) + 99) // 100
+            heads.append({*s[: len(s) - alike + int(jaccard_join._least_shared(np.array([len(s)]), percent)[0])]})
+            least.append(int(jaccard_join._least_shared(np.array([alike]), percent)[0]))
+        assert len(heads[0] & heads[1]) >= max(least)
+    assert linked > 300
+
+
+def test_sets_with_a_few_chance_shingles_in_common_are_in_no_list():
+    """op10's disk: texts of a shared vocabulary have words in common with many others, but no other text with enough of them."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample([f"w{k}" for k in range(200_000)], 600)) for _ in range(50)]
+    texts.append(texts[0] + " more words")
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    rare, seen = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int32))), {}
+    for part in jaccard_join._prefixes(1, 90, jaccard_join.Prints(), rare)([batch]):
+        for k, fp in zip(*(part.column(c).to_numpy().view(np.uint64).tolist() for c in ("key", "fp")), strict=True):
+            seen.setdefault(k, set()).add(fp)
+    met = np.array([k for k, fps in seen.items() if len(fps) > 1], np.uint64)
+    assert len(met) > 100
+    shared = SimpleNamespace(value=SimpleNamespace(has=lambda keys: np.isin(keys, met)))
+    listed = {fp for part in jaccard_join._prefixes(1, 90, jaccard_join.Prints(), rare, shared)([batch]) for fp in part.column("fp").to_pylist()}
+    assert len(listed) == 2
+
+
+def test_long_sets_are_kept_apart_by_their_sketches(spark):
+    """op10's disk: unrelated sets of 20,000 shingles do not move, and a pair of sketches of two sizes is compared in the smaller one's."""
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (20_000, 20_000, 1000)]
+    sets += [np.concatenate([sets[2], rng.integers(0, 1 << 63, 60, dtype=np.uint64)])]
+    wide = jaccard_join._wide(np.concatenate(sets), np.cumsum([0, *map(len, sets)])).to_pylist()
+    assert [len(w) for w in wide] == [512, 512, 16, 32]
+    groups = spark.createDataFrame(list(enumerate(wide)), "fp long, wide array<long>")
+    pairs = spark.createDataFrame([(a, b, len(sets[a]) + len(sets[b]), 0) for a, b in ((0, 1), (2, 3), (3, 2))], "a long, b long, sizes long, slack long")
+    assert sorted(map(tuple, jaccard_join._tried(pairs, groups, 90).collect())) == [(2, 3), (3, 2)]
+
+
+def test_lists_with_a_hot_shingle(docs, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FLOOR", 3)
+    monkeypatch.setattr(jaccard_join, "HEAVY", 1 << 40)
+    same(jaccard_join.join(docs), brute.components(texts(corpus)))
