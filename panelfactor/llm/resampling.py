@@ -42,7 +42,10 @@ from panelfactor.llm import _words as W
 
 BUCKETS, RUN, SEED = 10_000, 3, 42
 #: documents and entries in one CSR block at most (a single document may have BUCKETS entries), and bytes of text read together
-BLOCK_ROWS, BLOCK_ENTRIES, SLICE = 4096, 1 << 18, 1 << 20
+BLOCK_ROWS, BLOCK_ENTRIES, SLICE = 4096, 1 << 16, 1 << 20
+#: a reader unpacks 4,096 rows of a row group at once, and a writer looks at its size after 100 rows or more: with blocks of
+#: half a MB as rows both would hold all blocks of a task, which are four times as large as its texts
+ROW_GROUPS = {"parquet.block.size": 4 << 20, "parquet.page.size": 1 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
 
 BLOCK_SCHEMA = "ids array<bigint>, n_words array<bigint>, n_features array<bigint>, row_end binary, bucket binary, count binary"
 
@@ -104,7 +107,7 @@ def _matrix(run: int, buckets: int, block_rows: int):
 def matrix(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, buckets: int = BUCKETS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Write the documents' CSR blocks to Parquet at path, and read them."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    _spark.arrow(rows, _matrix(run, buckets, block_rows), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    _spark.arrow(rows, _matrix(run, buckets, block_rows), BLOCK_SCHEMA).write.options(compression="zstd", **ROW_GROUPS).parquet(path)
     return docs.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path)
 
 

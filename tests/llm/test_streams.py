@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +283,15 @@ def test_blocks_of_any_size_give_the_same(spark, docs, tmp_path):
     assert got[0][:2] == got[1][:2] and got[1][2] > got[0][2]
 
 
+def test_matrix_is_written_in_small_row_groups(spark, tmp_path):
+    # readers unpack a row group's blocks together: a task's blocks must not be one
+    words = "concat_ws(' ', transform(sequence(1, 4000), k -> substr(md5(concat(id, ':', k)), 1, 8)))"
+    docs = spark.range(0, 600, 1, 1).selectExpr("id AS doc_id", f"{words} AS text")
+    resampling.matrix(docs, f"file://{tmp_path}/wide")
+    groups = [m.row_group(k) for f in tmp_path.glob("wide/*.parquet") for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups)]
+    assert sum(g.total_byte_size for g in groups) > 24e6 > max(g.total_byte_size for g in groups)
+
+
 def test_resampling_against_brute_force(spark, docs, corpus):
     target = spark.createDataFrame([(t,) for t in TARGET], "text string")
     out = resampling.resample(docs, target, percent=30).collect()
